@@ -9,6 +9,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Fixed values.
 TOKEN_PATTERN = (
@@ -33,7 +34,7 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", " ")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _unescape_twice(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore")
 
@@ -50,7 +51,7 @@ def encoding_repair() -> Callable[[Column], Column] | None:
     except ImportError:
         return None
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(StringType())
     def fix(text: pd.Series) -> pd.Series:
         return text.map(ftfy.fix_text, na_action="ignore")
 

@@ -39,14 +39,12 @@ def standardize_channels(
 
     ``pixels`` is height times width; use ``scale=255`` for bytes.
     """
-    planes = [
-        F.transform(
-            F.slice(tensor, c * pixels + 1, pixels),
-            lambda x, m=mean[c], s=std[c]: (x.cast("double") / F.lit(scale) - F.lit(m)) / F.lit(s),
-        )
-        for c in range(len(mean))
-    ]
-    return F.concat(*planes)
+
+    def plane(c: int) -> Column:
+        values = F.slice(tensor, c * pixels + 1, pixels)
+        return F.transform(values, lambda x: (x.cast("double") / F.lit(scale) - F.lit(mean[c])) / F.lit(std[c]))
+
+    return F.concat(*[plane(c) for c in range(len(mean))])
 
 
 def argmax(values: Column) -> Column:

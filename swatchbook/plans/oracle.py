@@ -151,11 +151,12 @@ def unescaped(column: str) -> str:
 FRAMED = (
     DOC_WORDS + ", ids AS (SELECT doc_id, list_transform(words, lambda w: length(w)) AS ids FROM words), "
     "framed AS (SELECT doc_id, len(ids) + 2 AS n_tokens, "
-    f"list_concat([1000000], ids, [1000001], list_resize([], greatest(0, {CONTEXT_LENGTH} - 2 - len(ids))::BIGINT, 0))"
+    f"list_concat([1000000], ids, [1000001], list_transform(range(greatest(0, {CONTEXT_LENGTH} - 2 - len(ids))), lambda i: 0))"
     f"[1:{CONTEXT_LENGTH}] AS framed FROM ids)"
 )
 
-MERGES = f"""letter_words AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM doc_words)
+MERGES = f"""doc_words AS (SELECT doc_id, regexp_extract_all({squeezed("text")}, '{_PATTERN}') AS words FROM documents),
+letter_words AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM doc_words)
   WHERE regexp_full_match(word, '[a-z]+') GROUP BY 1),
 kinds AS (SELECT * FROM (VALUES (1, 1, 1), (2, 2, 1), (3, 2, 2)) AS t(level, a, b)),
 places AS (SELECT level, a, b, word, n, unnest(range(1, length(word) - (a + b) + 2)) AS i
@@ -174,8 +175,7 @@ vocab AS (SELECT id, symbol AS token FROM numbered
   UNION ALL SELECT id + 256, symbol || '</w>' FROM numbered
   UNION ALL SELECT rank + 512, l || r FROM merges
   UNION ALL SELECT count(*) + 512, '<|startoftext|>' FROM merges
-  UNION ALL SELECT count(*) + 513, '<|endoftext|>' FROM merges),
-doc_words AS (SELECT doc_id, regexp_extract_all({squeezed("text")}, '{_PATTERN}') AS words FROM documents)"""
+  UNION ALL SELECT count(*) + 513, '<|endoftext|>' FROM merges)"""
 
 
 def encoded(source: str, key: str, column: str) -> str:
@@ -217,7 +217,7 @@ encoded AS (SELECT k.{key}, coalesce(e.ids, []) AS ids FROM words k LEFT JOIN (
 def tokenized(key: str) -> str:
     """Frame of `encoded`, as the columns of a token table."""
     return f"""SELECT {key}, array_to_string(list_concat([n + 512], ids, [n + 513],
-    list_resize([], greatest(0, {CONTEXT_LENGTH} - 2 - len(ids))::BIGINT, 0))[1:{CONTEXT_LENGTH}], ',') AS description_ids,
+    list_transform(range(greatest(0, {CONTEXT_LENGTH} - 2 - len(ids))), lambda i: 0))[1:{CONTEXT_LENGTH}], ',') AS description_ids,
   (len(ids) + 2)::INT AS n_tokens, (len(ids) + 2 > {CONTEXT_LENGTH})::INT AS truncated
 FROM encoded, (SELECT count(*) AS n FROM merges)"""
 

@@ -32,7 +32,7 @@ def read_merge_list(spark: SparkSession, path: str, limit: int = MAX_MERGES) ->
     read as one value; lines beyond ``limit`` are not part of the list, which
     keeps it below 49,408 rows.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")))
     pair = F.split(F.trim(F.regexp_replace("col", r"\s+", " ")), " ")
     return (
         lines.filter((F.col("pos") >= 1) & (F.col("pos") <= limit) & (F.trim("col") != ""))

@@ -90,7 +90,7 @@ def image_tensors(
         key_from_path(F.col("path")).alias("product_id"),
         "img_array",
         "error",
-        F.col("error").isNotNull().alias("rejected"),
+        F.col("error").isNotNull().cast("int").alias("rejected"),
     )
 
 
@@ -122,8 +122,8 @@ def append_new(
 
 def read_tensors(spark: SparkSession, path: str) -> DataFrame:
     """``(shard, product_id, img_array)`` of the accepted images."""
-    return spark.read.parquet(path).filter(~F.col("rejected")).select("shard", "product_id", "img_array")
+    return spark.read.parquet(path).filter("rejected = 0").select("shard", "product_id", "img_array")
 
 
 def read_rejects(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("rejected").select("shard", "product_id", "error")
+    return spark.read.parquet(path).filter("rejected = 1").select("shard", "product_id", "error")
