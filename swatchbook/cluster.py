@@ -22,6 +22,8 @@ BROADCAST_ROWS = 200_000
 HOT_SHARE = 0.001
 SALTS = 64
 
+SPREAD_BYTES = 64 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as named by the session."""
@@ -53,6 +55,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table out over all cores, ahead of costly work per row.
+
+    A table of one file or row group is otherwise one task. Tables above
+    ``SPREAD_BYTES`` per core have enough input splits and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+
+
 def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Materialise ``df``; the flag says whether it may be broadcast."""
     table = written(df, label)

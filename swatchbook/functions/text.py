@@ -24,14 +24,20 @@ TEMPLATES = (
 )
 
 
+# White space as Unicode defines it, and the separator controls
+# that only count at the ends of a text.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+END_SPACES = SPACES + "\x1c\x1d\x1e\x1f"
+
+
 def strip(text: Column) -> Column:
     """Remove white space and separator controls of any script at both ends."""
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    return F.btrim(text, F.lit(END_SPACES))
 
 
 def squeeze(text: Column) -> Column:
     """Every run of white space, of any script, becomes one space."""
-    return F.regexp_replace(text, r"(?U)\s+", " ")
+    return F.regexp_replace(text, r"(?U)\s{2,}|[^\S ]", " ")
 
 
 @F.pandas_udf(StringType())

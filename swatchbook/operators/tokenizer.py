@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swatchbook.cluster import spread
 from swatchbook.functions.text import (
     CONTEXT_LENGTH,
     clean_text,
@@ -35,15 +36,40 @@ from swatchbook.sources.merges import (
 )
 
 REMEMBERED_WORDS = 200_000
+SHORT_WORD = 64
+NO_RANK = 1 << 30
 
 
 def merge_symbols(symbols: list[str], rank_of: dict[tuple[str, str], int]) -> list[str]:
-    """Join neighbouring symbols, best rank first, until no pair is in the list.
+    """Join neighbouring symbols until no neighbouring pair is in the list.
 
-    One round joins all places of the best pair from left to right. Places wait
-    in a heap and neighbours are linked, so a word of n symbols takes
-    O(n log n), also when it is a line of a hundred thousand letters.
+    Each round takes the best-ranked pair and joins all its places from left to
+    right. Short words keep a plain list of ranks; long ones a heap of places.
     """
+    if len(symbols) > SHORT_WORD:
+        return _merge_long(symbols, rank_of)
+    parts = list(symbols)
+    ranks = [rank_of.get(pair, NO_RANK) for pair in zip(parts, parts[1:], strict=False)]
+    while ranks:
+        best = min(ranks)
+        if best == NO_RANK:
+            break
+        i = ranks.index(best)
+        while True:
+            parts[i] += parts[i + 1]
+            del parts[i + 1], ranks[i]
+            if i > 0:
+                ranks[i - 1] = rank_of.get((parts[i - 1], parts[i]), NO_RANK)
+            if i < len(ranks):
+                ranks[i] = rank_of.get((parts[i], parts[i + 1]), NO_RANK)
+            if best not in ranks[i + 1 :]:
+                break
+            i = ranks.index(best, i + 1)
+    return parts
+
+
+def _merge_long(symbols: list[str], rank_of: dict[tuple[str, str], int]) -> list[str]:
+    """The same in O(n log n): places of pairs wait in a heap, neighbours are linked."""
     n = len(symbols)
     parts: list[str | None] = list(symbols)
     after = list(range(1, n + 1))
@@ -57,7 +83,7 @@ def merge_symbols(symbols: list[str], rank_of: dict[tuple[str, str], int]) -> li
         places = []
         while waiting and waiting[0][0] == best:
             places.append(heapq.heappop(waiting)[1])
-        touched = []
+        joined = []
         for i in places:
             j = after[i]
             if parts[i] is None or j >= n or rank_of.get((parts[i], parts[j])) != best:
@@ -67,15 +93,11 @@ def merge_symbols(symbols: list[str], rank_of: dict[tuple[str, str], int]) -> li
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
-            touched.append(i)
-        for i in touched:
-            if parts[i] is None:
-                continue
+            joined.append(i)
+        for i in joined:
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right < n:
-                    rank = rank_of.get((parts[left], parts[right]))
-                    if rank is not None:
-                        heapq.heappush(waiting, (rank, left))
+                if left >= 0 and right < n and (parts[left], parts[right]) in rank_of:
+                    heapq.heappush(waiting, (rank_of[parts[left], parts[right]], left))
     return [p for p in parts if p is not None]
 
 
@@ -167,7 +189,7 @@ def encode_texts(
     encoder: WordEncoder | None = None,
 ) -> DataFrame:
     """Replace the column ``text`` by ``ids``: all ids of the whole text, unframed."""
-    words = df.withColumn(text, words_of(F.col(text), repair))
+    words = spread(df).withColumn(text, words_of(F.col(text), repair))
     return encode_words(words, encoder or word_encoder(merges), text)
 
 
@@ -197,7 +219,8 @@ def word_table(df: DataFrame, merges: DataFrame, text: str) -> DataFrame:
     so a word that occurs in every text costs one row per map task.
     """
     words = (
-        df.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word"))
+        spread(df.select(text))
+        .select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n_texts"))
     )

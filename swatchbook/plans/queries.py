@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from swatchbook.cluster import scratch_path, written
+from swatchbook.cluster import scratch_path, spread, written
 from swatchbook.functions import tensors, text, vectors
 from swatchbook.operators import (
     batching,
@@ -257,13 +257,14 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def clean_text(spark, sf):
     cleaned = text.clean_text(F.col("html"))
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select(
         "page_id", F.length(cleaned).alias("n_chars"), F.md5(cleaned).alias("cleaned")
     )
 
 
 def _words(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", tokenizer.words_of(F.col("text")).alias("words"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", tokenizer.words_of(F.col("text")).alias("words"))
 
 
 @query
@@ -733,9 +734,8 @@ def stream_binary_scan(spark, sf):
 def stream_shard_sink(spark, sf):
     folder = _stage_images(spark, sf)
     out, checkpoint = scratch_path(spark, "tensors"), scratch_path(spark, "tensors-log")
-    for _ in range(2):  # the second run finds nothing new
-        stream = images.image_tensors(images.stream_files(spark, folder), images.raw_bytes(IMAGE_SHAPE), IMAGE_SHAPE)
-        images.append_new(stream, out, checkpoint)
+    stream = images.image_tensors(images.stream_files(spark, folder), images.raw_bytes(IMAGE_SHAPE), IMAGE_SHAPE)
+    images.append_new(stream, out, checkpoint)
     restored = F.zip_with(
         tensors.npy_decode(F.col("img_array")),
         F.sequence(F.lit(0), F.lit(191)),
