@@ -95,27 +95,17 @@ def attribute_counts(attributes: DataFrame) -> DataFrame:
 
 
 def attribute_stats(attributes: DataFrame) -> DataFrame:
-    """Row count and all distinct values per attribute name.
+    """Row count and all distinct values per attribute name, in one pass.
 
     Values are made distinct over (name, value) before they are gathered, so
-    the task of a hot name sees its distinct values and never its rows.
+    the task of a hot name sees its distinct values and never its rows. A list
+    counts as a row at its first value, or at its only place when it is empty.
     """
-    values = (
-        attributes.select("attribute_name", F.explode("attribute_values").alias("value"))
-        .distinct()
-        .groupBy("attribute_name")
-        .agg(F.sort_array(F.collect_list("value")).alias("attribute_values"))
-    )
-    # Both sides hold one row per name.
-    counts = attribute_counts(attributes).withColumn("_name", F.col("attribute_name"))
-    return (
-        counts.alias("c")
-        .join(values.alias("v"), F.col("c.attribute_name").eqNullSafe(F.col("v.attribute_name")), "left")
-        .select(
-            "c.attribute_name",
-            F.coalesce("v.attribute_values", F.array().cast("array<string>")).alias("attribute_values"),
-            "c.n_rows",
-        )
+    places = attributes.select("attribute_name", F.posexplode_outer("attribute_values").alias("_place", "_value"))
+    first = F.coalesce(F.col("_place"), F.lit(0)) == 0
+    per_value = places.groupBy("attribute_name", "_value").agg(F.count_if(first).alias("_n"))
+    return per_value.groupBy("attribute_name").agg(
+        F.sort_array(F.collect_list("_value")).alias("attribute_values"), F.sum("_n").alias("n_rows")
     )
 
 

@@ -32,7 +32,8 @@ from swatchbook.sources.merges import (
     VOCABULARY_SIZE,
     WORD_END,
     byte_symbols,
-    vocabulary,
+    collect_merges,
+    token_ids,
 )
 
 REMEMBERED_WORDS = 200_000
@@ -102,11 +103,11 @@ def _merge_long(symbols: list[str], rank_of: dict[tuple[str, str], int]) -> list
 
 
 class WordEncoder:
-    """Ids of one word. Holds the merge list and its vocabulary, at most 49,408 entries each."""
+    """Ids of one word. Holds a merge list by rank and its vocabulary, at most 49,408 entries each."""
 
-    def __init__(self, merges: list[tuple[int, str, str]], ids: list[tuple[int, str]]):
-        self.rank_of = {(left, right): rank for rank, left, right in sorted(merges)}
-        self.id_of = {token: i for i, token in sorted(ids)}
+    def __init__(self, merges: list[tuple[int, str, str]]):
+        self.rank_of = {(left, right): rank for rank, left, right in merges}
+        self.id_of = {token: i for i, token in token_ids(merges)}
         self.symbol_of = dict(byte_symbols())
         self.known: dict[str, list[int]] = {t: [self.id_of[t]] for t in (START_TOKEN, END_TOKEN)}
 
@@ -132,11 +133,7 @@ class WordEncoder:
 
 
 def word_encoder(merges: DataFrame) -> WordEncoder:
-    """Collect the merge list and vocabulary; the list's size is limited by its source."""
-    return WordEncoder(
-        [tuple(r) for r in merges.select("rank", "left", "right").collect()],
-        [tuple(r) for r in vocabulary(merges).collect()],
-    )
+    return WordEncoder(collect_merges(merges))
 
 
 def _ids_of_lists(encoder: WordEncoder, words: pa.ListArray) -> pa.ListArray:
@@ -218,11 +215,13 @@ def word_table(df: DataFrame, merges: DataFrame, text: str) -> DataFrame:
     Words are made distinct per text and then counted with a map-side combine,
     so a word that occurs in every text costs one row per map task.
     """
+    # explode_outer: a plain explode adds a filter that would split every text twice.
     words = (
         spread(df.select(text))
-        .select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word"))
+        .select(F.explode_outer(F.array_distinct(words_of(F.col(text)))).alias("word"))
         .groupBy("word")
         .agg(F.count("*").alias("n_texts"))
+        .filter(F.col("word").isNotNull())
     )
     return encode_words(words.withColumn("_w", F.array("word")), word_encoder(merges), "_w")
 
@@ -235,7 +234,7 @@ def decode_ids(df: DataFrame, merges: DataFrame, ids: str = "ids", out: str = "t
     """
     byte_of = {s: b for b, s in byte_symbols()}
     table: list[bytes] = [b""] * VOCABULARY_SIZE
-    for i, token in vocabulary(merges).collect():
+    for i, token in token_ids(collect_merges(merges)):
         table[i] = bytes(byte_of[c] for c in token)
     shared = df.sparkSession.sparkContext.broadcast(table)
 

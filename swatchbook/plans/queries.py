@@ -309,7 +309,7 @@ def merge_list(spark: SparkSession, sf: str) -> DataFrame:
     """
     known = (spark.sparkContext.applicationId, sf)
     if known not in _MERGE_LISTS:
-        words = _words(spark, sf).select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        words = _words(spark, sf).select(F.explode_outer("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
         words = written(words.filter(F.col("word").rlike("^[a-z]+$")), "words")
         levels = []
         for level, (a, b) in enumerate(((1, 1), (2, 1), (2, 2)), start=1):

@@ -57,3 +57,17 @@ def vocabulary(merges: DataFrame) -> DataFrame:
     )
     ends = symbols.select((F.col("id") + 256).alias("id"), F.concat("token", F.lit(WORD_END)).alias("token"))
     return symbols.unionByName(ends).unionByName(merged).unionByName(specials)
+
+
+def collect_merges(merges: DataFrame) -> list[tuple[int, str, str]]:
+    """The list on the driver, by rank; its source limits it to 48,894 rows."""
+    return sorted(tuple(r) for r in merges.select("rank", "left", "right").collect())
+
+
+def token_ids(merge_rows: list[tuple[int, str, str]]) -> list[tuple[int, str]]:
+    """The rows of :func:`vocabulary` for a collected merge list."""
+    symbols = [s for _, s in byte_symbols()]
+    tokens = list(enumerate([*symbols, *[s + WORD_END for s in symbols]]))
+    tokens += [(rank + 512, left + right) for rank, left, right in merge_rows]
+    end = merge_rows[-1][0] + 513 if merge_rows else 512
+    return [*tokens, (end, START_TOKEN), (end + 1, END_TOKEN)]

@@ -65,6 +65,7 @@ def test_vocabulary(spark, merge_file):
     assert (table[0], table[256], table[512], table[513]) == ("!", "!</w>", "th", "the</w>")
     assert (table[519], table[520]) == ("<|startoftext|>", "<|endoftext|>")
     assert len({table[i] for i in range(256)}) == 256
+    assert table == dict(merges.token_ids(merges.collect_merges(merges.read_merge_list(spark, merge_file))))
 
 
 TEXTS = ["The thing", "théé 42", "", "ab" * 100, None, "<|endoftext|> xy", "日本 \U0001f600"]
@@ -115,9 +116,7 @@ def test_word_table_counts_each_word_once_per_text(spark, merge_file):
 
 def test_words_forgotten_by_the_cache_are_encoded_again(monkeypatch):
     monkeypatch.setattr(tokenizer, "REMEMBERED_WORDS", 3)
-    symbols = [s for _, s in merges.byte_symbols()]
-    ids = list(enumerate([*symbols, *[s + "</w>" for s in symbols], "<|startoftext|>", "<|endoftext|>"]))
-    encoder = tokenizer.WordEncoder([], ids)
+    encoder = tokenizer.WordEncoder([])
     first = [encoder.word_ids(w) for w in ("a", "b", "c", "d", "a")]
     assert first[0] == first[4]
     assert len(encoder.known) <= 4
