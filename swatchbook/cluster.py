@@ -77,9 +77,9 @@ def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int =
 
     Counting combines on the map side and reads the key column only.
     """
-    counts = written(df.groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
-    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
-    return counts.filter(F.col(key).isNotNull() & (F.col("_n") > max(total * share, min_rows))).select(key)
+    limit = max(df.select(key).count() * share, min_rows)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    return counts.filter(F.col("_n") > limit).select(key)
 
 
 def skew_join(

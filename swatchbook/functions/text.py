@@ -125,14 +125,14 @@ def fill(template: str, slots: dict[str, Column]) -> Column:
     return F.concat(*parts)
 
 
-def describe(choice: Column, drop_missing: bool = False) -> Column:
-    """A product's sentence from its facet columns; ``choice`` picks the template.
+def slot_columns(drop_missing: bool = False) -> dict[str, Column]:
+    """The filled slots of a product's sentence, from its facet columns.
 
     A missing category or brand is written as ``None``; with ``drop_missing``
     it leaves an empty slot.
     """
     missing = F.lit("" if drop_missing else "None")
-    slots = {
+    return {
         "category": F.coalesce("desc_category", missing),
         "brand": F.coalesce("desc_brand", missing),
         "gender_pattern": slot_phrase("for", F.array("desc_gender")),
@@ -141,11 +141,15 @@ def describe(choice: Column, drop_missing: bool = False) -> Column:
         "attribute_pattern": slot_phrase("with", F.col("attribute_values")),
         "short_description": slot_phrase("", F.array("product_short_description")),
     }
-    sentences = [strip(fill(t, slots)) for t in TEMPLATES]
-    picked = F.when(choice == 0, sentences[0])
-    for i, sentence in enumerate(sentences[1:], start=1):
-        picked = picked.when(choice == i, sentence)
-    return picked
+
+
+def sentence(choice: Column) -> Column:
+    """The template number ``choice``, filled from columns named after the slots."""
+    slots = {name: F.col(name) for name in slot_columns()}
+    picked = F.when(choice == 0, fill(TEMPLATES[0], slots))
+    for i, template in enumerate(TEMPLATES[1:], start=1):
+        picked = picked.when(choice == i, fill(template, slots))
+    return strip(picked)
 
 
 def template_by_key(key: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swatchbook.cluster import sized_join, skew_join, small_side
+from swatchbook.functions import text
 
 # Fixed values.
 MISSING_TEXTS = ("N/D", "[N/D]", "None")
@@ -86,8 +87,12 @@ def null_missing(products: DataFrame, columns: Sequence[str] = CLEANED_COLUMNS)
 
 
 def explode_attributes(products: DataFrame) -> DataFrame:
-    """One row per attribute; products without attributes give no row."""
-    return products.select("product_id", F.inline("product_attributes"))
+    """One row per attribute; products without attributes give no row.
+
+    The outer form, as a plain explode adds filters that parse the JSON again.
+    """
+    places = products.select("product_id", F.posexplode_outer("product_attributes").alias("_place", "_attribute"))
+    return places.filter(F.col("_place").isNotNull()).select("product_id", "_attribute.*")
 
 
 def attribute_counts(attributes: DataFrame) -> DataFrame:
@@ -196,3 +201,14 @@ def facets_with_values_in_row(products: DataFrame, min_rows: int = MIN_ATTRIBUTE
     )
     listed = F.when(F.size(kept) > 0, F.sort_array(F.array_distinct(values)))
     return products.select(*facet_columns(), listed.alias("attribute_values"))
+
+
+def describe(facets: DataFrame, choice: Column, drop_missing: bool = False) -> DataFrame:
+    """``(product_id, description)``; ``choice`` picks the sentence template of a product.
+
+    The slots are columns of their own, so each is built once per row and not
+    once per template, and the generated code stays small.
+    """
+    filled = [slot.alias(name) for name, slot in text.slot_columns(drop_missing).items()]
+    slots = facets.select("product_id", choice.alias("_choice"), *filled)
+    return slots.select("product_id", text.sentence(F.col("_choice")).alias("description"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swatchbook.functions.text import describe, template_by_seed
+from swatchbook.functions.text import template_by_seed
 from swatchbook.functions.vectors import LOGIT_SCALE
 from swatchbook.operators import catalog
 from swatchbook.operators.evaluation import eval_report
@@ -63,7 +63,7 @@ def describe_products(
     """``(product_id, description)`` from a raw product table."""
     facets = products_with_values(clean_products(products, max_rare_rows, families), min_rows, unique_ids)
     picked = choice if choice is not None else template_by_seed(F.col("product_id"), 0)
-    return facets.select("product_id", describe(picked, drop_missing).alias("description"))
+    return catalog.describe(facets, picked, drop_missing)
 
 
 def tokenize_products(

@@ -379,7 +379,7 @@ ORACLE: dict[str, str] = {
     "scan_pruned": "SELECT doc_id, n_chars FROM documents",
     "sink_roundtrip": "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents",
     "write_training_set": f"{LABELLED_PAIRS} SELECT product_id::INT AS product_id, dataset, md5(text) AS text, quality, toxic FROM pairs",
-    "split_files": f"{LABELLED_PAIRS} SELECT dataset, CASE dataset WHEN 'training' THEN 7 ELSE 3 END AS n_files, count(*) AS n_rows FROM pairs GROUP BY ALL",
+    "split_files": f"{LABELLED_PAIRS} SELECT dataset, CASE dataset WHEN 'training' THEN 7::BIGINT ELSE 3 END AS n_files, count(*) AS n_rows FROM pairs GROUP BY ALL",
     "category_stats": f"""WITH {PRODUCTS} SELECT product_family, product_category,
         array_to_string(list_sort(list(DISTINCT product_sub_category)), '|') AS product_sub_categories,
         count(*) AS product_category_count FROM products GROUP BY ALL""",

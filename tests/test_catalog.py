@@ -153,14 +153,14 @@ FACETS = "desc_category string, desc_brand string, desc_gender string, desc_colo
     ],
 )
 def test_sentences(spark, row, sentences):
-    df = spark.createDataFrame([(i, *row) for i in range(3)], "i int, " + FACETS)
-    out = df.select("i", text.describe(F.col("i")).alias("d")).collect()
-    assert [r["d"] for r in sorted(out)] == sentences
+    df = spark.createDataFrame([(i, *row) for i in range(3)], "product_id int, " + FACETS)
+    out = catalog.describe(df, F.col("product_id")).collect()
+    assert [r["description"] for r in sorted(out)] == sentences
 
 
 def test_missing_parts_can_be_left_out(spark):
-    df = spark.createDataFrame([(None, None, None, None, None, None)], FACETS)
-    assert df.select(text.describe(F.lit(0), drop_missing=True)).first()[0] == "a  made by    ."
+    df = spark.createDataFrame([(1, None, None, None, None, None, None)], "product_id int, " + FACETS)
+    assert catalog.describe(df, F.lit(0), drop_missing=True).first()["description"] == "a  made by    ."
 
 
 def test_seeded_choice_is_stable_and_spread(spark):
