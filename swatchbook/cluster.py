@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# A side of a join is broadcast only when it holds at most this many rows.
+# A side of a join is broadcast only when it holds at most this much.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 # A key is hot when it holds more than this share of the rows, so there are
 # never more than 1 / HOT_SHARE hot keys, whatever the size of the table.
@@ -67,9 +68,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Materialise ``df``; the flag says whether it may be broadcast."""
+    """Materialise ``df``, whose columns must cast to string; the flag says whether it may be broadcast."""
     table = written(df, label)
-    return table, table.count() <= max_rows
+    width = F.octet_length(F.concat_ws("", *[F.col(c).cast("string") for c in df.columns]))
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
+    return table, rows <= max_rows and size <= BROADCAST_BYTES
 
 
 def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = 10_000) -> DataFrame:

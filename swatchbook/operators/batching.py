@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from swatchbook.cluster import global_row_index
+from swatchbook.cluster import global_row_index, written
 
 
 def assign_batches(
@@ -75,7 +75,8 @@ def file_batches(table: DataFrame, batch_size: int, shuffle: bool = False, seed:
 
 def file_shards(table: DataFrame, workers: int) -> DataFrame:
     """``(file, n_rows, worker)``: the files of a parquet read, dealt out in name order."""
-    files = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"))
+    counts = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"))
+    files = written(counts, "file-counts")
     partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     indexed = global_row_index(files, [F.col("file")], partitions, "_index")
     return indexed.select("file", "n_rows", (F.col("_index") % workers).cast("int").alias("worker"))

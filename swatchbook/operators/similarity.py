@@ -18,6 +18,8 @@ from swatchbook.functions.vectors import LOGIT_SCALE, argmax, cross_entropy, dot
 # wherever they are computed, and the tie goes to the smallest id.
 SCORE_DECIMALS = 9
 TILE_ROWS = 2048
+# Logits a task holds before it hands them on.
+LOGIT_CELLS = 1 << 20
 MAX_CELLS = 256
 # Slack for rounding in the pruning bounds, in radians and in score.
 ANGLE_SLACK = 1e-6
@@ -57,29 +59,35 @@ def inbatch_logits(pairs: DataFrame, batch_size: int, scale: float = LOGIT_SCALE
     schema = StructType(
         [
             packed.schema["batch_id"],
-            StructField("pos", ArrayType(packed.schema["pos"].dataType.elementType)),
-            StructField("img_logits", ArrayType(ArrayType(DoubleType()))),
-            StructField("txt_logits", ArrayType(ArrayType(DoubleType()))),
+            StructField("pos", packed.schema["pos"].dataType.elementType),
+            StructField("img_logits", ArrayType(DoubleType())),
+            StructField("txt_logits", ArrayType(DoubleType())),
         ]
     )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            images, texts = [], []
-            for pos, img, txt in zip(batch["pos"], batch["img"], batch["txt"], strict=True):
+        rows, cells = [], 0
+
+        def taken():
+            return pd.DataFrame(rows, columns=schema.names)
+
+        for block in batches:
+            for batch_id, pos, img, txt in block.itertuples(index=False):
                 u = np.asarray(img, dtype=np.float64).reshape(len(pos), -1)
                 v = np.asarray(txt, dtype=np.float64).reshape(len(pos), -1)
-                logits = factor * (u @ v.T)
-                images.append(list(logits))
-                texts.append(list(np.ascontiguousarray(logits.T)))
-            yield pd.DataFrame(
-                {"batch_id": batch["batch_id"], "pos": batch["pos"], "img_logits": images, "txt_logits": texts}
-            )
-
-    scored = packed.mapInPandas(score, schema)
-    return scored.select(
-        "batch_id", F.inline(F.arrays_zip("pos", "img_logits", "txt_logits"))
-    )
+                # A few rows of a large batch at a time: never the whole matrix.
+                step = max(1, LOGIT_CELLS // len(pos))
+                for i in range(0, len(pos), step):
+                    images, texts = factor * (u[i : i + step] @ v.T), factor * (v[i : i + step] @ u.T)
+                    rows += zip([batch_id] * len(images), pos[i : i + step], images, texts, strict=True)
+                    cells += images.size
+                    if cells >= LOGIT_CELLS:
+                        yield taken()
+                        rows, cells = [], 0
+        if rows:
+            yield taken()
+
+    return packed.mapInPandas(score, schema)
 
 
 def batch_predictions(logits: DataFrame, alpha: float = 0.5) -> DataFrame:

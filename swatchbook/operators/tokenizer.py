@@ -34,6 +34,7 @@ from swatchbook.sources.merges import (
     byte_symbols,
     collect_merges,
     token_ids,
+    vocabulary,
 )
 
 REMEMBERED_WORDS = 200_000
@@ -109,7 +110,7 @@ class WordEncoder:
         self.rank_of = {(left, right): rank for rank, left, right in merges}
         self.id_of = {token: i for i, token in token_ids(merges)}
         self.symbol_of = dict(byte_symbols())
-        self.known: dict[str, list[int]] = {t: [self.id_of[t]] for t in (START_TOKEN, END_TOKEN)}
+        self.known: dict[str, list[int]] = {}
 
     @property
     def start_id(self) -> int:
@@ -119,15 +120,20 @@ class WordEncoder:
     def end_id(self) -> int:
         return self.id_of[END_TOKEN]
 
+    def word_symbols(self, word: str) -> list[str]:
+        if word in (START_TOKEN, END_TOKEN):
+            return [word]
+        symbols = [self.symbol_of[b] for b in word.encode("utf-8")]
+        symbols[-1] += WORD_END
+        return merge_symbols(symbols, self.rank_of)
+
     def word_ids(self, word: str) -> list[int]:
         found = self.known.get(word)
         if found is None:
-            symbols = [self.symbol_of[b] for b in word.encode("utf-8")]
-            symbols[-1] += WORD_END
-            found = [self.id_of[s] for s in merge_symbols(symbols, self.rank_of)]
-            if len(word) <= 64:
+            found = [self.id_of[s] for s in self.word_symbols(word)]
+            if len(word) <= SHORT_WORD:
                 if len(self.known) >= REMEMBERED_WORDS:
-                    self.known = {t: self.known[t] for t in (START_TOKEN, END_TOKEN)}
+                    self.known = {}
                 self.known[word] = found
         return found
 
@@ -213,7 +219,9 @@ def word_table(df: DataFrame, merges: DataFrame, text: str) -> DataFrame:
     """``(word, n_texts, ids)``: every distinct word of the corpus, encoded once.
 
     Words are made distinct per text and then counted with a map-side combine,
-    so a word that occurs in every text costs one row per map task.
+    so a word that occurs in every text costs one row per map task. Symbols
+    meet their ids in a join with the vocabulary, which is broadcast as it has
+    at most 49,408 rows. A word's group is its own list of symbols.
     """
     # explode_outer: a plain explode adds a filter that would split every text twice.
     words = (
@@ -223,7 +231,22 @@ def word_table(df: DataFrame, merges: DataFrame, text: str) -> DataFrame:
         .agg(F.count("*").alias("n_texts"))
         .filter(F.col("word").isNotNull())
     )
-    return encode_words(words.withColumn("_w", F.array("word")), word_encoder(merges), "_w")
+    shared = df.sparkSession.sparkContext.broadcast(word_encoder(merges))
+
+    def spell(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in blocks:
+            yield block.assign(symbols=block["word"].map(shared.value.word_symbols))
+
+    spelled = words.mapInPandas(spell, "word string, n_texts bigint, symbols array<string>")
+    # Two merges may make the same symbol; the later id stands.
+    ids = vocabulary(merges).groupBy("token").agg(F.max("id").alias("id"))
+    return (
+        spelled.select("word", "n_texts", F.posexplode("symbols").alias("pos", "token"))
+        .join(F.broadcast(ids), "token")
+        .groupBy("word", "n_texts")
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("places"))
+        .select("word", "n_texts", F.col("places.id").alias("ids"))
+    )
 
 
 def decode_ids(df: DataFrame, merges: DataFrame, ids: str = "ids", out: str = "text") -> DataFrame:

@@ -358,7 +358,7 @@ BEST = f"""scored AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(
   list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])
   / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))
   / sqrt(list_dot_product(c.embedding::DOUBLE[], c.embedding::DOUBLE[])), 9) AS score
-  FROM embeddings q JOIN embeddings c ON q.vec_id % 2 = 0 AND c.vec_id % 2 = 1)
+  FROM embeddings q CROSS JOIN embeddings c)
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INT AS rank, id, round(score, 6) AS score
 FROM scored QUALIFY rank <= {TOP_K}"""
 
@@ -402,9 +402,9 @@ ORACLE: dict[str, str] = {
         SELECT product_id, array_to_string(attribute_values, '|') AS attribute_values FROM vals""",
     "products_with_attributes": _WITH_VALUES,
     "products_with_attributes_in_row": _WITH_VALUES,
-    "verbalize_list": f"""WITH {PRODUCTS}, {parsed("products")}, named AS (SELECT product_id,
-        list_transform(attrs, lambda a: a.attribute_name)[1:product_id % 5 + 1] AS names FROM parsed WHERE len(attrs) > 0)
-        SELECT product_id, {PHRASE.format(x="names")} AS phrase FROM named""",
+    "verbalize_list": f"""WITH {PRODUCTS}, {parsed("products")}, lists AS (SELECT product_id, attribute_values AS items FROM attributes
+        UNION ALL SELECT product_id, list_transform(attrs, lambda a: a.attribute_name) FROM parsed)
+        SELECT product_id, {PHRASE.format(x="items")} AS phrase FROM lists WHERE len(items) > 0""",
     "verbalize": f"WITH {described()} SELECT product_id, description FROM described",
     "verbalize_in_row": f"WITH {described()} SELECT product_id, description FROM described",
     "clean_text": f"""WITH twice AS (SELECT page_id, {squeezed(unescaped("once"))} AS cleaned FROM

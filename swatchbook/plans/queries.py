@@ -218,12 +218,12 @@ def products_with_attributes_in_row(spark, sf):
 
 @query
 def verbalize_list(spark, sf):
-    names = F.slice(F.col("product_attributes.attribute_name"), F.lit(1), F.col("product_id") % 5 + 1)
-    return (
-        _parsed(spark, sf)
-        .filter(F.size("product_attributes") > 0)
-        .select("product_id", text.list_phrase(names).alias("phrase"))
-    )
+    """The attribute names of each product, and the values of each attribute."""
+    parsed = _parsed(spark, sf)
+    values = catalog.explode_attributes(parsed).select("product_id", F.col("attribute_values").alias("items"))
+    names = parsed.select("product_id", F.col("product_attributes.attribute_name").alias("items"))
+    lists = values.unionByName(names).filter(F.size("items") > 0)
+    return lists.select("product_id", text.list_phrase(F.col("items")).alias("phrase"))
 
 
 def _described(spark, sf, rare_rows=RARE_ROWS, unique_ids=False):
@@ -666,9 +666,7 @@ def eval_report_steps(spark, sf):
 @query
 def topk_retrieval(spark, sf):
     vecs = _embeddings(spark, sf)
-    images_side = vecs.filter("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
-    texts_side = vecs.filter("vec_id % 2 = 1").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
-    best = similarity.nearest(images_side, texts_side, TOP_K, cells=16)
+    best = similarity.nearest(vecs, vecs, TOP_K, "vec_id", "embedding", "vec_id", "embedding", cells=16)
     return best.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 
