@@ -119,7 +119,15 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k best scores per row; among ties the first columns."""
     if k == 1:
         return scores.argmax(axis=1)[:, None]
-    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    if scores.shape[1] <= 4 * k:
+        return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    near = np.sort(np.argpartition(-scores, k - 1, axis=1)[:, :k], axis=1)
+    values = np.take_along_axis(scores, near, axis=1)
+    best = np.take_along_axis(near, np.argsort(-values, axis=1, kind="stable"), axis=1)
+    # More columns than k reach the k-th score: only a full sort knows the first ones.
+    tied = (scores >= values.min(axis=1)[:, None]).sum(axis=1) > k
+    best[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :k]
+    return best
 
 
 def _pivots(corpus: DataFrame, cells: int) -> np.ndarray:
