@@ -18,10 +18,13 @@ from pyspark.sql.window import Window
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
-# A key is hot when it holds more than this share of the rows, so there are
-# never more than 1 / HOT_SHARE hot keys, whatever the size of the table.
-HOT_SHARE = 0.001
-SALTS = 64
+# Shuffled pieces are meant to be about this large.
+PIECE_BYTES = 128 << 20
+# A table is cut into at most this many pieces when hot keys are looked for;
+# a key is hot when it holds more than one piece, so there are never more hot
+# keys than pieces.
+MAX_PIECES = 10_000
+MIN_HOT_ROWS = 10_000
 
 SPREAD_BYTES = 64 << 20
 
@@ -56,6 +59,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of the table's size."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def piece_count(df: DataFrame) -> int:
+    """Shuffle partitions for this table: the session's number, or more when it is large."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(df) // PIECE_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small table out over all cores, ahead of costly work per row.
 
@@ -63,8 +76,7 @@ def spread(df: DataFrame) -> DataFrame:
     ``SPREAD_BYTES`` per core have enough input splits and stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+    return df.repartition(cores) if plan_bytes(df) < SPREAD_BYTES * cores else df
 
 
 def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -75,53 +87,40 @@ def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> tup
     return table, rows <= max_rows and size <= BROADCAST_BYTES
 
 
-def hot_keys(df: DataFrame, key: str, share: float = HOT_SHARE, min_rows: int = 10_000) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows: at most ``1 / share``.
+def hot_keys(df: DataFrame, key: str, pieces: int, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
+    """``(key, _salts)`` of keys with more than one ``pieces``-th of the rows: fewer than ``pieces`` rows.
 
-    Counting combines on the map side and reads the key column only.
+    ``_salts`` is the number of pieces that the key's rows make up. Counting
+    combines on the map side and reads the key column only.
     """
-    limit = max(df.select(key).count() * share, min_rows)
+    piece = max(df.select(key).count() / pieces, min_rows)
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") > limit).select(key)
+    return counts.filter(F.col("_n") > piece).select(key, F.ceil(F.col("_n") / piece).alias("_salts"))
 
 
 def skew_join(
-    many: DataFrame,
-    one: DataFrame,
-    key: str,
-    how: str = "inner",
-    salts: int = SALTS,
-    share: float = HOT_SHARE,
-    min_rows: int = 10_000,
+    many: DataFrame, one: DataFrame, key: str, how: str = "inner", pieces: int | None = None, min_rows: int = MIN_HOT_ROWS
 ) -> DataFrame:
-    """Equi-join in which a hot key of ``many`` is spread over ``salts`` tasks.
+    """Equi-join in which a hot key of ``many`` is spread over as many tasks as it fills.
 
     Rows of ``one`` are repeated per salt for the hot keys only. ``how`` may be
     inner, left, left_semi or left_anti, with ``many`` on the left. ``many``
     should be a table read plus row-wise steps, so that the running id behind
     the salt is the same when a lost task is computed again.
     """
-    hot, _ = small_side(hot_keys(many, key, share, min_rows), "hot-keys")
+    pieces = min(pieces or piece_count(many), MAX_PIECES)
+    hot = written(hot_keys(many, key, pieces, min_rows), "hot-keys")
     if hot.isEmpty() and how in ("inner", "left_semi"):
         return many.join(one, key, how)
-    # At most 1 / share rows by construction.
-    flags = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    left = many.join(flags, key, "left").withColumn(
-        "_salt",
-        # Null keys match nothing, but must not all travel to the same task.
-        F.when(F.col("_hot") | F.col(key).isNull(), F.monotonically_increasing_id() % salts).otherwise(
-            F.lit(0).cast("bigint")
-        ),
-    )
+    # Fewer rows than pieces, hence at most MAX_PIECES.
+    flags = F.broadcast(hot)
+    # Null keys match nothing, but must not all travel to the same task.
+    salts = F.when(F.col(key).isNull(), F.lit(pieces)).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = many.join(flags, key, "left").withColumn("_salt", F.monotonically_increasing_id() % salts)
     right = one.join(flags, key, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(F.col("_hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).otherwise(
-                F.array(F.lit(0).cast("bigint"))
-            )
-        ),
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1).cast("bigint")) - 1))
     )
-    return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"], how).drop("_salt")
 
 
 def sized_join(many: DataFrame, one: DataFrame, key: str, how: str, label: str) -> DataFrame:
@@ -133,7 +132,7 @@ def sized_join(many: DataFrame, one: DataFrame, key: str, how: str, label: str)
 
 
 def global_row_index(
-    df: DataFrame, order: Sequence[Column], partitions: int, name: str = "row_index"
+    df: DataFrame, order: Sequence[Column], partitions: int | None = None, name: str = "row_index"
 ) -> DataFrame:
     """Number all rows 0, 1, 2, ... in ``order`` without a single-task window.
 
@@ -150,7 +149,7 @@ def global_row_index(
     )
     keys = [F.col(f"_o{i}") for i in range(len(order))] + [F.col("_tie")]
     (
-        tagged.repartitionByRange(partitions, *keys)
+        tagged.repartitionByRange(partitions or piece_count(df), *keys)
         .sortWithinPartitions(*keys)
         .drop("_tie", *[f"_o{i}" for i in range(len(order))])
         .write.parquet(path)

@@ -32,7 +32,6 @@ def assign_batches(
     training call again with the next ``first_epoch``. Pass only the columns
     the batches need: this sorts and writes them.
     """
-    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     numbers = F.sequence(F.lit(first_epoch), F.lit(first_epoch + epochs - 1))
     repeated = df.withColumn("epoch", F.explode(numbers))
     order: list[Column] = [F.col("epoch")]
@@ -77,8 +76,7 @@ def file_shards(table: DataFrame, workers: int) -> DataFrame:
     """``(file, n_rows, worker)``: the files of a parquet read, dealt out in name order."""
     counts = table.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n_rows"))
     files = written(counts, "file-counts")
-    partitions = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    indexed = global_row_index(files, [F.col("file")], partitions, "_index")
+    indexed = global_row_index(files, [F.col("file")], name="_index")
     return indexed.select("file", "n_rows", (F.col("_index") % workers).cast("int").alias("worker"))
 
 

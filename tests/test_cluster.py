@@ -15,7 +15,7 @@ def test_skew_join_keeps_every_row(spark, how):
     many = hot_table(spark)
     one = spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
     plain = many.join(one, "k", how)
-    salted = cluster.skew_join(many, one, "k", how, salts=8, min_rows=50)
+    salted = cluster.skew_join(many, one, "k", how, pieces=12, min_rows=50)
     assert salted.columns == plain.columns
     assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
 
@@ -23,11 +23,11 @@ def test_skew_join_keeps_every_row(spark, how):
 def test_hot_key_is_spread(spark):
     many = hot_table(spark)
     one = spark.range(0, 300).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    assert [r[0] for r in cluster.hot_keys(many, "k", min_rows=50).collect()] == [7]
+    assert [tuple(r) for r in cluster.hot_keys(many, "k", 30, 50).collect()] == [(7, 11)]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        joined = cluster.skew_join(many, one, "k", "inner", salts=32, min_rows=50)
+        joined = cluster.skew_join(many, one, "k", "inner", pieces=30, min_rows=50)
         parts = joined.filter("k = 7").groupBy(F.spark_partition_id()).count().collect()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -100,3 +100,25 @@ def test_spread_deals_out_small_tables_only(spark, monkeypatch):
     assert cluster.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(cluster, "SPREAD_BYTES", 1)
     assert cluster.spread(df) is df
+
+
+def test_large_tables_get_more_pieces(spark, monkeypatch):
+    df = cluster.written(spark.range(100_000), "pieces")
+    assert cluster.piece_count(df) == 4
+    monkeypatch.setattr(cluster, "PIECE_BYTES", 1000)
+    assert cluster.piece_count(df) > 100
+
+
+def test_null_keys_are_spread(spark):
+    many = cluster.written(spark.range(4000).select(F.lit(None).cast("bigint").alias("k"), "id"), "nulls")
+    one = spark.range(10).select(F.col("id").alias("k"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept = cluster.skew_join(many, one, "k", "left_anti", pieces=40)
+        parts = kept.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(r["count"] for r in parts) == 4000
+    assert len(parts) == 4
