@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column
@@ -14,6 +14,11 @@ CHANNEL_STD = (0.26862954, 0.26130258, 0.27577711)
 LOGIT_SCALE = float(np.log(1 / 0.07))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where the body loops over an array."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def dot(u: Column, v: Column) -> Column:
     products = F.zip_with(u, v, lambda a, b: a.cast("double") * b.cast("double"))
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
@@ -23,6 +28,11 @@ def l2_norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def unit(v: Column) -> Column:
+    """The vector divided by its length."""
+    return let(l2_norm(v), lambda length: F.transform(v, lambda x: x.cast("double") / length))
+
+
 def scaled_cosine(u: Column, v: Column, scale: float = LOGIT_SCALE) -> Column:
     """Logit of one pair: exp(scale) times the dot product of unit vectors."""
     return F.exp(F.lit(scale)) * dot(u, v)
@@ -54,6 +64,8 @@ def argmax(values: Column) -> Column:
 
 def cross_entropy(logits: Column, target: Column) -> Column:
     """Negative log-softmax at ``target``, shifted by the maximum before exp."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
-    return F.ln(total) + top - F.get(logits, target)
+
+    def log_sum(top: Column) -> Column:
+        return F.ln(F.aggregate(logits, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))) + top
+
+    return let(F.array_max(logits), log_sum) - F.get(logits, target)

@@ -12,7 +12,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from swatchbook.cluster import written
-from swatchbook.functions.vectors import LOGIT_SCALE, argmax, cross_entropy, dot, l2_norm
+from swatchbook.functions.vectors import LOGIT_SCALE, argmax, cross_entropy, unit
 
 # Scores are compared at this many decimals, so that copies of a vector tie
 # wherever they are computed, and the tie goes to the smallest id.
@@ -26,10 +26,8 @@ ANGLE_SLACK = 1e-6
 
 
 def l2_normalize(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Divide a vector by its length, computed once per row."""
-    scaled = df.withColumn("_norm", l2_norm(F.col(column)))
-    unit = F.transform(F.col(column), lambda x: x.cast("double") / F.col("_norm"))
-    return scaled.withColumn(out or column, unit).drop("_norm")
+    """Divide a vector by its length."""
+    return df.withColumn(out or column, unit(F.col(column)))
 
 
 def inbatch_logits(pairs: DataFrame, batch_size: int, scale: float = LOGIT_SCALE) -> DataFrame:
@@ -224,13 +222,14 @@ def nearest(
     query_vec: str = "vec",
     corpus_key: str = "id",
     corpus_vec: str = "vec",
-    cells: int = 64,
+    cells: int | None = None,
     tile: int = TILE_ROWS,
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: the exact k best corpus rows of every query by cosine.
 
     Keys must be unique integers; vectors may be copies. The corpus
-    is divided into cells around ``cells`` of its own vectors. A query is first
+    is divided into cells around ``cells`` of its own vectors (by default, one
+    per ``tile`` rows and at most MAX_CELLS). A query is first
     scored in its home cell; its k-th score there is a floor. By the triangle
     inequality on angles a cell whose members lie between ``lo`` and ``hi``
     from their pivot holds nothing better than
@@ -240,7 +239,10 @@ def nearest(
     """
     asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vec).alias("vec"))
     base = corpus.select(F.col(corpus_key).cast("bigint").alias("id"), F.col(corpus_vec).alias("vec"))
-    pivots = _pivots(base, cells)
+    rows = base.count()
+    if rows == 0:
+        return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+    pivots = _pivots(base, cells or -(-rows // tile))
     placed = written(_with_cell(base, pivots), "corpus-cells")
     # One row per cell, at most MAX_CELLS.
     stats = (
@@ -250,7 +252,10 @@ def nearest(
     )
     sizes = {r["cell"]: r["n"] for r in stats}
     homed = written(_with_cell(asked, pivots), "query-cells")
-    first = written(_ranked(_tile_scores(homed, placed, sizes, k, tile), k).drop("rank"), "home-scores")
+    at_home = _ranked(_tile_scores(homed, placed, sizes, k, tile), k)
+    if len(sizes) == 1:
+        return at_home
+    first = written(at_home.drop("rank"), "home-scores")
 
     floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     shared = queries.sparkSession.sparkContext.broadcast(
@@ -296,8 +301,3 @@ def embedding_parity(left: DataFrame, right: DataFrame, key: str = "id", vec: st
         F.count_if(both & ~same_size).alias("n_size_differs"),
         F.max(F.when(both & same_size, F.array_max(gaps))).alias("max_abs_diff"),
     )
-
-
-def pair_logit(u: Column, v: Column, scale: float = LOGIT_SCALE) -> Column:
-    """Scaled cosine of one pair of vectors of any length."""
-    return F.exp(F.lit(scale)) * dot(u, v) / (l2_norm(u) * l2_norm(v))

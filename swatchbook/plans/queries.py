@@ -666,7 +666,7 @@ def eval_report_steps(spark, sf):
 @query
 def topk_retrieval(spark, sf):
     vecs = _embeddings(spark, sf)
-    best = similarity.nearest(vecs, vecs, TOP_K, "vec_id", "embedding", "vec_id", "embedding", cells=16)
+    best = similarity.nearest(vecs, vecs, TOP_K, "vec_id", "embedding", "vec_id", "embedding")
     return best.select("query_id", "rank", "id", F.round("score", 6).alias("score"))
 
 

@@ -24,7 +24,7 @@ def found(df):
     return {(r["query_id"], r["rank"]): r["id"] for r in df.collect()}
 
 
-@pytest.mark.parametrize(("cells", "tile", "k"), [(1, 4096, 1), (8, 16, 3), (32, 7, 10)])
+@pytest.mark.parametrize(("cells", "tile", "k"), [(1, 4096, 1), (8, 16, 3), (32, 7, 10), (None, 50, 2), (None, 4096, 2)])
 def test_nearest_on_noise(spark, cells, tile, k):
     rng = np.random.default_rng(1)
     queries, corpus = rng.normal(size=(60, 12)), rng.normal(size=(300, 12))
@@ -70,6 +70,12 @@ def test_nearest_with_fewer_rows_than_k(spark):
     assert found(out) == brute(queries, corpus, 10)
 
 
+def test_nearest_of_nothing(spark):
+    some, none = table(spark, np.ones((3, 4))), table(spark, np.ones((3, 4))).filter("id < 0")
+    assert similarity.nearest(some.withColumnRenamed("id", "query_id"), none, 2).count() == 0
+    assert similarity.nearest(none.withColumnRenamed("id", "query_id"), some, 2).count() == 0
+
+
 def pairs(spark, images, texts, batch):
     rows = [
         (i // batch, i % batch, [float(x) for x in u], [float(x) for x in v])
