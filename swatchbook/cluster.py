@@ -99,7 +99,12 @@ def hot_keys(df: DataFrame, key: str, pieces: int, min_rows: int = MIN_HOT_ROWS)
 
 
 def skew_join(
-    many: DataFrame, one: DataFrame, key: str, how: str = "inner", pieces: int | None = None, min_rows: int = MIN_HOT_ROWS
+    many: DataFrame,
+    one: DataFrame,
+    key: str,
+    how: str = "inner",
+    pieces: int | None = None,
+    min_rows: int = MIN_HOT_ROWS,
 ) -> DataFrame:
     """Equi-join in which a hot key of ``many`` is spread over as many tasks as it fills.
 

@@ -13,14 +13,11 @@ EPOCH_BLOCK = 4096
 
 def directions(predictions: DataFrame) -> DataFrame:
     """``(direction, label, pred)``: image-to-text and text-to-image as rows."""
-    return predictions.select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("img").alias("direction"), F.col("pos").alias("label"), F.col("pred_img").alias("pred")),
-                F.struct(F.lit("text").alias("direction"), F.col("pos").alias("label"), F.col("pred_txt").alias("pred")),
-            )
-        )
-    )
+    sides = [
+        F.struct(F.lit(name).alias("direction"), F.col("pos").alias("label"), F.col(column).alias("pred"))
+        for name, column in (("img", "pred_img"), ("text", "pred_txt"))
+    ]
+    return predictions.select(F.inline(F.array(*sides)))
 
 
 def confusion(predictions: DataFrame) -> DataFrame:
@@ -42,15 +39,10 @@ def macro_scores(counts: DataFrame) -> DataFrame:
     """
     hit = F.when(F.col("label") == F.col("pred"), F.col("n")).otherwise(0)
     zero = F.lit(0).cast("bigint")
-    sides = counts.select(
-        "direction",
-        F.inline(
-            F.array(
-                F.struct(F.col("label").alias("class"), hit.alias("tp"), F.col("n").alias("actual"), zero.alias("guessed")),
-                F.struct(F.col("pred").alias("class"), zero.alias("tp"), zero.alias("actual"), F.col("n").alias("guessed")),
-            )
-        ),
-    )
+    n = F.col("n")
+    as_label = F.struct(F.col("label").alias("class"), hit.alias("tp"), n.alias("actual"), zero.alias("guessed"))
+    as_guess = F.struct(F.col("pred").alias("class"), zero.alias("tp"), zero.alias("actual"), n.alias("guessed"))
+    sides = counts.select("direction", F.inline(F.array(as_label, as_guess)))
     tp, actual, guessed = F.col("tp"), F.col("actual"), F.col("guessed")
     per_class = sides.groupBy("direction", "class").agg(
         F.sum("tp").alias("tp"), F.sum("actual").alias("actual"), F.sum("guessed").alias("guessed")

@@ -111,7 +111,7 @@ def _training_set(spark, sf, counts):
     texts, sides = _sides(spark, sf)
     folders = jobs.build_training_set(texts, sides, scratch_path(spark, "training-set"), counts)
     parts = [
-        tables.read_table(spark, path).withColumn("dataset", F.lit(name)).withColumn("file", F.col("_metadata.file_path"))
+        tables.read_table(spark, path).select("*", F.lit(name).alias("dataset"), F.col("_metadata.file_path").alias("file"))
         for name, path in folders.items()
     ]
     return parts[0].unionByName(parts[1])
@@ -309,7 +309,8 @@ def merge_list(spark: SparkSession, sf: str) -> DataFrame:
     """
     known = (spark.sparkContext.applicationId, sf)
     if known not in _MERGE_LISTS:
-        words = _words(spark, sf).select(F.explode_outer("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+        each = _words(spark, sf).select(F.explode_outer("words").alias("word"))
+        words = each.groupBy("word").agg(F.count("*").alias("n"))
         words = written(words.filter(F.col("word").rlike("^[a-z]+$")), "words")
         levels = []
         for level, (a, b) in enumerate(((1, 1), (2, 1), (2, 2)), start=1):
@@ -508,7 +509,7 @@ def file_shards(spark, sf):
     path = scratch_path(spark, "files")
     tables.write_table(table(spark, sf, "documents").repartition(7), path)
     dealt = batching.file_shards(tables.read_table(spark, path), 3)
-    total = dealt.groupBy().agg(F.lit(-1).alias("worker"), F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
+    total = dealt.agg(F.lit(-1).alias("worker"), F.count("*").alias("n_files"), F.sum("n_rows").alias("n_rows"))
     each = dealt.groupBy("worker").agg(F.count("*").alias("n_files")).withColumn("n_rows", F.lit(None).cast("bigint"))
     return each.unionByName(total)
 
@@ -589,9 +590,8 @@ def reject_split(spark, sf):
         StructField("largest", DoubleType()),
         ["vec_id"],
     )
-    good = rejects.accepted(mapped).select("vec_id", F.round("largest", 6).alias("largest"), F.lit(None).cast("string").alias("error"))
-    bad = rejects.rejected(mapped, "largest").select("vec_id", F.lit(None).cast("double").alias("largest"), "error")
-    return good.unionByName(bad)
+    good = rejects.accepted(mapped).withColumn("largest", F.round("largest", 6))
+    return good.unionByName(rejects.rejected(mapped, "largest"), allowMissingColumns=True)
 
 
 def _pairs(spark, sf):
@@ -618,14 +618,15 @@ def _predictions(spark, sf):
 @query
 def inbatch_logits(spark, sf):
     return _logits(spark, sf).select(
-        "batch_id", "pos", scaled(F.col("img_logits"), 1e6).alias("img_logits"), scaled(F.col("txt_logits"), 1e6).alias("txt_logits")
+        "batch_id", "pos", *[scaled(F.col(c), 1e6).alias(c) for c in ("img_logits", "txt_logits")]
     )
 
 
 @query
 def pair_logit(spark, sf):
     """Only the logits of matching pairs, without their batches."""
-    return _pairs(spark, sf).select("batch_id", "pos", F.round(vectors.scaled_cosine(F.col("img"), F.col("txt")), 6).alias("logit"))
+    logit = vectors.scaled_cosine(F.col("img"), F.col("txt"))
+    return _pairs(spark, sf).select("batch_id", "pos", F.round(logit, 6).alias("logit"))
 
 
 @query
@@ -697,7 +698,7 @@ def running_best(spark, sf):
         .agg((cents / F.count("*")).alias("metric"))
     )
     best = evaluation.running_best(history, every=3, block=8)
-    return best.select("run", "epoch", F.round("metric", 6).alias("metric"), F.col("is_best").cast("int").alias("is_best"))
+    return best.withColumns({"metric": F.round("metric", 6), "is_best": F.col("is_best").cast("int")})
 
 
 # Streams
@@ -709,9 +710,10 @@ def _stage_images(spark, sf):
     plane = F.array_join(F.transform("embedding", byte), "")
     whole = F.unhex(F.concat(plane, plane, plane))
     content = F.when(F.col("label") == 7, F.substring(whole, 1, 191)).otherwise(whole)
-    name = F.concat(F.lit("label="), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".jpg"))
+    name = F.format_string("label=%d/%d.jpg", "label", "vec_id")
     folder = scratch_path(spark, "pictures")
-    files.write_files(_embeddings(spark, sf).select(name.alias("name"), content.alias("content")), folder, "name", "content")
+    pictures = _embeddings(spark, sf).select(name.alias("name"), content.alias("content"))
+    files.write_files(pictures, folder, "name", "content")
     return folder
 
 
@@ -746,13 +748,10 @@ def stream_shard_sink(spark, sf):
         ).cast("bigint"),
     )
     total = F.aggregate(restored, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    good = images.read_tensors(spark, out).select(
-        "product_id", F.lit(0).alias("rejected"), total.alias("byte_sum"), F.col("shard").between(0, 9).cast("int").alias("in_range")
-    )
-    bad = images.read_rejects(spark, out).select(
-        "product_id", F.lit(1).alias("rejected"), F.lit(None).cast("bigint").alias("byte_sum"), F.col("shard").between(0, 9).cast("int").alias("in_range")
-    )
-    return good.unionByName(bad)
+    good = images.read_tensors(spark, out).withColumns({"rejected": F.lit(0), "byte_sum": total})
+    bad = images.read_rejects(spark, out).withColumns({"rejected": F.lit(1), "byte_sum": F.lit(None).cast("bigint")})
+    in_range = F.col("shard").between(0, 9).cast("int").alias("in_range")
+    return good.drop("img_array").unionByName(bad.drop("error")).select("product_id", "rejected", "byte_sum", in_range)
 
 
 @query
@@ -770,8 +769,8 @@ def train_batches(spark, sf):
         F.col("vec_id").cast("string").alias("product_id"),
         tensors.npy_encode(F.col("embedding"), (64,)).alias("img_array"),
     )
-    folders = jobs.build_training_set(
-        tokens, sides, scratch_path(spark, "train"), {"training": 4, "validation": 2}, {"description_ids": [77], "img_array": [64]}
-    )
+    shapes = {"description_ids": [77], "img_array": [64]}
+    path = scratch_path(spark, "train")
+    folders = jobs.build_training_set(tokens, sides, path, {"training": 4, "validation": 2}, shapes)
     training = tables.read_table(spark, folders["training"], ["product_id", "n_tokens"])
     return batching.assign_batches(training, "product_id", BATCH, shuffle=False)
