@@ -129,11 +129,15 @@ def skew_join(
 
 
 def sized_join(many: DataFrame, one: DataFrame, key: str, how: str, label: str) -> DataFrame:
-    """Broadcast ``one`` if a count shows it is small, else the skew-safe shuffle join."""
+    """Broadcast ``one`` if a count shows it is small, else the skew-safe shuffle join.
+
+    For the latter ``many`` is written first, as it may itself come from a
+    shuffle, whose row order would change when a lost task is computed again.
+    """
     table, small = small_side(one, label)
     if small:
         return many.join(F.broadcast(table), key, how)
-    return skew_join(many, table, key, how)
+    return skew_join(written(many, "many"), table, key, how)
 
 
 def global_row_index(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swatchbook.cluster import sized_join, skew_join, small_side
+from swatchbook.cluster import sized_join, skew_join, small_side, written
 from swatchbook.functions import text
 
 # Fixed values.
@@ -189,7 +189,7 @@ def facets_with_values_in_row(products: DataFrame, min_rows: int = MIN_ATTRIBUTE
     )
     inline = [r[0] for r in names.limit(INLINE_NAMES + 1).collect()]
     if len(inline) > INLINE_NAMES:
-        attributes = skew_join(explode_attributes(products), names, "attribute_name", "left_semi")
+        attributes = skew_join(written(explode_attributes(products), "attributes"), names, "attribute_name", "left_semi")
         return with_attribute_values(product_facets(products), values_per_product(single_valued(attributes)))
     wanted = [n for n in inline if n not in IGNORED_ATTRIBUTES]
     kept = F.filter(

@@ -82,7 +82,10 @@ def build_training_set(
     shapes: Mapping[str, Sequence[int]] | None = None,
     key_type: str = "int",
 ) -> dict[str, str]:
-    """Join texts and images, label the split by hash, and write it; returns the folders."""
+    """Join texts and images, label the split by hash, and write it; returns the folders.
+
+    ``images`` should be a table read plus row-wise steps.
+    """
     paired = pair(texts, images, "product_id", key_type)
     labelled = paired.withColumn("dataset", split_by_hash(F.col("product_id"), key_type))
     return write_training_set(labelled, path, files, "dataset", shapes)
