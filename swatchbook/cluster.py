@@ -6,6 +6,8 @@ go, when a side may be broadcast, and how a hot key is spread over tasks.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -180,3 +182,18 @@ def global_row_index(
         .withColumn(name, F.col("_offset") + F.col("_row"))
         .select(*df.columns, name)
     )
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of every executor.
+
+    The archive is a file of the driver's, which Spark sends to the executors.
+    """
+    if getattr(ship, "done", None) == spark.sparkContext.applicationId:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    base = os.path.join(tempfile.mkdtemp(prefix="package-"), os.path.basename(package))
+    spark.sparkContext.addPyFile(
+        shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+    )
+    ship.done = spark.sparkContext.applicationId
