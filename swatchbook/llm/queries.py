@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swatchbook.llm import packing, token_counts, topk
+from swatchbook.llm import metric_join, packing, token_counts, topk
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -66,3 +66,32 @@ WITH v AS (
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+
+@query
+def op5_metric_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_vectors(embeddings(spark, sf_dir), cosine=0.93)
+
+
+ORACLE["op5_metric_range_join"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.w, b.w) >= 0.93
+), reach AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION
+    SELECT l.b, r.other FROM reach r JOIN links l ON l.a = r.node
+), classes AS (
+    SELECT node, min(other) AS component_id FROM reach GROUP BY node
+), degrees AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
+FROM embeddings e JOIN classes c ON c.node = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
+"""
