@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swatchbook.llm import metric_join, packing, token_counts, topk
+from swatchbook.llm import metric_join, minhash, packing, token_counts, topk
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,3 +95,46 @@ WITH RECURSIVE v AS (
 SELECT e.vec_id, coalesce(d.n, 0) AS n_links, c.component_id, c.component_id = e.vec_id AS kept
 FROM embeddings e JOIN classes c ON c.node = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id
 """
+
+
+@query
+def op4_minhash_tensored_banding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_documents(documents(spark, sf_dir), percent=75)
+
+
+ORACLE["op4_minhash_tensored_banding"] = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+        END AS s
+    FROM words
+), named AS (
+    SELECT list_sort(s) AS s, min(doc_id) AS doc_id, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), len(s)
+), shingles AS (
+    SELECT doc_id, n, unnest(s) AS x FROM named
+), pairs AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id
+    WHERE 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+), links AS (
+    SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+    UNION ALL SELECT s.doc_id, n.doc_id FROM sets s JOIN named n ON list_sort(s.s) = n.s WHERE s.doc_id <> n.doc_id
+    UNION ALL SELECT n.doc_id, s.doc_id FROM sets s JOIN named n ON list_sort(s.s) = n.s WHERE s.doc_id <> n.doc_id
+), reach AS (
+    SELECT doc_id AS node, doc_id AS other FROM sets
+    UNION
+    SELECT l.b, r.other FROM reach r JOIN links l ON l.a = r.node
+), classes AS (
+    SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept
+FROM sets s JOIN classes c ON c.node = s.doc_id
+"""
