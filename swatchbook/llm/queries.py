@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swatchbook.llm import metric_join, minhash, packing, token_counts, topk
+from swatchbook.llm import metric_join, minhash, mixing, packing, pii, token_counts, topk
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+# Whoever uses the operator passes a key of their own and keeps it.
+PSEUDONYM_KEY = "registered query"
+
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     REGISTRY[fn.__name__] = fn
@@ -138,3 +141,13 @@ WITH RECURSIVE words AS (
 SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, c.component_id = s.doc_id AS kept
 FROM sets s JOIN classes c ON c.node = s.doc_id
 """
+
+
+@query
+def op6_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), weights=(5, 2, 1), share=1.5, cap=2)
+
+
+@query
+def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir), key=PSEUDONYM_KEY)
