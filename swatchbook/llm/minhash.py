@@ -24,7 +24,7 @@ MINIMA = 2 * HALVES * WIDTH
 # Shingles hashed at once, and rows of one task's comparison.
 PART, BLOCK_ROWS = 4096, 1024
 # Rounds in which every document asks one neighbour, before all the rest is compared.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -93,7 +93,7 @@ def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lowest = minima(shingles)
                 nodes.append(set_print(shingles))
                 keys.append(half_keys(lowest))
-                signs.append((lowest >> np.uint64(20)).astype(np.uint8).tobytes())
+                signs.append((lowest >> np.uint64(20)).astype(np.uint16).tobytes())
             else:
                 nodes.append(None)
                 keys.append((None, None))
@@ -157,40 +157,84 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _likely(same: np.ndarray, percent: int) -> np.ndarray:
     """Whether so many equal minima are possible at the similarity asked for.
 
-    The bound lies five standard deviations below the expected number, so a
-    link is lost here with a probability of about 1e-6.
+    The bound lies four standard deviations below the expected number, so a
+    link is lost here with a probability of about 5e-5.
     """
     p = percent / 100
-    return same >= MINIMA * p - 5 * (MINIMA * p * (1 - p)) ** 0.5
-
-
-def _crossing(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Pairs of a bucket's two blocks that are not connected yet and whose minima agree enough."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("_node", kind="stable").reset_index(drop=True)
-        classes, _ = pd.factorize(group["_class"])
-        signs = np.frombuffer(b"".join(group["_sign"]), dtype=np.uint8).reshape(len(group), MINIMA)
-        block = group["_block"].to_numpy()
-        first, second = int(group["_lo"].iloc[0]), int(group["_hi"].iloc[0])
-        left, right = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        a, b = [], []
-        for n in left:
-            others = right[(classes[right] != classes[n]) & ((right > n) | (first != second))]
-            others = others[_likely((signs[others] == signs[n]).sum(axis=1), percent)]
-            a += [n] * len(others)
-            b += others.tolist()
-        nodes = group["_node"].to_numpy()
-        return pd.DataFrame({"a": nodes[a] if a else [], "b": nodes[b] if b else []}, dtype=object)
+    return same >= MINIMA * p - 4 * (MINIMA * p * (1 - p)) ** 0.5
+
+
+def _pairs_of(keys: np.ndarray, sides: np.ndarray, classes: np.ndarray, signs: np.ndarray, tables: np.ndarray, percent: int):
+    """Places of the pairs to confirm among rows sorted by key.
+
+    A pair is given only for the first table that its minima agree on, so it
+    comes up once, however many buckets it shares.
+    """
+    last = np.searchsorted(keys, keys, side="right") - np.arange(len(keys))  # rows left in the bucket
+    here, d = np.flatnonzero(last > 1), 1
+    while len(here):
+        a, b = here, here + d
+        fit = (classes[a] != classes[b]) & ((sides[a] != sides[b]) | (sides[a] == 2))
+        a, b = a[fit], b[fit]
+        for at in range(0, len(a), 1 << 16):
+            x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            same = signs[x] == signs[y]
+            halves = same.reshape(len(x), 2, HALVES, WIDTH).all(axis=3)
+            first = halves[:, 0].argmax(axis=1) * HALVES + halves[:, 1].argmax(axis=1)
+            keep = (first == tables[x]) & _likely(same.sum(axis=1), percent)
+            yield x[keep], y[keep]
+        d += 1
+        here = here[last[here] > d]
+
+
+def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pairs of one bucket that are not connected yet and whose minima agree enough.
+
+    The rows come sorted by key; a bucket that goes on in the next batch waits for it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[pa.RecordBatch] = []
+        for batch in _ended(batches):
+            if batch is not None:
+                if waiting and batch.num_rows and batch.column(0)[batch.num_rows - 1] == waiting[0].column(0)[0]:
+                    waiting.append(batch)
+                    continue
+                waiting.append(batch)
+            if not waiting:
+                continue
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            keys = rows.column(0).to_numpy()
+            cut = len(keys) if batch is None else int(np.searchsorted(keys, keys[-1]))
+            waiting = [] if batch is None else rows.slice(cut).to_batches()
+            rows, keys = rows.slice(0, cut), keys[:cut]
+            if cut < 2:
+                continue
+            nodes = rows.column(1).to_numpy(zero_copy_only=False)
+            classes, _ = pd.factorize(rows.column(2).to_numpy(zero_copy_only=False))
+            signs = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint16).reshape(cut, MINIMA)
+            sides, tables = rows.column(4).to_numpy(), rows.column(5).to_numpy()
+            for x, y in _pairs_of(keys, sides, classes, signs, tables, percent):
+                if len(x):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(nodes[x], type=pa.binary()), pa.array(nodes[y], type=pa.binary())], names=["a", "b"]
+                    )
 
     return run
 
 
+def _ended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from (b for b in batches if b.num_rows)
+    yield None
+
+
 def _shared(nodes: DataFrame, half: str) -> DataFrame:
-    """The half keys that at least two nodes hold, by node; nodes without one fall away."""
-    keys = nodes.select("_node", F.explode(half).alias("_key"))
+    """The half keys that at least two nodes hold, with their places, by node; nodes without one fall away."""
+    keys = nodes.select("_node", F.posexplode(half).alias("_place", "_key"))
     twice = keys.groupBy("_key").agg(F.count("*").alias("_size")).filter("_size > 1")
-    return keys.join(twice.select("_key"), "_key").groupBy("_node").agg(F.collect_list("_key").alias(half))
+    return keys.join(twice.select("_key"), "_key").groupBy("_node").agg(
+        F.collect_list(F.struct("_place", "_key")).alias(half)
+    )
 
 
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
@@ -206,15 +250,18 @@ def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
 def _star(buckets: DataFrame, turn: int) -> DataFrame:
     """For each unsettled node one other to ask: the leader of one of its buckets.
 
-    ``buckets`` has _key, _node and _class. Leaders change from turn to turn,
-    and all buckets prefer the same ones.
+    ``buckets`` has _key, _node and _class. Leaders are the nodes that meet
+    the most others, as an original meets more of its copies than a copy does;
+    in later turns chance has a say as well.
     """
-    order = F.xxhash64("_node", F.lit(turn))
-    leaders = buckets.groupBy("_key").agg(F.min_by(F.struct("_node", "_class"), order).alias("_lead"))
-    asked = buckets.join(leaders, "_key").filter("_class <> _lead._class")
-    one = asked.groupBy("_node").agg(
-        F.min_by("_lead._node", F.xxhash64("_lead._node", F.lit(turn))).alias("_other")
-    )
+    sizes = buckets.groupBy("_key").agg(F.count("*").alias("_size"))
+    met = buckets.join(sizes, "_key").groupBy("_node").agg(F.sum("_size").alias("_met"))
+    chance = F.pmod(F.xxhash64("_node", F.lit(turn)), F.lit(1 << turn))
+    ranked = met.select("_node", F.struct(chance.alias("x"), F.col("_met").alias("y"), F.xxhash64("_node").alias("z")).alias("_rank"))
+    rows = buckets.join(ranked, "_node")
+    leaders = rows.groupBy("_key").agg(F.max_by(F.struct("_node", "_class", "_rank"), "_rank").alias("_lead"))
+    asked = rows.select("_key", "_node", "_class").join(leaders, "_key").filter("_class <> _lead._class")
+    one = asked.groupBy("_node").agg(F.max_by("_lead._node", "_lead._rank").alias("_other"))
     return one.select(F.least("_node", "_other").alias("a"), F.greatest("_node", "_other").alias("b")).distinct()
 
 
@@ -255,9 +302,12 @@ def near_documents(
 
     live = _shared(nodes, "_a").join(_shared(nodes, "_b"), "_node")
     halves = live.select("_node", "_b", F.explode("_a").alias("_ka")).select("_node", "_ka", F.explode("_b").alias("_kb"))
-    keyed = written(halves.select("_node", F.xxhash64("_ka", "_kb").alias("_key")), "table-keys")
+    table = F.col("_ka._place") * HALVES + F.col("_kb._place")
+    keyed = written(
+        halves.select("_node", F.xxhash64("_ka._key", "_kb._key").alias("_key"), table.alias("_table")), "table-keys"
+    )
     shared = keyed.groupBy("_key").agg(F.count("*").alias("_size")).filter("_size > 1").select("_key")
-    buckets = written(keyed.join(shared, "_key").select("_key", "_node"), "buckets")
+    buckets = written(keyed.join(shared, "_key").select("_key", "_node", "_table"), "buckets")
 
     candidates = written(buckets.select("_node").distinct(), "candidates")
     classes = candidates.select("_node", F.col("_node").alias("_class"))
@@ -279,8 +329,9 @@ def near_documents(
         now = unsettled.drop("_class").join(classes, "_node")
         settled = now.groupBy("_key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi"))
         still = settled.filter("_lo <> _hi").select("_key")
-        unsettled = written(now.join(still, "_key").select("_key", "_node", "_class"), "unsettled")
+        unsettled = written(now.join(still, "_key").select("_key", "_node", "_table", "_class"), "unsettled")
 
+    # Rows of a large bucket are dealt to blocks, and each pair of blocks is a bucket of its own.
     sizes = unsettled.groupBy("_key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"))
     members = (
         unsettled.join(sizes, "_key")
@@ -288,19 +339,22 @@ def near_documents(
         .withColumn("_block", F.pmod(F.xxhash64("_node"), "_blocks").cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select(
-            "_key",
-            F.least("_block", "_other").alias("_lo"),
-            F.greatest("_block", "_other").alias("_hi"),
+            F.xxhash64("_key", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("_key"),
             "_node",
             "_class",
             "_sign",
-            "_block",
+            # Within a block all meet, between two blocks only rows of different ones.
+            F.when(F.col("_block") == F.col("_other"), 2)
+            .otherwise((F.col("_block") > F.col("_other")).cast("int"))
+            .cast("int")
+            .alias("_side"),
+            F.col("_table").cast("int").alias("_table"),
         )
     )
-    crossing = members.groupBy("_key", "_lo", "_hi").applyInPandas(_crossing(percent), "a binary, b binary")
-    pairs = written(
-        crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs"
+    crossing = members.repartition("_key").sortWithinPartitions("_key").mapInArrow(
+        _crossing(percent), "a binary, b binary"
     )
+    pairs = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
     if not pairs.isEmpty():
         classes = _merged(classes, confirmed(pairs, sets, percent))
 
