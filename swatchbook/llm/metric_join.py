@@ -81,7 +81,7 @@ def _linked(left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
     return left @ right.T >= cosine
 
 
-def _roots(near: np.ndarray) -> np.ndarray:
+def connected_here(near: np.ndarray) -> np.ndarray:
     """For each node of a symmetric link matrix the first node it is connected with."""
     root = np.arange(len(near))
     while True:
@@ -113,7 +113,7 @@ def _comparing(cosine: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         np.fill_diagonal(near, False)
         links = near @ copies
         some = links > 0
-        return pd.DataFrame({"_id": ids[some], "_links": links[some], "_root": ids[_roots(near)[some]]})
+        return pd.DataFrame({"_id": ids[some], "_links": links[some], "_root": ids[connected_here(near)[some]]})
 
     return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from swatchbook.cluster import written
 from swatchbook.llm.components import components
+from swatchbook.llm.metric_join import connected_here
 
 WORDS = 5
 # Two collections of HALVES half keys, each of WIDTH minima. A table key is a
@@ -25,6 +26,9 @@ MINIMA = 2 * HALVES * WIDTH
 PART, BLOCK_ROWS = 4096, 1024
 # Rounds in which every document asks one neighbour, before all the rest is compared.
 STAR_ROUNDS = 2
+# Documents that share half of their shingles with one leader are a family; from
+# this size on its members are compared block by block, not pair by pair.
+FAMILY_ROWS, FAMILY_BLOCK = 16, 512
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -123,35 +127,101 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether 100 * |a and b| >= percent * |a or b| for two sorted sets."""
-    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-        return False
+def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """Sizes of the intersection and the union of two sorted sets."""
     both = np.concatenate([a, b])
     both.sort(kind="stable")
     common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= percent * (len(a) + len(b) - common)
+    return common, len(both) - common
 
 
 def _confirming(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [
-                similar(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), percent)
+            found = [
+                overlap(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
                 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
             ]
-            chosen = batch.filter(pa.array(keep, type=pa.bool_()))
-            yield pa.RecordBatch.from_arrays([chosen.column(0), chosen.column(1)], names=["a", "b"])
+            linked = pa.array([100 * common >= percent * union for common, union in found], type=pa.bool_())
+            near = pa.array([2 * common >= union for common, union in found], type=pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), linked, near], names=["a", "b", "_linked", "_near"]
+            )
 
     return run
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with whether their full sets are linked, and whether they share half of their union."""
     left = sets.select(F.col("_node").alias("a"), F.col("_set").alias("_sa"))
     right = sets.select(F.col("_node").alias("b"), F.col("_set").alias("_sb"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "_sa", "_sb")
-    return joined.mapInArrow(_confirming(percent), "a binary, b binary")
+    return written(
+        joined.mapInArrow(_confirming(percent), "a binary, b binary, _linked boolean, _near boolean"), "compared"
+    )
+
+
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each of the left sets shares with each of the right ones."""
+    number = np.concatenate([*left, *right])
+    distinct, code, times = np.unique(number, return_inverse=True, return_counts=True)
+    # Only shingles that occur twice matter, some columns of them at a time.
+    place = np.cumsum(times > 1) - 1
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    held = times[code] > 1
+    owner, column = owner[held], place[code[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    for first in range(0, int((times > 1).sum()), PART):
+        at = slice(*np.searchsorted(column, [first, first + PART]))
+        part = np.zeros((len(left) + len(right), PART), dtype=np.float32)
+        part[owner[at], column[at] - first] = 1
+        out += part[: len(left)] @ part[len(left) :].T
+    return out
+
+
+def _within(percent: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links between two blocks of a family: every linked node and the first one it is connected with."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(group["_lo"].iloc[0]), int(group["_hi"].iloc[0])
+        left = group[group["_block"] == first].sort_values("_node")
+        right = group[group["_block"] == second].sort_values("_node")
+        sets = [[np.frombuffer(s, np.uint64) for s in side["_set"]] for side in (left, right)]
+        common = _common(*sets)
+        sizes = [np.array([len(s) for s in side], dtype=np.float64) for side in sets]
+        linked = 100 * common >= percent * (sizes[0][:, None] + sizes[1][None, :] - common)
+        near = linked
+        if first != second:
+            none = [np.zeros((n, n), dtype=bool) for n in linked.shape]
+            near = np.block([[none[0], linked], [linked.T, none[1]]])
+        nodes = np.concatenate([left["_node"], right["_node"]]) if first != second else left["_node"].to_numpy()
+        np.fill_diagonal(near, False)
+        some = near.any(axis=1)
+        return pd.DataFrame({"a": nodes[some], "b": nodes[connected_here(near)[some]]}, dtype=object)
+
+    return run
+
+
+def _family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the nodes of each family, which are compared block by block on their full sets."""
+    sizes = families.groupBy("_family").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("_blocks"))
+    members = (
+        families.join(sizes, "_family")
+        .join(sets, "_node")
+        .withColumn("_block", F.pmod(F.xxhash64("_node"), "_blocks").cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .select(
+            "_family",
+            F.least("_block", "_other").alias("_lo"),
+            F.greatest("_block", "_other").alias("_hi"),
+            "_node",
+            "_block",
+            "_set",
+        )
+    )
+    return members.groupBy("_family", "_lo", "_hi").applyInPandas(_within(percent), "a binary, b binary")
 
 
 def _likely(same: np.ndarray, percent: int) -> np.ndarray:
@@ -164,20 +234,37 @@ def _likely(same: np.ndarray, percent: int) -> np.ndarray:
     return same >= MINIMA * p - 4 * (MINIMA * p * (1 - p)) ** 0.5
 
 
-def _pairs_of(keys: np.ndarray, sides: np.ndarray, classes: np.ndarray, signs: np.ndarray, tables: np.ndarray, percent: int):
+def _pairs_of(
+    keys: np.ndarray,
+    sides: np.ndarray,
+    classes: np.ndarray,
+    signs: np.ndarray,
+    tables: np.ndarray,
+    sizes: np.ndarray,
+    shared: np.ndarray,
+    families: Sequence[np.ndarray],
+    percent: int,
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of the pairs to confirm among rows sorted by key.
 
     A pair is given only for the first table that its minima agree on, so it
-    comes up once, however many buckets it shares.
+    comes up once, however many buckets it shares. Two sets have at most as
+    many shingles in common as either shares with anyone. Members of one
+    family have been compared already.
     """
     last = np.searchsorted(keys, keys, side="right") - np.arange(len(keys))  # rows left in the bucket
     here, d = np.flatnonzero(last > 1), 1
     while len(here):
         a, b = here, here + d
         fit = (classes[a] != classes[b]) & ((sides[a] != sides[b]) | (sides[a] == 2))
+        for family in families:
+            fit &= family[a] != family[b]
         a, b = a[fit], b[fit]
         for at in range(0, len(a), 1 << 16):
             x, y = a[at : at + (1 << 16)], b[at : at + (1 << 16)]
+            common = np.minimum(shared[x], shared[y])
+            able = 100 * common >= percent * (sizes[x] + sizes[y] - common)
+            x, y = x[able], y[able]
             same = signs[x] == signs[y]
             halves = same.reshape(len(x), 2, HALVES, WIDTH).all(axis=3)
             first = halves[:, 0].argmax(axis=1) * HALVES + halves[:, 1].argmax(axis=1)
@@ -213,8 +300,8 @@ def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
             nodes = rows.column(1).to_numpy(zero_copy_only=False)
             classes, _ = pd.factorize(rows.column(2).to_numpy(zero_copy_only=False))
             signs = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint16).reshape(cut, MINIMA)
-            sides, tables = rows.column(4).to_numpy(), rows.column(5).to_numpy()
-            for x, y in _pairs_of(keys, sides, classes, signs, tables, percent):
+            sides, tables, sizes, shared, *families = (c.to_numpy() for c in rows.columns[4:])
+            for x, y in _pairs_of(keys, sides, classes, signs, tables, sizes, shared, families, percent):
                 if len(x):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(nodes[x], type=pa.binary()), pa.array(nodes[y], type=pa.binary())], names=["a", "b"]
@@ -262,7 +349,29 @@ def _star(buckets: DataFrame, turn: int) -> DataFrame:
     leaders = rows.groupBy("_key").agg(F.max_by(F.struct("_node", "_class", "_rank"), "_rank").alias("_lead"))
     asked = rows.select("_key", "_node", "_class").join(leaders, "_key").filter("_class <> _lead._class")
     one = asked.groupBy("_node").agg(F.max_by("_lead._node", "_lead._rank").alias("_other"))
-    return one.select(F.least("_node", "_other").alias("a"), F.greatest("_node", "_other").alias("b")).distinct()
+    return one.select(F.col("_node").alias("a"), F.col("_other").alias("b"))
+
+
+def _partners(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``(_node, _shared)``: how many shingles of a node others in the buckets have, where that is enough for a link."""
+    shape = "_node binary, _x array<bigint>"
+    open_sets = sets.join(buckets.select("_node").distinct(), "_node", "left_semi")
+    held = open_sets.mapInArrow(_listed, shape).select("_node", F.explode("_x").alias("_x"))
+    held = written(held, "shingles")
+    common = held.groupBy("_x").agg(F.count("*").alias("_size")).filter("_size > 1").select("_x")
+    counted = held.join(common, "_x").groupBy("_node").agg(F.count("*").alias("_shared"))
+    size = F.octet_length("_set") / 8
+    return counted.join(open_sets.select("_node", size.alias("_n")), "_node").filter(
+        F.col("_shared") * 100 >= F.col("_n") * percent
+    ).select("_node", "_shared")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(found, type=pa.list_(pa.int64()))], names=["_node", "_x"]
+        )
 
 
 def near_documents(
@@ -296,7 +405,7 @@ def near_documents(
     nodes = written(
         signed.filter("_node IS NOT NULL AND _id IS NOT NULL")
         .groupBy("_node")
-        .agg(F.min("_id").alias("_id"), F.first("_a").alias("_a"), F.first("_b").alias("_b"), F.first("_sign").alias("_sign")),
+        .agg(F.min("_id").alias("_id"), *[F.first(c).alias(c) for c in ("_n", "_a", "_b", "_sign")]),
         "nodes",
     )
 
@@ -320,22 +429,45 @@ def near_documents(
     )
 
     unsettled = buckets.join(classes, "_node")
+    families = []
     for turn in range(STAR_ROUNDS):
         pairs = written(_star(unsettled, turn), "star")
         if pairs.isEmpty():
             break
-        classes = _merged(classes, confirmed(pairs, sets, percent))
+        asked = compared(pairs, sets, percent)
+        near = asked.filter("_near")
+        large = near.groupBy("b").agg(F.count("*").alias("_size")).filter(F.col("_size") >= FAMILY_ROWS).select("b")
+        followers = near.join(large, "b").select(F.col("a").alias("_node"), F.col("b").alias("_family"))
+        family = written(
+            followers.union(large.select("b", F.col("b").alias("_family"))).dropDuplicates(["_node"]), "families"
+        )
+        families.append(family)
+        links = asked.filter("_linked").select("a", "b").union(_family_links(family, sets, percent))
+        classes = _merged(classes, links)
         # Buckets whose nodes are all in one class are settled.
         now = unsettled.drop("_class").join(classes, "_node")
         settled = now.groupBy("_key").agg(F.min("_class").alias("_lo"), F.max("_class").alias("_hi"))
         still = settled.filter("_lo <> _hi").select("_key")
         unsettled = written(now.join(still, "_key").select("_key", "_node", "_table", "_class"), "unsettled")
 
+    # A document whose shingles are mostly its own has no link; the others meet in what is left of the buckets.
+    partners = _partners(unsettled, sets, percent)
+    unsettled = unsettled.join(partners, "_node")
+    for turn in range(STAR_ROUNDS):
+        name = f"_family{turn}"
+        if turn < len(families):
+            unsettled = unsettled.join(families[turn].select("_node", F.xxhash64("_family").alias(name)), "_node", "left")
+        else:
+            unsettled = unsettled.withColumn(name, F.lit(None).cast("bigint"))
+        # Without a family a node is one of its own.
+        unsettled = unsettled.withColumn(name, F.coalesce(name, F.xxhash64("_node")))
+    unsettled = written(unsettled, "partners")
+
     # Rows of a large bucket are dealt to blocks, and each pair of blocks is a bucket of its own.
     sizes = unsettled.groupBy("_key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("_blocks"))
     members = (
         unsettled.join(sizes, "_key")
-        .join(nodes.select("_node", "_sign"), "_node")
+        .join(nodes.select("_node", "_n", "_sign"), "_node")
         .withColumn("_block", F.pmod(F.xxhash64("_node"), "_blocks").cast("int"))
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
         .select(
@@ -349,6 +481,9 @@ def near_documents(
             .cast("int")
             .alias("_side"),
             F.col("_table").cast("int").alias("_table"),
+            "_n",
+            "_shared",
+            *[f"_family{turn}" for turn in range(STAR_ROUNDS)],
         )
     )
     crossing = members.repartition("_key").sortWithinPartitions("_key").mapInArrow(
@@ -356,7 +491,7 @@ def near_documents(
     )
     pairs = written(crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "pairs")
     if not pairs.isEmpty():
-        classes = _merged(classes, confirmed(pairs, sets, percent))
+        classes = _merged(classes, compared(pairs, sets, percent).filter("_linked").select("a", "b"))
 
     # A class is known by a node; its component is the smallest id of its documents.
     of_node = written(
