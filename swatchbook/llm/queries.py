@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swatchbook.llm import metric_join, minhash, mixing, packing, pii, token_counts, topk
+from swatchbook.llm import language, metric_join, minhash, mixing, packing, pii, secret_scan, token_counts, topk
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -151,3 +151,18 @@ def op6_entropy_balanced_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(documents(spark, sf_dir), key=PSEUDONYM_KEY)
+
+
+@query
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(documents(spark, sf_dir))
+
+
+@query
+def op8_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_documents(documents(spark, sf_dir))
+
+
+@query
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
