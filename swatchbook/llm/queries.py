@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swatchbook.llm import language, metric_join, minhash, mixing, packing, pii, secret_scan, token_counts, topk
+from swatchbook.llm import (
+    language,
+    metric_join,
+    minhash,
+    mixing,
+    packing,
+    pii,
+    secret_scan,
+    suffix_dedup,
+    token_counts,
+    topk,
+)
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -166,3 +177,8 @@ def op8_bayesian_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+@query
+def op2_external_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=100)
