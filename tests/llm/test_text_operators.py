@@ -1,0 +1,202 @@
+"""Pseudonyms, secret scans, mixing, language ID and the pipeline."""
+
+import collections
+import math
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from swatchbook.llm import language, mixing, pii, secret_scan
+
+
+def luhn(digits):
+    total = 0
+    for n, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + n % 2)
+        total += d - 9 if d > 9 else d
+    return total % 10
+
+
+PRIVATE = [
+    "mail ann.b@x.org on +1 (017) 555-7713 card 4111111111111111 not 4111111111111112",
+    "again 4111-1111-1111-1111, 10.0.0.255, 300.1.1.1, 2024-02-29, 2023-02-30, 29.02.2024",
+    "123-45-6789 666-45-6789 DE89370400440532013000 DE88370400440532013000",
+    None,
+    "",
+    "nothing 12 here",
+]
+
+
+def test_pseudonyms(spark):
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(PRIVATE)], "doc_id bigint, text string").selectExpr("*", "1 AS _new", "2 AS _kinds")
+    rows = {r.doc_id: r for r in pii.pseudonymise(df, "key").collect()}
+    assert [rows[n].n_pii for n in range(6)] == [3, 4, 2, 0, 0, 0]
+    assert rows[3].text is None and rows[4].text == "" and rows[5].text == PRIVATE[5]
+    # Formats and invalid values stay; the numbers stay valid.
+    assert re.fullmatch(r"mail [a-z]{3}\.[a-z]@x\.org on \+1 \(\d{3}\) \d{3}-\d{4} card \d{16} not 4111111111111112", rows[0].text)
+    card = rows[0].text.split()[-3]
+    assert luhn(card) == 0 and card != "4111111111111111"
+    grouped, address, bad, iso, wrong, day = rows[1].text.removeprefix("again ").split(", ")
+    assert luhn(grouped.replace("-", "")) == 0 and re.fullmatch(r"(\d{4}-){3}\d{4}", grouped)
+    assert all(0 <= int(x) <= 255 for x in address.split(".")) and address != "10.0.0.255"
+    assert (bad, wrong) == ("300.1.1.1", "2023-02-30")
+    # The same day is linked whatever its format.
+    assert day.split(".") == iso.split("-")[::-1] and iso != "2024-02-29"
+    social, left, iban, other = rows[2].text.split()
+    assert left == "666-45-6789" and other == "DE88370400440532013000" and iban != "DE89370400440532013000"
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", social) and social != "123-45-6789"
+
+
+def test_pseudonyms_are_permutations(spark):
+    numbers = spark.range(898 * 3).select(pii.permuted_number(F.col("id"), 898, 3, "k", "t").alias("n"))
+    assert sorted(r.n for r in numbers.collect()) == list(range(898 * 3))
+    texts = spark.range(1000).select(pii.permuted_text(F.lpad(F.col("id").cast("string"), 3, "0"), "k", "t").alias("t"))
+    assert sorted(r.t for r in texts.collect()) == [f"{n:03}" for n in range(1000)]
+    days = spark.range(0, 73170, 97).select(pii.permuted_number(F.col("id"), 270, 271, "k", "d").alias("n")).distinct()
+    assert days.count() == math.ceil(73170 / 97)
+
+
+def test_pseudonyms_stay_in_the_jvm(sample):
+    plan = pii.pseudonymise(sample, "k")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Arrow|Exchange", plan)
+
+
+FINDINGS = (
+    [(f'token = "{n:040x}"', 1) for n in range(7**40, 7**40 + 40 * 3**60, 3**60)]
+    + [(f"id AKIA{'ABCDEFGHIJKLMNOP'[n % 16]}7Q2ZK9XW4TR8V{n % 10}M", 1) for n in range(20)]
+    + [(f"the number {4 * 10**15 + n} is", 0) for n in range(40)]
+    + [(f"see the interestingcombinationthing{'of' * (n % 9)} is", 0) for n in range(40)]
+)
+
+
+def test_secret_scan(spark):
+    rows = [(n, f"Some words before. {text} and after it.", "src") for n, (text, _) in enumerate(FINDINGS)]
+    rows += [(900, None, None), (901, "", "x"), (902, "plain words only", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 AS _c", "2 AS path", "3 AS value")
+    got = {r.doc_id: r for r in secret_scan.scan_secrets(df).collect()}
+    for n, (text, label) in enumerate(FINDINGS):
+        assert got[n].n_secrets == label, (text, got[n])
+        assert (secret_scan.MARK in got[n].text) == bool(label)
+        assert label or got[n].text == rows[n][1]
+    assert got[900].text is None and got[901].text == "" and got[902].n_candidates == 0
+
+
+def test_forest_on_held_out_findings(spark):
+    rows = [(n, text, "src") for n, (text, _) in enumerate(FINDINGS)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    words = secret_scan.dictionary(df)
+    forest = secret_scan.train(secret_scan.labelled_findings(df.filter("doc_id % 2 = 0")), words)
+    held_out = secret_scan.scan(df.filter("doc_id % 2 = 1"), forest, words).collect()
+    right = sum(r.n_secrets == FINDINGS[r.doc_id][1] for r in held_out)
+    assert len(forest) == secret_scan.TREES and right / len(held_out) >= 0.95
+
+
+def test_secret_scan_without_both_labels(spark):
+    df = spark.createDataFrame([(1, 'key = "a1b2c3d4e5f6a7b8c9d0"', "s")], "doc_id bigint, text string, source string")
+    assert secret_scan.scan_secrets(df).first().n_secrets == 1
+    assert secret_scan.scan_secrets(df.limit(0)).collect() == []
+
+
+def plain_targets(sizes, weights, share):
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    weight = {s: weights[n % len(weights)] for n, s in enumerate(names)}
+    target, free, rest = {}, set(names), share * sum(sizes.values())
+    while free:
+        each = rest / sum(weight[s] for s in free)
+        over = {s for s in free if each * weight[s] >= 2 * sizes[s]}
+        for s in over or free:
+            target[s] = 2 * sizes[s] if over else each * weight[s]
+        rest -= sum(target[s] for s in over)
+        free = free - over if over else set()
+    return target
+
+
+def test_mixing(spark, sample):
+    extra = spark.createDataFrame([(7001, None, None), (7002, "a b c", None), (7003, "", "src0"), (None, "d e", "src1")], "doc_id bigint, text string, source string")
+    df = sample.select("doc_id", "text", "source").union(extra).selectExpr("*", "1 AS size", "2 AS copies", "3 AS n")
+    rows = mixing.mix(df).toPandas()
+    words = {r.doc_id: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")) for r in df.collect()}
+    source = {r.doc_id: r.source for r in df.collect()}
+    assert len(rows) == df.count()
+    sizes, taken = collections.Counter(), collections.Counter()
+    for r in rows.itertuples():
+        i = None if math.isnan(r.doc_id) else int(r.doc_id)
+        assert r.size == words[i] and 0 <= r.taken <= 2 * r.size
+        sizes[source[i]] += r.size
+        taken[source[i]] += r.taken
+    target = plain_targets(sizes, (5, 2, 1), 1.5)
+    for r in rows.itertuples():
+        s = source[None if math.isnan(r.doc_id) else int(r.doc_id)]
+        assert r.target == pytest.approx(target[s]) and r.source_size == sizes[s]
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= max(40, 0.02 * t), (s, taken[s], t)
+    again = mixing.mix(df.repartition(7)).toPandas()
+    key = ["doc_id", "size", "taken"]
+    assert again[key].sort_values(key).values.tolist()[:-1] == rows[key].sort_values(key).values.tolist()[:-1]
+
+
+def test_mixing_of_nothing(spark):
+    empty = spark.createDataFrame([], "doc_id bigint, text string, source string")
+    assert mixing.mix(empty).collect() == []
+    blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], "doc_id bigint, text string, source string")
+    assert sorted((r.doc_id, r.size, r.target, r.taken) for r in mixing.mix(blank).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_language_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = language.identify_documents(docs.selectExpr("*", "1 AS _id", "2 AS language")).join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert len(rows) == 1000
+    assert sum(r.language == r.lang for r in rows) >= 990
+    assert sum(r.rejected for r in rows) <= 2
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, F.col("lang")))
+    rows = language.identify_documents(hidden).join(docs.select("doc_id", "lang"), "doc_id").filter("doc_id % 2 = 1").collect()
+    assert sum(r.language == r.lang for r in rows) / len(rows) >= 0.98
+
+
+def test_language_of_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = language.identify_pages(pages).join(pages, "page_id").collect()
+    declared = [re.search(r'lang="(\w+)"', r.html).group(1) for r in rows]
+    assert sum(r.language == d for r, d in zip(rows, declared, strict=True)) / len(rows) >= 0.98
+
+
+def test_language_edges(docs):
+    rows = language.identify_documents(docs).collect()
+    assert len(rows) == 10
+    by_id = {r.doc_id: r for r in rows}
+    assert by_id[3].rejected and by_id[4].rejected and by_id[6].rejected and by_id[3].language is None
+    assert not by_id[1].rejected
+    assert language.identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).filter("NOT rejected").count() == 0
+    assert language.identify_documents(docs.limit(0)).collect() == []
+
+
+def test_pipeline(spark, docs, tmp_path):
+    """Every stage on awkward rows: columns, decisions, and an empty table."""
+    now = docs
+    counts = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, "")
+        assert name == "best_fit_packing" or tuple(out.columns) == corpus_pipeline.COLUMNS
+        out.write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        counts.append(now.count())
+    assert counts[0] == 7  # without the rows that have no letters
+    assert counts[1] == 6  # document 2 is a copy of 1; rows that repeat an id stay
+    assert counts[2] == 6
+    for name, stage in corpus_pipeline.STAGES:
+        empty = spark.createDataFrame([], docs.select(*corpus_pipeline.COLUMNS).schema)
+        assert stage(spark, empty, "").collect() == [], name
+
+
+def test_pipeline_on_documents(spark):
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    rows = out.toPandas()
+    assert rows.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert rows["doc_id"].nunique() > 100
