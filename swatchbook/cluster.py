@@ -10,25 +10,29 @@ import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 from pyspark.sql.window import Window
 
 # A side of a join is broadcast only when it holds at most this much.
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 32 << 20
 
-# Shuffled pieces are meant to be about this large.
+# Shuffled pieces are meant to be about this large. A key is hot when its rows
+# make up more than one piece, and more than MIN_HOT_ROWS rows.
 PIECE_BYTES = 128 << 20
-# A table is cut into at most this many pieces when hot keys are looked for;
-# a key is hot when it holds more than one piece, so there are never more hot
-# keys than pieces.
-MAX_PIECES = 10_000
-MIN_HOT_ROWS = 10_000
+MIN_HOT_ROWS = 100
+# Rows looked at to learn how wide a row is.
+WIDTH_ROWS = 1_000
 
-SPREAD_BYTES = 64 << 20
+# Tables of fewer input splits are dealt out over the cores ahead of costly work.
+SPREAD_SPLITS = 64
+# Files whose row counts are added up in one task.
+OFFSET_GROUP = 1_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,8 +49,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, or below the folder of the :func:`scratch` around it."""
+    return f"{_SCRATCH[-1] if _SCRATCH else shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_SCRATCH: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables made inside are removed at the end.
+
+    Results must be written inside, as they may read those tables.
+    """
+    folder = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    _SCRATCH.append(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -61,24 +84,37 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of the table's size."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files of a stored table."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return int(files.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0])
 
 
-def piece_count(df: DataFrame) -> int:
-    """Shuffle partitions for this table: the session's number, or more when it is large."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-plan_bytes(df) // PIECE_BYTES))
+def row_bytes(df: DataFrame) -> int:
+    """About how wide a row is, from its first rows."""
+    widths = []
+    for field in df.schema.fields:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, (StringType, BinaryType)):
+            widths.append(F.coalesce(F.octet_length(column), F.lit(0)))
+        elif isinstance(field.dataType, ArrayType):
+            widths.append(F.greatest(F.size(column), F.lit(0)) * 8)
+    fixed = 8 * len(df.columns)
+    if not widths:
+        return fixed
+    mean = df.limit(WIDTH_ROWS).agg(F.avg(sum(widths, F.lit(0)))).first()[0]
+    return fixed + int(mean or 0)
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a small table out over all cores, ahead of costly work per row.
+    """Deal a table of few input splits out over all cores, ahead of costly work per row.
 
-    A table of one file or row group is otherwise one task. Tables above
-    ``SPREAD_BYTES`` per core have enough input splits and stay as they are.
+    A table of one file or row group is otherwise one task. From
+    ``SPREAD_SPLITS`` splits on a table is never shuffled, however many cores
+    there are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if plan_bytes(df) < SPREAD_BYTES * cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, SPREAD_SPLITS) else df
 
 
 def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -89,15 +125,33 @@ def small_side(df: DataFrame, label: str, max_rows: int = BROADCAST_ROWS) -> tup
     return table, rows <= max_rows and size <= BROADCAST_BYTES
 
 
-def hot_keys(df: DataFrame, key: str, pieces: int, min_rows: int = MIN_HOT_ROWS) -> DataFrame:
-    """``(key, _salts)`` of keys with more than one ``pieces``-th of the rows: fewer than ``pieces`` rows.
+def hot_keys(df: DataFrame, key: str, piece_rows: int) -> DataFrame:
+    """``(key, _salts)`` of keys with more than ``piece_rows`` rows, and how many such pieces they make up.
 
-    ``_salts`` is the number of pieces that the key's rows make up. Counting
-    combines on the map side and reads the key column only.
+    Counting combines on the map side and reads the key column only, once.
     """
-    piece = max(df.select(key).count() / pieces, min_rows)
     counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
-    return counts.filter(F.col("_n") > piece).select(key, F.ceil(F.col("_n") / piece).alias("_salts"))
+    return counts.filter(F.col("_n") > piece_rows).select(key, F.ceil(F.col("_n") / piece_rows).alias("_salts"))
+
+
+def _salted(df: DataFrame, key: str, own: DataFrame | None, other: DataFrame | None, names: tuple[str, str]) -> DataFrame:
+    """Rows with a salt of their own side, repeated for every salt of the other side."""
+    mine, theirs = names
+    zero = F.lit(0).cast("bigint")
+    salt = zero
+    if own is not None:
+        df = df.join(own, key, "left")
+        # Null keys match nothing, but must not all travel to the same task.
+        salts = F.when(F.col(key).isNull(), F.lit(1 << 20)).otherwise(F.coalesce("_salts", F.lit(1)))
+        # The running id is hashed: rows of a key may come at regular intervals.
+        salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts)
+    df = df.withColumn(mine, salt).drop("_salts")
+    if other is None:
+        return df.withColumn(theirs, zero)
+    df = df.join(other, key, "left")
+    return df.withColumn(theirs, F.explode(F.sequence(zero, F.coalesce("_salts", F.lit(1).cast("bigint")) - 1))).drop(
+        "_salts"
+    )
 
 
 def skew_join(
@@ -105,29 +159,39 @@ def skew_join(
     one: DataFrame,
     key: str,
     how: str = "inner",
-    pieces: int | None = None,
-    min_rows: int = MIN_HOT_ROWS,
+    piece_rows: int | None = None,
 ) -> DataFrame:
-    """Equi-join in which a hot key of ``many`` is spread over as many tasks as it fills.
-
-    Rows of ``one`` are repeated per salt for the hot keys only. ``how`` may be
-    inner, left, left_semi or left_anti, with ``many`` on the left. ``many``
-    should be a table read plus row-wise steps, so that the running id behind
-    the salt is the same when a lost task is computed again.
+    """Equi-join in which a hot key is spread over as many tasks as its rows fill.
+
+    Rows of the other side are repeated per salt, for hot keys only. ``how``
+    may be inner, left, left_semi or left_anti, with ``many`` on the left. An
+    inner join splits the hot keys of both sides, so a key that is hot on
+    either or on both is never in one task; of the right side of a semi or
+    anti join only the distinct keys travel. Both sides should be table reads
+    plus row-wise steps, so that the running id behind the salt is the same
+    when a lost task is computed again. ``piece_rows`` is taken from the width
+    of the rows.
     """
-    pieces = min(pieces or piece_count(many), MAX_PIECES)
-    hot = written(hot_keys(many, key, pieces, min_rows), "hot-keys")
-    if hot.isEmpty() and how in ("inner", "left_semi"):
+
+    def hot(df: DataFrame, label: str) -> DataFrame | None:
+        rows = piece_rows or max(MIN_HOT_ROWS, PIECE_BYTES // row_bytes(df))
+        # Fewer rows than pieces in the table; broadcast only if that is small as well.
+        table, small = small_side(hot_keys(df, key, rows), label)
+        if table.isEmpty():
+            return None
+        return F.broadcast(table) if small else table
+
+    if how in ("left_semi", "left_anti"):
+        one = one.select(key).distinct()
+    left = hot(many, "hot-left")
+    right = hot(one, "hot-right") if how == "inner" else None
+    if left is None and right is None and how in ("inner", "left_semi"):
         return many.join(one, key, how)
-    # Fewer rows than pieces, hence at most MAX_PIECES.
-    flags = F.broadcast(hot)
-    # Null keys match nothing, but must not all travel to the same task.
-    salts = F.when(F.col(key).isNull(), F.lit(pieces)).otherwise(F.coalesce("_salts", F.lit(1)))
-    left = many.join(flags, key, "left").withColumn("_salt", F.monotonically_increasing_id() % salts)
-    right = one.join(flags, key, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1).cast("bigint")) - 1))
-    )
-    return left.drop("_salts").join(right.drop("_salts"), [key, "_salt"], how).drop("_salt")
+    if left is None:
+        left = many.sparkSession.createDataFrame([], many.select(key).schema.add("_salts", "long"))
+    names = ("_salt", "_other")
+    salted = _salted(many, key, left, right, names)
+    return salted.join(_salted(one, key, right, left, names[::-1]), [key, *names], how).drop(*names)
 
 
 def sized_join(many: DataFrame, one: DataFrame, key: str, how: str, label: str) -> DataFrame:
@@ -154,33 +218,47 @@ def global_row_index(
     :func:`skew_join`).
     """
     spark = df.sparkSession
+    if partitions is None:
+        # An estimate of the plan may be far off; the written rows are measured.
+        source = scratch_path(spark, "unsorted")
+        df.write.parquet(source)
+        df = spark.read.schema(df.schema).parquet(source)
+        smallest = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = max(smallest, -(-stored_bytes(spark, source) // PIECE_BYTES))
     path = scratch_path(spark, "row-index")
     tagged = df.select("*", *[c.alias(f"_o{i}") for i, c in enumerate(order)]).withColumn(
         "_tie", F.monotonically_increasing_id()
     )
     keys = [F.col(f"_o{i}") for i in range(len(order))] + [F.col("_tie")]
     (
-        tagged.repartitionByRange(partitions or piece_count(df), *keys)
+        tagged.repartitionByRange(partitions, *keys)
         .sortWithinPartitions(*keys)
         .drop("_tie", *[f"_o{i}" for i in range(len(order))])
         .write.parquet(path)
     )
     table = spark.read.schema(df.schema).parquet(path)
-    located = table.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    part = F.regexp_extract("_file", r"^part-(\d+)-", 1).cast("int")
-    piece = F.coalesce(F.regexp_extract("_file", r"-c(\d+)", 1).try_cast("int"), F.lit(0))
-    # One row per written file, i.e. at most `partitions` rows (times the file
-    # splits of spark.sql.files.maxRecordsPerFile): small enough for one task.
-    before = Window.orderBy(part, piece).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        located.groupBy("_file")
-        .agg(F.count("*").alias("_n"))
-        .select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # A file's place: the number of its task, and of the file within it.
+    place = F.regexp_extract("_metadata.file_name", r"^part-(\d+)-", 1).cast("bigint") * F.lit(1 << 20) + F.coalesce(
+        F.regexp_extract("_metadata.file_name", r"-c(\d+)\.", 1).try_cast("bigint"), F.lit(0)
+    )
+    located = table.select("*", place.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    # Offsets in two levels: within groups of files, and of the groups.
+    counts = located.groupBy("_file").agg(F.count("*").alias("_n")).withColumn(
+        "_half", F.floor(F.col("_file") / F.lit(OFFSET_GROUP << 20))
+    )
+    before = Window.orderBy("_half").rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("_half").agg(F.sum("_n").alias("_total")).select(
+        "_half", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_start")
+    )
+    inside = Window.partitionBy("_half").orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.join(groups, "_half").select(
+        "_file", (F.col("_start") + F.coalesce(F.sum("_n").over(inside), F.lit(0))).alias("_offset")
     )
+    offsets, small = small_side(offsets, "offsets")
     return (
-        located.join(F.broadcast(offsets), "_file")
+        located.join(F.broadcast(offsets) if small else offsets, "_file")
         .withColumn(name, F.col("_offset") + F.col("_row"))
-        .select(*df.columns, name)
+        .select(*[F.col(f"`{c}`") for c in df.columns], name)
     )
 
 

@@ -50,20 +50,6 @@ def unescape(text: Column) -> Column:
     return F.coalesce(_unescape_twice(F.when(text.contains("&"), text)), text)
 
 
-def encoding_repair() -> Callable[[Column], Column] | None:
-    """Expression that repairs wrongly decoded text, if the ftfy package is installed."""
-    try:
-        import ftfy
-    except ImportError:
-        return None
-
-    @F.pandas_udf(StringType())
-    def fix(text: pd.Series) -> pd.Series:
-        return text.map(ftfy.fix_text, na_action="ignore")
-
-    return fix
-
-
 def clean_text(text: Column, repair: Callable[[Column], Column] | None = None) -> Column:
     """Unescape, strip, squeeze white space and lower-case.
 

@@ -29,8 +29,8 @@ RARE_CATEGORY_ROWS = 10
 MIN_ATTRIBUTE_ROWS = 50
 ATTRIBUTE_LIST = "array<struct<attribute_name:string,attribute_values:array<string>>>"
 
-# Names are passed into an expression only up to this many.
-INLINE_NAMES = 2_000
+# Values that are gathered into one array at most; beyond it the long forms serve.
+MOST_VALUES = 100_000
 
 
 def parse_attributes(products: DataFrame, column: str = "product_attributes") -> DataFrame:
@@ -38,18 +38,24 @@ def parse_attributes(products: DataFrame, column: str = "product_attributes") ->
     return products.withColumn(column, F.from_json(column, ATTRIBUTE_LIST))
 
 
-def category_stats(products: DataFrame) -> DataFrame:
+def category_value_counts(products: DataFrame) -> DataFrame:
+    """``(product_family, product_category, product_sub_category, n_rows)`` in long form."""
+    return products.groupBy("product_family", "product_category", "product_sub_category").agg(
+        F.count("*").alias("n_rows")
+    )
+
+
+def category_stats(products: DataFrame, most: int = MOST_VALUES) -> DataFrame:
     """Row count and distinct sub-categories of every (family, category).
 
     The sub-categories are made distinct before they are gathered, so a hot
-    category reaches its final task as one row per distinct value.
+    category reaches its final task as one row per distinct value. A category
+    with more than ``most`` of them is an error; :func:`category_value_counts`
+    has them in long form.
     """
-    per_value = products.groupBy("product_family", "product_category", "product_sub_category").agg(
-        F.count("*").alias("_n")
-    )
-    return per_value.groupBy("product_family", "product_category").agg(
-        F.sort_array(F.collect_set("product_sub_category")).alias("product_sub_categories"),
-        F.sum("_n").alias("product_category_count"),
+    return category_value_counts(products).groupBy("product_family", "product_category").agg(
+        _bounded_list("product_sub_category", most, "product_category").alias("product_sub_categories"),
+        F.sum("n_rows").alias("product_category_count"),
     )
 
 
@@ -99,18 +105,32 @@ def attribute_counts(attributes: DataFrame) -> DataFrame:
     return attributes.groupBy("attribute_name").agg(F.count("*").alias("n_rows"))
 
 
-def attribute_stats(attributes: DataFrame) -> DataFrame:
+def attribute_value_counts(attributes: DataFrame) -> DataFrame:
+    """``(attribute_name, value, n_rows)`` in long form: any number of values per name.
+
+    A list counts as a row at its first value, or at its only place when it is empty.
+    """
+    places = attributes.select("attribute_name", F.posexplode_outer("attribute_values").alias("_place", "value"))
+    first = F.coalesce(F.col("_place"), F.lit(0)) == 0
+    return places.groupBy("attribute_name", "value").agg(F.count_if(first).alias("n_rows"))
+
+
+def _bounded_list(column: str, most: int, group: str) -> Column:
+    """A sorted list of a group's values (distinct, null left out); more than ``most`` end the job with the reason."""
+    text = F.concat_ws(" ", F.lit(f"more than {most} values, use the long form:"), F.first(F.col(group).cast("string")))
+    return F.when(F.count(column) <= most, F.sort_array(F.collect_list(column))).otherwise(F.raise_error(text))
+
+
+def attribute_stats(attributes: DataFrame, most: int = MOST_VALUES) -> DataFrame:
     """Row count and all distinct values per attribute name, in one pass.
 
     Values are made distinct over (name, value) before they are gathered, so
-    the task of a hot name sees its distinct values and never its rows. A list
-    counts as a row at its first value, or at its only place when it is empty.
+    the task of a hot name sees its distinct values and never its rows. A name
+    with more than ``most`` values is an error; :func:`attribute_value_counts`
+    has them in long form.
     """
-    places = attributes.select("attribute_name", F.posexplode_outer("attribute_values").alias("_place", "_value"))
-    first = F.coalesce(F.col("_place"), F.lit(0)) == 0
-    per_value = places.groupBy("attribute_name", "_value").agg(F.count_if(first).alias("_n"))
-    return per_value.groupBy("attribute_name").agg(
-        F.sort_array(F.collect_list("_value")).alias("attribute_values"), F.sum("_n").alias("n_rows")
+    return attribute_value_counts(attributes).groupBy("attribute_name").agg(
+        _bounded_list("value", most, "attribute_name").alias("attribute_values"), F.sum("n_rows").alias("n_rows")
     )
 
 
@@ -142,11 +162,22 @@ def single_valued(attributes: DataFrame, ignored: Sequence[str] = IGNORED_ATTRIB
     ).withColumn("attribute_values", F.try_element_at("attribute_values", F.lit(1)))
 
 
-def values_per_product(attributes: DataFrame) -> DataFrame:
-    """Sorted set of attribute values per product; null values are left out."""
-    return attributes.groupBy("product_id").agg(
-        F.sort_array(F.collect_set("attribute_values")).alias("attribute_values")
-    )
+def product_values(attributes: DataFrame) -> DataFrame:
+    """``(product_id, attribute_values)``: one row per distinct value of a product, of any number."""
+    return attributes.filter(F.col("attribute_values").isNotNull()).select("product_id", "attribute_values").distinct()
+
+
+def values_per_product(attributes: DataFrame, most: int = MOST_VALUES) -> DataFrame:
+    """Sorted set of attribute values per product; null values are left out.
+
+    Values are made distinct before they are gathered. A product with more
+    than ``most`` of them is an error; :func:`product_values` has them in long
+    form. Rows without a product id are no product.
+    """
+    known = attributes.filter(F.col("product_id").isNotNull())
+    # A product whose values are all null keeps an empty list.
+    each = known.select("product_id", "attribute_values").distinct()
+    return each.groupBy("product_id").agg(_bounded_list("attribute_values", most, "product_id").alias("attribute_values"))
 
 
 def facet_columns() -> list[Column]:
@@ -176,31 +207,44 @@ def with_attribute_values(facets: DataFrame, per_product: DataFrame) -> DataFram
     return facets.join(per_product, "product_id", "left")
 
 
-def facets_with_values_in_row(products: DataFrame, min_rows: int = MIN_ATTRIBUTE_ROWS) -> DataFrame:
-    """:func:`product_facets` plus attribute values, computed inside each row.
-
-    For catalogues whose ``product_id`` is unique (one row per product). The
-    attributes are never exploded or regrouped, so the only shuffle is the tiny
-    one that counts attribute names. With more names than fit an expression,
-    the join route is taken instead.
-    """
-    names, _ = small_side(
-        frequent_attribute_names(explode_attributes(products), min_rows), "attribute-names", INLINE_NAMES
-    )
-    inline = [r[0] for r in names.limit(INLINE_NAMES + 1).collect()]
-    if len(inline) > INLINE_NAMES:
-        attributes = skew_join(written(explode_attributes(products), "attributes"), names, "attribute_name", "left_semi")
-        return with_attribute_values(product_facets(products), values_per_product(single_valued(attributes)))
-    wanted = [n for n in inline if n not in IGNORED_ATTRIBUTES]
+def _row_values(attributes: Column, common: Column, ignored: Sequence[str]) -> Column:
+    """Sorted distinct values of the attributes in a row whose name is common and not ignored."""
     kept = F.filter(
-        "product_attributes",
-        lambda a: a["attribute_name"].isin(*wanted) & (F.coalesce(F.size(a["attribute_values"]), F.lit(-1)) <= 1),
+        attributes,
+        lambda a: F.coalesce(F.array_contains(common, a["attribute_name"]), F.lit(False))
+        & ~a["attribute_name"].isin(*ignored)
+        & (F.coalesce(F.size(a["attribute_values"]), F.lit(-1)) <= 1),
     )
     values = F.filter(
         F.transform(kept, lambda a: F.try_element_at(a["attribute_values"], F.lit(1))), lambda v: v.isNotNull()
     )
-    listed = F.when(F.size(kept) > 0, F.sort_array(F.array_distinct(values)))
-    return products.select(*facet_columns(), listed.alias("attribute_values"))
+    return F.when(F.size(kept) > 0, F.sort_array(F.array_distinct(values)))
+
+
+def facets_with_values_in_row(
+    products: DataFrame, min_rows: int = MIN_ATTRIBUTE_ROWS, ignored: Sequence[str] = IGNORED_ATTRIBUTES
+) -> DataFrame:
+    """:func:`product_facets` plus attribute values, each row's from its own attributes.
+
+    Rows that repeat an id, or have none, keep their own values. The common
+    names are written and measured; as a rule they are broadcast and nothing
+    but their counts is shuffled. Beyond the broadcast limit each row's names
+    are looked up by a join that carries a row number, with the same result.
+    """
+    names, small = small_side(frequent_attribute_names(explode_attributes(products), min_rows), "attribute-names")
+    if small:
+        one = written(names.agg(F.collect_list("attribute_name").alias("_common")), "common-names")
+        rows = products.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+    else:
+        # Written first: the row number must be the same if a task runs again.
+        rows = written(products.withColumn("_row", F.monotonically_increasing_id()), "products")
+        each = rows.select("_row", F.explode("product_attributes").alias("a")).select(
+            "_row", F.col("a.attribute_name").alias("attribute_name")
+        )
+        found = skew_join(written(each, "row-names"), names, "attribute_name", "left_semi")
+        by_row = found.groupBy("_row").agg(F.collect_set("attribute_name").alias("_common"))
+        rows = rows.join(by_row, "_row", "left")
+    return rows.select(*facet_columns(), _row_values(F.col("product_attributes"), F.col("_common"), ignored).alias("attribute_values"))
 
 
 def describe(facets: DataFrame, choice: Column, drop_missing: bool = False) -> DataFrame:

@@ -120,7 +120,10 @@ def running_best(
     inside = Window.partitionBy(run, "_block").orderBy(epoch).rowsBetween(Window.unboundedPreceding, -1)
     best = F.greatest(F.coalesce(F.max(metric).over(inside), F.lit(0.0)), F.coalesce("_before", F.lit(0.0)))
     return (
-        kept.join(block_best, [run, "_block"])
+        kept.join(
+            block_best.withColumnsRenamed({run: "_run", "_block": "_of"}),
+            F.col(run).eqNullSafe(F.col("_run")) & F.col("_block").eqNullSafe(F.col("_of")),
+        )
         .withColumn("is_best", F.col(metric) > best)
         .select(*history.columns, "is_best")
     )

@@ -35,11 +35,19 @@ def project(df: DataFrame, column: str, weights: np.ndarray, out: str) -> DataFr
     """Add ``out``, the product of a row vector and a broadcast matrix.
 
     The matrix is a model parameter, so its size does not depend on the data.
+    A null vector, or one of another length, has a null product.
     """
     shared = df.sparkSession.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))
 
+    size = len(shared.value)
+
     @F.pandas_udf(ArrayType(DoubleType()))
     def multiply(vectors: pd.Series) -> pd.Series:
-        return pd.Series(list(np.stack(vectors.to_numpy()).astype(np.float64) @ shared.value))
+        fit = vectors.map(lambda v: v is not None and len(v) == size)
+        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+        if fit.any():
+            product = np.stack(vectors[fit].to_numpy()).astype(np.float64) @ shared.value
+            out[fit] = pd.Series(list(product), index=vectors.index[fit], dtype=object)
+        return out
 
     return df.withColumn(out, multiply(column))

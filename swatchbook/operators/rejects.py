@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,41 +11,60 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+# What bad data makes a decoder raise; anything else is the environment's fault and fails the task.
+DATA_ERRORS = (ValueError, TypeError, KeyError, IndexError, EOFError, struct.error)
+# A block of results is handed on when its values hold this much.
+BLOCK_BYTES = 32 << 20
+
+
 def map_with_rejects(
     df: DataFrame,
     fn: Callable[[pd.DataFrame], pd.Series],
     column: StructField,
     carry: list[str],
+    errors: tuple[type[Exception], ...] = DATA_ERRORS,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Add ``column`` computed by ``fn``, and ``error`` for rows on which it fails.
 
-    ``fn`` maps a block of rows to one value each. When a block fails it is run
-    again row by row to find the rows at fault; the others are kept. Works on
+    ``fn`` maps a block of rows to one value each. Rows go in slices; when a
+    slice fails with one of ``errors`` it is run again row by row to find the
+    rows at fault, and the others are kept. Any other exception, such as a
+    missing package or a lack of memory, fails the task. Slices grow and
+    shrink with the size of the results, so that a block stays near
+    ``block_bytes`` however much larger than its input a result is. Works on
     batch and on streaming tables. Only ``carry`` is kept of the input columns.
     """
     schema = StructType([df.schema[c] for c in carry] + [column, StructField("error", StringType())])
 
     def one_by_one(block: pd.DataFrame) -> tuple[list, list]:
-        values, errors = [], []
+        values, reasons = [], []
         for i in range(len(block)):
             try:
                 values.append(fn(block.iloc[i : i + 1]).iloc[0])
-                errors.append(None)
-            except Exception as failure:  # a row's own failure is its result
+                reasons.append(None)
+            except errors as failure:  # a row's own failure is its result
                 values.append(None)
-                errors.append(f"{type(failure).__name__}: {failure}")
-        return values, errors
+                reasons.append(f"{type(failure).__name__}: {failure}")
+        return values, reasons
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in batches:
-            try:
-                values, errors = list(fn(block)), [None] * len(block)
-            except Exception:
-                values, errors = one_by_one(block)
-            out = block[carry].copy()
-            out[column.name] = pd.Series(values, index=out.index, dtype=object)
-            out["error"] = pd.Series(errors, index=out.index, dtype=object)
-            yield out
+        step = 1
+        for batch in batches:
+            at = 0
+            while at < len(batch):
+                block = batch.iloc[at : at + step]
+                at += len(block)
+                try:
+                    values, reasons = list(fn(block)), [None] * len(block)
+                except errors:
+                    values, reasons = one_by_one(block)
+                out = block[carry].copy()
+                out[column.name] = pd.Series(values, index=out.index, dtype=object)
+                out["error"] = pd.Series(reasons, index=out.index, dtype=object)
+                yield out
+                width = max(1, max((getattr(v, "nbytes", None) or (len(v) if hasattr(v, "__len__") else 8)) for v in values))
+                step = int(min(max(1, block_bytes // width), 2 * step, 10_000))
 
     return df.mapInPandas(blocks, schema)
 

@@ -30,29 +30,80 @@ def l2_normalize(df: DataFrame, column: str, out: str | None = None) -> DataFram
     return df.withColumn(out or column, unit(F.col(column)))
 
 
+def _packed(pairs: DataFrame, batch_size: int) -> DataFrame:
+    """One row per batch. Its positions must be 0, 1, 2, ... and its vectors complete, else the job ends with the reason."""
+    inside = F.col("pos").between(0, batch_size - 1) & F.col("img").isNotNull() & F.col("txt").isNotNull()
+    checked = F.when(inside, F.col("pos")).otherwise(
+        F.raise_error(
+            F.concat_ws(" ", F.lit("position outside the batch, or null vector:"), F.col("batch_id").cast("string"), F.col("pos").cast("string"))
+        )
+    )
+    # Each position once: a batch holds batch_size rows at most, and positions
+    # that repeat are found before they are gathered.
+    counted = pairs.groupBy("batch_id", checked.cast("int").alias("pos")).agg(
+        F.count("*").alias("n"), F.first("img").alias("img"), F.first("txt").alias("txt")
+    )
+    once = F.when(F.col("n") == 1, F.col("pos")).otherwise(
+        F.raise_error(F.concat_ws(" ", F.lit("position given twice in batch"), F.col("batch_id").cast("string")))
+    )
+    gathered = counted.groupBy("batch_id").agg(
+        F.sort_array(F.collect_list(F.struct(once.alias("pos"), "img", "txt"))).alias("rows")
+    )
+    dense = F.element_at("rows.pos", F.lit(-1)) == F.size("rows") - 1
+    return gathered.select(
+        "batch_id",
+        F.when(dense, F.col("rows.pos"))
+        .otherwise(F.raise_error(F.concat_ws(" ", F.lit("position missing in batch"), F.col("batch_id").cast("string"))))
+        .alias("pos"),
+        F.flatten("rows.img").alias("img"),
+        F.flatten("rows.txt").alias("txt"),
+    )
+
+
+def inbatch_predictions(pairs: DataFrame, batch_size: int, scale: float = LOGIT_SCALE, alpha: float = 0.5) -> DataFrame:
+    """:func:`batch_predictions` of :func:`inbatch_logits` in one pass: the logits never leave the task."""
+    packed = _packed(pairs, batch_size)
+    factor = float(np.exp(scale))
+    kind = packed.schema["batch_id"].dataType.simpleString()
+
+    def sides(a: np.ndarray, b: np.ndarray, first: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        logits = factor * (a[first : first + step] @ b.T)
+        top = logits.max(axis=1)
+        own = logits[np.arange(len(logits)), first + np.arange(len(logits))]
+        return logits.argmax(axis=1), top + np.log(np.exp(logits - top[:, None]).sum(axis=1)) - own
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in batches:
+            for batch_id, pos, img, txt in block.itertuples(index=False):
+                u = np.asarray(img, dtype=np.float64).reshape(len(pos), -1)
+                v = np.asarray(txt, dtype=np.float64).reshape(len(pos), -1)
+                step = max(1, LOGIT_CELLS // len(pos))
+                for i in range(0, len(pos), step):
+                    (images, loss_img), (texts, loss_txt) = sides(u, v, i, step), sides(v, u, i, step)
+                    yield pd.DataFrame(
+                        {
+                            "batch_id": [batch_id] * len(images),
+                            "pos": pos[i : i + step],
+                            "pred_img": images,
+                            "pred_txt": texts,
+                            "loss": alpha * loss_img + (1 - alpha) * loss_txt,
+                        }
+                    )
+
+    return packed.mapInPandas(score, f"batch_id {kind}, pos int, pred_img int, pred_txt int, loss double")
+
+
 def inbatch_logits(pairs: DataFrame, batch_size: int, scale: float = LOGIT_SCALE) -> DataFrame:
     """``(batch_id, pos, img_logits, txt_logits)``: one row per pair, no row per combination.
 
     ``pairs`` has ``batch_id``, ``pos``, ``img`` and ``txt`` (unit vectors). A
-    batch travels as one row of at most ``batch_size`` vectors per side, and
-    ``pos`` outside the batch is an error, which bounds that row. Entry j of
+    batch travels as one row of at most ``batch_size`` vectors per side.
+    Positions that are missing, given twice or outside the batch, and null
+    vectors, are errors; this bounds that row. Entry j of
     ``img_logits`` scores this image against text j, entry j of ``txt_logits``
     this text against image j.
     """
-    inside = F.col("pos").between(0, batch_size - 1)
-    checked = F.when(inside, F.col("pos")).otherwise(
-        F.raise_error(F.concat(F.lit("position outside the batch: "), F.col("pos").cast("string")))
-    )
-    packed = (
-        pairs.groupBy("batch_id")
-        .agg(F.sort_array(F.collect_list(F.struct(checked.cast("int").alias("pos"), "img", "txt"))).alias("rows"))
-        .select(
-            "batch_id",
-            F.col("rows.pos").alias("pos"),
-            F.flatten("rows.img").alias("img"),
-            F.flatten("rows.txt").alias("txt"),
-        )
-    )
+    packed = _packed(pairs, batch_size)
     factor = float(np.exp(scale))
     schema = StructType(
         [
@@ -227,7 +278,8 @@ def nearest(
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: the exact k best corpus rows of every query by cosine.
 
-    Keys must be unique integers; vectors may be copies. The corpus
+    Keys must be unique integers; vectors may be copies. Rows without a key or
+    a vector take no part. The corpus
     is divided into cells around ``cells`` of its own vectors (by default, one
     per ``tile`` rows and at most MAX_CELLS). A query is first
     scored in its home cell; its k-th score there is a floor. By the triangle
@@ -237,8 +289,8 @@ def nearest(
     scored afterwards. Cells are skipped only when this proves them useless;
     with unclustered vectors all of them are scored.
     """
-    asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vec).alias("vec"))
-    base = corpus.select(F.col(corpus_key).cast("bigint").alias("id"), F.col(corpus_vec).alias("vec"))
+    asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vec).alias("vec")).dropna()
+    base = corpus.select(F.col(corpus_key).cast("bigint").alias("id"), F.col(corpus_vec).alias("vec")).dropna()
     rows = base.count()
     if rows == 0:
         return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
@@ -289,15 +341,16 @@ def embedding_parity(left: DataFrame, right: DataFrame, key: str = "id", vec: st
 
     Looks at every element's absolute difference, so differences cannot cancel.
     """
-    a = left.select(F.col(key).alias("_k"), F.col(vec).alias("_a"))
-    b = right.select(F.col(key).alias("_k"), F.col(vec).alias("_b"))
+    a = left.select(F.col(key).alias("_k"), F.col(vec).alias("_a"), F.lit(True).alias("_in_a"))
+    b = right.select(F.col(key).alias("_k"), F.col(vec).alias("_b"), F.lit(True).alias("_in_b"))
     gaps = F.zip_with("_a", "_b", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
     both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
     same_size = F.size("_a") == F.size("_b")
     return a.join(b, "_k", "full").agg(
         F.count_if(both).alias("n_compared"),
-        F.count_if(F.col("_b").isNull()).alias("n_left_only"),
-        F.count_if(F.col("_a").isNull()).alias("n_right_only"),
+        F.count_if(F.col("_in_b").isNull()).alias("n_left_only"),
+        F.count_if(F.col("_in_a").isNull()).alias("n_right_only"),
+        F.count_if(F.col("_in_a") & F.col("_in_b") & ~both).alias("n_null_vectors"),
         F.count_if(both & ~same_size).alias("n_size_differs"),
         F.max(F.when(both & same_size, F.array_max(gaps))).alias("max_abs_diff"),
     )

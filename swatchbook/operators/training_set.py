@@ -24,14 +24,13 @@ def hash_shard(path: Column, shards: int = IMAGE_SHARDS) -> Column:
     return F.abs(F.hash(path) % shards).cast("int")
 
 
-def pair(
-    texts: DataFrame, images: DataFrame, key: str = "product_id", key_type: str = "int", **skew
-) -> DataFrame:
+def pair(texts: DataFrame, images: DataFrame, key: str = "product_id", key_type: str = "bigint", **skew) -> DataFrame:
     """Inner join of texts and images on a key of one pinned type.
 
     A key that is not of that type (say, a file name without a number) matches
-    nothing. ``images`` is the large side, with any number of rows per key; a
-    key that holds a large part of them is spread over many tasks.
+    nothing; :func:`unusable_keys` counts such rows. Either side may hold any
+    number of rows per key; a key that holds a large part of a side is spread
+    over many tasks.
     """
     left = images.withColumn(key, F.col(key).try_cast(key_type)).filter(F.col(key).isNotNull())
     right = texts.withColumn(key, F.col(key).try_cast(key_type)).filter(F.col(key).isNotNull())
@@ -39,6 +38,17 @@ def pair(
     return skew_join(left, right, key, "inner", **skew).select(key, *others)
 
 
+def unusable_keys(
+    texts: DataFrame, images: DataFrame, key: str = "product_id", key_type: str = "bigint"
+) -> DataFrame:
+    """``(side, key, n)``: the keys that :func:`pair` cannot use, null or not of its type, and their rows."""
+    sides = []
+    for name, df in (("text", texts), ("image", images)):
+        bad = df.filter(F.col(key).try_cast(key_type).isNull())
+        sides.append(bad.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("n")).select(F.lit(name).alias("side"), "key", "n"))
+    return sides[0].union(sides[1])
+
+
 def split_by_bucket(bucket: Column, training: int = TRAINING_BUCKETS) -> Column:
     return F.when(bucket < training, F.lit(TRAINING)).otherwise(F.lit(VALIDATION))
 

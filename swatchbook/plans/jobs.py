@@ -11,7 +11,7 @@ from swatchbook.functions.text import template_by_seed
 from swatchbook.functions.vectors import LOGIT_SCALE
 from swatchbook.operators import catalog
 from swatchbook.operators.evaluation import eval_report
-from swatchbook.operators.similarity import batch_predictions, inbatch_logits
+from swatchbook.operators.similarity import inbatch_predictions
 from swatchbook.operators.tokenizer import tokenize_table
 from swatchbook.operators.training_set import pair, split_by_hash
 from swatchbook.sources.tables import write_training_set
@@ -80,7 +80,7 @@ def build_training_set(
     path: str,
     files: int | Mapping[str, int] | None = None,
     shapes: Mapping[str, Sequence[int]] | None = None,
-    key_type: str = "int",
+    key_type: str = "bigint",
 ) -> dict[str, str]:
     """Join texts and images, label the split by hash, and write it; returns the folders.
 
@@ -97,4 +97,4 @@ def evaluate(
     """The evaluation record of batched pairs of unit vectors."""
     if max_batches is not None:
         pairs = pairs.filter(F.col("batch_id") < max_batches)
-    return eval_report(batch_predictions(inbatch_logits(pairs, batch_size, scale), alpha))
+    return eval_report(inbatch_predictions(pairs, batch_size, scale, alpha))

@@ -427,6 +427,14 @@ ORACLE: dict[str, str] = {
     "path_to_key": r"SELECT page_id, regexp_replace(string_split(url, '/')[-1], '\.html$', '') AS key FROM pages",
     "hash_shard": f"""WITH {murmur("pages", "page_id", text_blocks("url"), "length(hex(encode(url))) // 2")}
         SELECT page_id, (abs(hash) % 10)::INT AS shard FROM hashed""",
+    "pair_large_keys": "SELECT d.doc_id + 3000000000 AS product_id, md5(text) AS text, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
+    "pair_unusable": "SELECT 'image' AS side, 'x' || doc_id AS key, count(*) AS n FROM labels WHERE toxic = 1 GROUP BY ALL",
+    "category_values": f"""WITH {PRODUCTS} SELECT product_family, product_category, product_sub_category, count(*) AS n_rows FROM products GROUP BY ALL""",
+    "attribute_values": f"""WITH {PRODUCTS}, {parsed("products")}, listed AS (SELECT attribute_name, unnest(attribute_values) AS value,
+        generate_subscripts(attribute_values, 1) AS i FROM attributes)
+        SELECT attribute_name, value, count(*) FILTER (WHERE i = 1) AS n_rows FROM listed GROUP BY ALL""",
+    "product_values": f"""WITH {PRODUCTS}, {parsed("products")}, {FREQUENT}, {single("frequent")}, {VALUES}
+        SELECT product_id, unnest(attribute_values) AS attribute_values FROM vals""",
     "pair_inner": "SELECT d.doc_id AS product_id, md5(text) AS text, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "split_label": f"""WITH {renamed_murmur("i", int_blocks("doc_id"), "4")}, {renamed_murmur("l", bigint_blocks("doc_id"), "8")},
         {renamed_murmur("s", text_blocks("doc_id::VARCHAR"), "length(doc_id::VARCHAR)")}
@@ -472,6 +480,7 @@ ORACLE: dict[str, str] = {
         j AS (SELECT a.vec_id AS l, b.id AS r, a.embedding::DOUBLE[] AS x, b.v AS y FROM embeddings a FULL JOIN b ON a.vec_id = b.id)
         SELECT count(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL) AS n_compared, count(*) FILTER (WHERE r IS NULL) AS n_left_only,
         count(*) FILTER (WHERE l IS NULL) AS n_right_only, 0::BIGINT AS n_size_differs,
+        count(*) FILTER (WHERE l IS NOT NULL AND r IS NOT NULL AND (x IS NULL OR y IS NULL)) AS n_null_vectors,
         round(max(list_max(list_transform(range(1, 65), lambda i: abs(x[i] - y[i])))) FILTER (WHERE l = r), 9) AS max_abs_diff FROM j""",
     "running_best": """WITH h AS (SELECT user_id AS run, date_diff('day', DATE '2024-01-01', ts::DATE) AS epoch,
         sum(round(value * 100)::BIGINT)::BIGINT / count(*) AS metric FROM events GROUP BY ALL)
@@ -491,3 +500,4 @@ ORACLE: dict[str, str] = {
         (SELECT product_id, n_tokens, row_number() OVER (ORDER BY product_id) - 1 AS i FROM sized JOIN hashed USING (product_id)
         WHERE abs(hash) % 16 < 14)""",
 }
+ORACLE["eval_report_dealt"] = ORACLE["eval_report"]

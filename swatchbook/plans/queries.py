@@ -138,6 +138,11 @@ def category_stats(spark, sf):
     return stats.withColumn("product_sub_categories", joined(F.col("product_sub_categories")))
 
 
+@query
+def category_values(spark, sf):
+    return catalog.category_value_counts(products(spark, sf))
+
+
 @query
 def rare_category_anti(spark, sf):
     kept = catalog.drop_rare_categories(products(spark, sf), RARE_ROWS)
@@ -185,6 +190,12 @@ def attribute_stats(spark, sf):
     return stats.withColumn("attribute_values", joined(F.col("attribute_values")))
 
 
+@query
+def attribute_values(spark, sf):
+    counts = catalog.attribute_value_counts(catalog.explode_attributes(_parsed(spark, sf)))
+    return counts.filter("value IS NOT NULL")
+
+
 @query
 def rare_attribute_anti(spark, sf):
     kept = catalog.drop_rare_attributes(catalog.explode_attributes(_parsed(spark, sf)))
@@ -202,6 +213,11 @@ def attributes_per_product(spark, sf):
     return values.withColumn("attribute_values", joined(F.col("attribute_values")))
 
 
+@query
+def product_values(spark, sf):
+    return catalog.product_values(jobs.kept_attributes(_parsed(spark, sf)))
+
+
 @query
 def products_with_attributes(spark, sf):
     cleaned = jobs.clean_products(products(spark, sf), RARE_ROWS, FAMILIES)
@@ -421,7 +437,24 @@ def hash_shard(spark, sf):
 @query
 def pair_inner(spark, sf):
     texts, sides = _sides(spark, sf)
-    return training_set.pair(texts, sides, key_type="bigint").withColumn("text", F.md5("text"))
+    return training_set.pair(texts, sides).withColumn("text", F.md5("text"))
+
+
+@query
+def pair_large_keys(spark, sf):
+    """Ids beyond 32 bits on both sides."""
+    texts, sides = (
+        df.withColumn("product_id", (F.col("product_id").cast("bigint") + 3_000_000_000).cast(kind))
+        for df, kind in zip(_sides(spark, sf), ("bigint", "string"), strict=True)
+    )
+    return training_set.pair(texts, sides).withColumn("text", F.md5("text"))
+
+
+@query
+def pair_unusable(spark, sf):
+    texts, sides = _sides(spark, sf)
+    named = sides.withColumn("product_id", F.when(F.col("toxic") == 1, F.concat(F.lit("x"), "product_id")).otherwise(F.col("product_id")))
+    return training_set.unusable_keys(texts, named)
 
 
 @query
@@ -604,7 +637,9 @@ def _pairs(spark, sf):
     placed = sides.select(
         F.expr(f"k div {BATCH}").alias("batch_id"), (F.col("k") % BATCH).cast("int").alias("pos"), "img", "txt"
     )
-    return similarity.l2_normalize(similarity.l2_normalize(placed, "img"), "txt")
+    # An odd number of vectors leaves the last one without a partner.
+    whole = placed.filter(F.col("img").isNotNull() & F.col("txt").isNotNull())
+    return similarity.l2_normalize(similarity.l2_normalize(whole, "img"), "txt")
 
 
 def _logits(spark, sf):
@@ -658,6 +693,15 @@ def eval_report(spark, sf):
     return report.select(*[F.round(c, 6).alias(c) for c in report.columns])
 
 
+@query
+def eval_report_dealt(spark, sf):
+    """Batches dealt by the row index instead of placed by arithmetic, then evaluated."""
+    pairs = _pairs(spark, sf).select((F.col("batch_id") * BATCH + F.col("pos")).alias("k"), "img", "txt")
+    dealt = batching.assign_batches(pairs, "k", BATCH, shuffle=False)
+    report = jobs.evaluate(dealt.select("batch_id", "pos", "img", "txt"), BATCH)
+    return report.select(*[F.round(c, 6).alias(c) for c in report.columns])
+
+
 @query
 def eval_report_steps(spark, sf):
     report = jobs.evaluate(_pairs(spark, sf), BATCH, max_batches=3)

@@ -7,11 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from swatchbook.cluster import scratch_path
+from swatchbook.cluster import row_bytes, scratch, scratch_path
 
-# Fixed values.
-TRAINING_FILES, VALIDATION_FILES = 2000, 200
+# Fixed value.
 ROW_GROUP_MB = 500
+FILE_BYTES = 1 << 30
 
 
 def read_table(
@@ -67,22 +67,38 @@ def write_training_set(
     ``files`` per label: the labelled rows are computed once and staged in the
     shared folder by label; every split is then read alone, dealt out evenly to
     its number of files and written. A single number: all splits leave in one
-    pass, each with that many files. Rows are dealt round-robin, so no file
-    depends on how often a key occurs.
+    pass, each with that many files. Without a number every split gets files
+    of about ``FILE_BYTES`` before compression. Rows are dealt round-robin, so
+    no file depends on how often a key occurs. A null label, or one that
+    ``files`` does not name, is an error, and nothing is written then.
     """
+    spark = df.sparkSession
     shaped = with_shapes(df, shapes or {})
     if isinstance(files, int):
-        write_table(shaped.repartition(files), path, "overwrite", "parquet", compression, [label], row_group_mb)
+        checked = shaped.withColumn(label, F.coalesce(F.col(label), F.raise_error(F.lit("a row has no split label"))))
+        write_table(checked.repartition(files), path, "overwrite", "parquet", compression, [label], row_group_mb)
         return {"*": path}
-    files = files or {"training": TRAINING_FILES, "validation": VALIDATION_FILES}
-    stage = scratch_path(df.sparkSession, "labelled")
-    write_table(df, stage, partition_by=[label])
-    staged = df.sparkSession.read.schema(df.schema).parquet(stage)
-    folders = {}
-    for name, count in files.items():
-        folders[name] = f"{path}/{name}"
-        split = with_shapes(staged.filter(F.col(label) == name).drop(label), shapes or {})
-        write_table(
-            split.repartition(count), folders[name], "overwrite", "parquet", compression, (), row_group_mb
-        )
+    with scratch(spark):
+        stage = scratch_path(spark, "labelled")
+        write_table(df, stage, partition_by=[label])
+        staged = spark.read.schema(df.schema).parquet(stage)
+        # One row per label.
+        found = [r[0] for r in staged.select(label).distinct().collect()]
+        unknown = [x for x in found if x is None or (files is not None and x not in files)]
+        if unknown:
+            raise ValueError(f"split labels without a number of files: {unknown}")
+        folders = {}
+        for name in files or sorted(found):
+            split = staged.filter(F.col(label) == name).drop(label)
+            count = files[name] if files else max(1, -(-split.count() * row_bytes(split) // FILE_BYTES))
+            folders[name] = f"{path}/{name}"
+            write_table(
+                with_shapes(split, shapes or {}).repartition(count),
+                folders[name],
+                "overwrite",
+                "parquet",
+                compression,
+                (),
+                row_group_mb,
+            )
     return folders

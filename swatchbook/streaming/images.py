@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -46,19 +45,6 @@ def raw_bytes(shape: Sequence[int]) -> Callable[[bytes], np.ndarray]:
     return decode
 
 
-def jpeg(size: tuple[int, int] = IMAGE_SIZE) -> Callable[[bytes], np.ndarray]:
-    """Decoder of compressed images, resized to (height, width); needs the Pillow package."""
-
-    def decode(content: bytes) -> np.ndarray:
-        from PIL import Image
-
-        with Image.open(io.BytesIO(content)) as picture:
-            resized = picture.convert("RGB").resize(size[::-1], Image.Resampling.BICUBIC)
-        return np.moveaxis(np.asarray(resized, dtype=np.float32), -1, 0) / 255.0
-
-    return decode
-
-
 def image_tensors(
     files: DataFrame,
     decode: Callable[[bytes], np.ndarray],
@@ -67,8 +53,8 @@ def image_tensors(
 ) -> DataFrame:
     """``(shard, product_id, img_array, error, rejected)``: standardised tensors as NPY bytes.
 
-    A file that cannot be decoded, or has another shape, is kept as a reject
-    with its reason and without a tensor.
+    ``decode`` is the user's. A file on which it raises a data error, or that
+    has another shape, is kept as a reject with its reason and without a tensor.
     """
     header = npy_header(shape, "float32")
     mean = np.asarray(CHANNEL_MEAN).reshape(-1, 1, 1)

@@ -114,10 +114,26 @@ def test_both_routes_to_values_agree(spark, attributed):
     assert {r["product_id"]: r["attribute_values"] for r in joined}[2] is None
 
 
-def test_too_many_names_take_the_join_route(spark, attributed, monkeypatch):
-    want = sorted(jobs.products_with_values(attributed, 1).collect(), key=str)
-    monkeypatch.setattr(catalog, "INLINE_NAMES", 2)
-    assert sorted(jobs.products_with_values(attributed, 1, unique_ids=True).collect(), key=str) == want
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_values_in_row_are_the_same_at_every_size(spark, monkeypatch, most):
+    """Rows that repeat an id, or have none, keep their own values on either route."""
+    rows = [(1, "A"), (1, "B"), (None, "C"), (2, None)]
+    listed = F.when(F.col("v").isNotNull(), F.array(F.struct(F.lit("n").alias("attribute_name"), F.array("v").alias("attribute_values"))))
+    base = spark.createDataFrame(rows, "product_id int, v string").withColumn("product_attributes", listed)
+    others = ["product_family", "product_category", "product_sub_category", "product_brand", "product_gender"]
+    others += ["product_main_colour", "product_image_path", "product_short_description"]
+    df = base.select("product_id", "product_attributes", *[F.lit("x").alias(c) for c in others])
+    monkeypatch.setattr(catalog.small_side, "__defaults__", (most,))
+    got = catalog.facets_with_values_in_row(df, 1).select("product_id", "attribute_values").collect()
+    assert sorted(map(str, map(tuple, got))) == ["(1, ['A'])", "(1, ['B'])", "(2, None)", "(None, ['C'])"]
+
+
+def test_too_many_values_are_an_error(spark):
+    df = spark.range(5).select(F.lit("n").alias("attribute_name"), F.array(F.col("id").cast("string")).alias("attribute_values"))
+    assert len(catalog.attribute_stats(df, 5).first()["attribute_values"]) == 5
+    assert catalog.attribute_value_counts(df).count() == 5
+    with pytest.raises(Exception, match="more than 4 values"):
+        catalog.attribute_stats(df, 4).collect()
 
 
 @pytest.mark.parametrize(

@@ -45,11 +45,12 @@ def test_json_is_parsed_once_when_exploded(products):
     assert plan(catalog.explode_attributes(catalog.parse_attributes(products))).count("from_json") == 1
 
 
-def test_encoding_without_a_shuffle(spark, tmp_path, products, monkeypatch):
+def test_encoding_without_a_shuffle(spark, tmp_path, products):
     path = tmp_path / "merges.txt"
     path.write_text("#version\na b\n")
     pairs = merges.read_merge_list(spark, str(path))
-    monkeypatch.setattr("swatchbook.cluster.SPREAD_BYTES", 0)
+    # One file of one split is dealt out first; a table of enough splits is not.
+    assert plan(tokenizer.tokenize_table(products.coalesce(1), pairs, "product_id", "product_short_description")).count("Exchange") == 1
     coded = plan(tokenizer.tokenize_table(products, pairs, "product_id", "product_short_description"))
     assert "Exchange" not in coded and "MapInArrow" in coded
     assert "ReadSchema: struct<product_id:int,product_short_description:string>" in coded
@@ -61,11 +62,11 @@ def test_slices_and_labels_without_a_shuffle(products):
     assert "Exchange" not in plan(products.select(text.clean_text(F.col("product_brand"))))
 
 
-def test_one_shuffle_per_batch_of_scores(spark):
+def test_two_shuffles_per_batch_of_scores(spark):
     rows = spark.range(10).select(
         F.lit(0).cast("bigint").alias("batch_id"), F.col("id").cast("int").alias("pos"), F.array(F.lit(1.0)).alias("img"), F.array(F.lit(1.0)).alias("txt")
     )
-    assert plan(similarity.inbatch_logits(rows, 10)).count("Exchange") == 1
+    assert plan(similarity.inbatch_logits(rows, 10)).count("Exchange") == 2
 
 
 def test_ranking_limits_rows_before_the_shuffle(spark):

@@ -170,7 +170,7 @@ def test_parity_sees_differences_that_cancel(spark):
         "n_compared": 2,
         "n_left_only": 1,
         "n_right_only": 1,
-        "n_size_differs": 0,
+        "n_size_differs": 0, "n_null_vectors": 0,
         "max_abs_diff": 0.5,
     }
     assert similarity.embedding_parity(a, a).first()["max_abs_diff"] == 0.0

@@ -40,7 +40,7 @@ def test_pairs_with_a_hot_key(spark):
         "imgs",
     )
     want = sorted(tuple(r) for r in training_set.pair(texts, imgs).collect())
-    got = sorted(tuple(r) for r in training_set.pair(texts, imgs, min_rows=100, pieces=20).collect())
+    got = sorted(tuple(r) for r in training_set.pair(texts, imgs, piece_rows=100).collect())
     assert got == want and len(got) > 1900
 
 
