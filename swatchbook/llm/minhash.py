@@ -29,6 +29,8 @@ STAR_ROUNDS = 2
 # Documents that share half of their shingles with one leader are a family; from
 # this size on its members are compared block by block, not pair by pair.
 FAMILY_ROWS, FAMILY_BLOCK = 16, 512
+# Rows that a worker turns into Python objects at once.
+SLICE_ROWS = 256
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,8 +89,15 @@ def set_print(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows a few at a time, so that a worker never holds a whole batch of texts or sets twice."""
     for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _sliced(batches):
         sizes, nodes, keys, signs = [], [], [], []
         for text in batch.column(1).to_pylist():
             shingles = shingle_set(text)
@@ -116,7 +125,7 @@ def _signing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         found = [shingle_set(t) for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [
@@ -137,7 +146,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
 
 def _confirming(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             found = [
                 overlap(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64))
                 for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
@@ -367,7 +376,7 @@ def _partners(buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _sliced(batches):
         found = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(found, type=pa.list_(pa.int64()))], names=["_node", "_x"]
