@@ -136,6 +136,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def labelled_findings(docs: DataFrame, rows: int = SAMPLE_ROWS, **columns: str) -> DataFrame:
     """``(path, value, before, after, label)``: up to ``rows`` distinct findings of each label, by hash."""
     named = candidates(docs, **columns).select("path", "value", "before", "after", label(F.col("value"), F.col("before"), F.col("after")).alias("label"))
+    # Written, so that the texts are searched once for both kinds.
+    named = written(named.filter("label IS NOT NULL"), "labelled")
     order = F.xxhash64("value", "before", "after", "path")
     kinds = [
         named.filter(F.col("label") == k).dropDuplicates(["value"]).orderBy(order, "value").limit(rows) for k in (0, 1)
