@@ -58,10 +58,13 @@ def split_by_hash(
 ) -> Column:
     """Split label from Spark's hash of the key.
 
-    The key's type is pinned, as it decides the hash, and the hash is widened
-    before ``abs``, which would overflow on the smallest int.
+    The key's type is pinned, as it decides the hash; a key that does not fit
+    it is hashed as it is. The hash is widened before ``abs``, which would
+    overflow on the smallest int.
     """
-    return split_by_bucket(F.abs(F.hash(key.cast(key_type)).cast("bigint")) % buckets, training)
+    pinned = key.try_cast(key_type)
+    hashed = F.when(pinned.isNull() & key.isNotNull(), F.hash(key)).otherwise(F.hash(pinned))
+    return split_by_bucket(F.abs(hashed.cast("bigint")) % buckets, training)
 
 
 def split_by_key(key: Column, buckets: int = SPLIT_BUCKETS, training: int = TRAINING_BUCKETS) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from swatchbook.cluster import scratch
 from swatchbook.functions.text import template_by_seed
 from swatchbook.functions.vectors import LOGIT_SCALE
 from swatchbook.operators import catalog
@@ -84,11 +85,13 @@ def build_training_set(
 ) -> dict[str, str]:
     """Join texts and images, label the split by hash, and write it; returns the folders.
 
-    ``images`` should be a table read plus row-wise steps.
+    Both should be table reads plus row-wise steps. Intermediate tables are
+    removed at the end.
     """
-    paired = pair(texts, images, "product_id", key_type)
-    labelled = paired.withColumn("dataset", split_by_hash(F.col("product_id"), key_type))
-    return write_training_set(labelled, path, files, "dataset", shapes)
+    with scratch(texts.sparkSession):
+        paired = pair(texts, images, "product_id", key_type)
+        labelled = paired.withColumn("dataset", split_by_hash(F.col("product_id")))
+        return write_training_set(labelled, path, files, "dataset", shapes)
 
 
 def evaluate(
