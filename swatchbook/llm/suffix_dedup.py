@@ -10,25 +10,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swatchbook.cluster import written
+from swatchbook.cluster import small_side, written
 from swatchbook.llm.induced_sort import suffix_order
 
 # Bytes of the hashed grams that choose the shard of a string.
 GRAM = 32
-# Windows of one run at most, and text that is sorted together if it is of several keys.
-RUN, SORTED_BYTES = 4095, 4 << 20
+# Bytes looked at together; their places fit the low bits of a key.
+PLACES = 1 << 16
+# Text that is sorted together if it is of several keys.
+SORTED_BYTES = 2 << 20
+# Start and number of windows travel as start * NUMBERS + number.
+NUMBERS = 1 << 10
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the ``GRAM`` bytes at every place, by doubling."""
     h, n = data.astype(np.uint64) + np.uint64(1), 1
+    factor = 0x9E3779B97F4A7C15
     while n < GRAM:
-        left = h[:-n] * np.uint64(0x9E3779B97F4A7C15)
-        h = (left ^ (left >> np.uint64(29))) + h[n:] * np.uint64(0xD1B54A32D192ED03)
+        h = h[:-n] * np.uint64(factor) + h[n:]
+        factor = (factor * 0xD1B54A32D192ED03 + 2 * n) % 2**64 | 1
         n *= 2
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(29)
+    return h
 
 
 def _sliding_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -43,57 +49,56 @@ def _sliding_minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, start, number and weight of the runs of windows of ``length`` bytes that have one key.
+def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, key, start and number of the runs of windows of ``length`` bytes with one smallest gram.
 
-    The key of a window is the smallest hash of its grams, so equal windows
-    have equal keys. The weight is 2 if windows of the run can be equal to
-    each other, as the gram occurs twice in it, else 1.
+    The key of a window is the hash of the smallest of its grams, the first
+    one among equals, so equal windows have equal keys. Windows that share
+    the very same gram are one run, of fewer windows than ``length``.
     """
-    if len(data) < length:
+    joined = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+    width = length - GRAM + 1
+    found = []
+    # Pieces overlap, so that every window is in exactly one.
+    for at in range(0, max(0, len(joined) - length + 1), PLACES - length):
+        data = joined[at : at + PLACES - 1]
+        h = (_hashes(data) & np.uint64(2**64 - PLACES)) | np.arange(len(data) - GRAM + 1, dtype=np.uint64)
+        low = _sliding_minima(h, width)
+        low = low[: PLACES - length]
+        place = at + np.arange(len(low))
+        text = np.searchsorted(ends, place, side="right")
+        inside = place + length <= ends[np.minimum(text, len(ends) - 1)]
+        fresh = np.append(True, (low[1:] != low[:-1]) | (text[1:] != text[:-1]) | (inside[1:] != inside[:-1]))
+        first = np.flatnonzero(fresh)
+        number = np.diff(np.append(first, len(low)))
+        keep = inside[first]
+        first, number = first[keep], number[keep]
+        owner = text[first]
+        begin = place[first] - (ends[owner] - np.fromiter((len(texts[k]) for k in owner), np.int64, len(owner)))
+        found.append((owner, low[first] >> np.uint64(16), begin, number))
+    if not found:
         none = np.empty(0, dtype=np.int64)
-        return none.astype(np.uint64), none, none, none
-    h, width = _hashes(data), length - GRAM + 1
-    low = _sliding_minima(h, width)
-    start = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
-    number = np.diff(np.append(start, len(low)))
-    key = low[start]
-    weight = np.where(number > width, 2, 1)
-    for at in range(0, len(start), 4096):
-        s, n = start[at : at + 4096, None], number[at : at + 4096, None]
-        place = s + np.arange(2 * width - 1)
-        inside = place < s + np.minimum(n, width) + width - 1
-        found = (h[np.minimum(place, len(h) - 1)] == key[at : at + 4096, None]) & inside
-        weight[at : at + 4096][found.sum(axis=1) > 1] = 2
-    if number.max() > RUN:
-        parts = -(-number // RUN)
-        first = np.repeat(np.cumsum(parts) - parts, parts)
-        step = np.arange(parts.sum()) - first
-        key, weight = np.repeat(key, parts), np.repeat(weight, parts)
-        whole, begin = np.repeat(number, parts), np.repeat(start, parts)
-        start, number = begin + step * RUN, np.minimum(RUN, whole - step * RUN)
-    return key, start, number, weight
+        return none, none.astype(np.uint64), none, none
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(4))
 
 
 def _running(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One row per run: key, id, print, and start and number as one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 512):
-                part = batch.slice(first, 512)
-                found = [runs(np.frombuffer(t, np.uint8), length) for t in part.column(2).to_pylist()]
-                owner = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
-                key, start, number, weight = (np.concatenate([f[k] for f in found]) for k in range(4))
-                sizes = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(found)))])
-                offsets = pa.array(sizes.astype(np.int32))
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                owner, key, start, number = runs(part.column(2).to_pylist(), length)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
-                        part.column(1),
-                        pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64))),
-                        pa.ListArray.from_arrays(offsets, pa.array(start * (RUN + 1) + number)),
-                        pa.ListArray.from_arrays(offsets, pa.array(weight.astype(np.int8))),
+                        part.column(0).take(pa.array(owner)),
+                        part.column(1).take(pa.array(owner)),
+                        pa.array(key.astype(np.int64)),
+                        pa.array(start * NUMBERS + number),
                     ],
-                    names=["_id", "_print", "_x", "_at", "_w"],
+                    names=["_id", "_print", "_x", "_at"],
                 )
 
     return run
@@ -112,7 +117,7 @@ def _cutting(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             out: list[tuple[int, int, int, int, bytes | None]] = []
             for doc, text, xs, ats in zip(ids, texts, keys, places, strict=True):
                 for x, at in zip(xs, ats, strict=True):
-                    start, n = divmod(at, RUN + 1)
+                    start, n = divmod(at, NUMBERS)
                     string, row = text[start : start + n + length - 1], (x, doc, start, n)
                     other = best.get(string)
                     if other is None or (doc, start) < other[1:3]:
@@ -280,23 +285,34 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     See :func:`remove_repeats`. ``_copy`` marks ids whose text is that of a smaller id.
     """
     rows = _rows(docs, id_col, text_col)
-    prints = rows.filter("_id IS NOT NULL").groupBy("_id").agg(F.min("_print").alias("_print"))
+    pairs = written(rows.select("_id", "_print").filter("_id IS NOT NULL").distinct(), "prints")
+    prints = pairs.groupBy("_id").agg(F.min("_print").alias("_print"))
     firsts = prints.groupBy("_print").agg(F.min("_id").alias("_first"))
     known = written(
         prints.join(firsts, "_print").select("_id", "_print", (F.col("_id") != F.col("_first")).alias("_copy")), "texts"
     )
+    # Copies, and further texts of one id, take no part; as a rule these are few.
+    out = pairs.join(known.filter("NOT _copy"), ["_id", "_print"], "left_anti")
+    out, small = small_side(out.select("_id", "_print.*"), "left-out")
+    out = out.select("_id", F.struct("a", "b", "c").alias("_print"))
     kind = rows.schema["_print"].dataType.simpleString()
-    shape = f"_id bigint, _print {kind}, _x array<bigint>, _at array<bigint>, _w array<tinyint>"
-    found = rows.select("_id", "_print", "_text").mapInArrow(_running(length), shape)
-    found = found.join(known.filter("NOT _copy").select("_id", "_print"), ["_id", "_print"], "left_semi")
-    windows = found.select("_id", F.explode(F.arrays_zip("_x", "_at", "_w")).alias("r")).select("_id", "r.*")
+    found = rows.filter("_id IS NOT NULL").select("_id", "_print", "_text").mapInArrow(
+        _running(length), f"_id bigint, _print {kind}, _x bigint, _at bigint"
+    )
+    windows = found.join(F.broadcast(out) if small else out, ["_id", "_print"], "left_anti").select("_x", "_id", "_at")
     # Only strings whose key comes up twice can repeat; hot keys are counted before the shuffle.
-    twice = windows.groupBy("_x").agg(F.sum("_w").alias("_n")).filter("_n > 1").select("_x")
+    twice = windows.groupBy("_x").agg(F.count("*").alias("_n")).filter("_n > 1").select("_x")
     wanted = windows.join(twice, "_x").groupBy("_id").agg(
         F.collect_list("_x").alias("_x"), F.collect_list("_at").alias("_at")
     )
-    texts = rows.join(known.filter("NOT _copy").select("_id", "_print"), ["_id", "_print"], "left_semi")
-    cut = texts.join(wanted, "_id").select("_id", "_text", "_x", "_at").mapInArrow(_cutting(length), _STRING)
+    wanted = wanted.join(known.withColumnRenamed("_print", "_p").drop("_copy"), "_id")
+    # The texts are shuffled by id here as they are at the end, so that Spark can reuse the exchange.
+    cut = (
+        rows.join(wanted, "_id")
+        .filter("_print = _p")
+        .select("_id", "_text", "_x", "_at")
+        .mapInArrow(_cutting(length), _STRING)
+    )
     spans = cut.repartition("_x").sortWithinPartitions("_x").mapInArrow(
         _sorting(length), "_id bigint, _from bigint, _to bigint"
     )
@@ -333,11 +349,13 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spans, known = repeated_spans(docs, length, id_col, text_col)
     rows = _rows(docs, id_col, text_col)
     by_id = spans.groupBy("_id").agg(F.collect_list(F.struct(F.col("_from").alias("a"), F.col("_to").alias("b"))).alias("_spans"))
-    told = known.join(by_id, "_id", "left").select(
-        F.col("_id").alias("_k"), F.col("_print").alias("_p"), "_copy", "_spans"
-    )
-    joined = rows.join(told, (F.col("_id") == F.col("_k")) & (F.col("_print") == F.col("_p")), "left").select(
-        "_id", "_text", F.coalesce("_copy", F.lit(False)).alias("_copy"), "_spans"
+    told = known.join(by_id, "_id", "left").select("_id", F.col("_print").alias("_p"), "_copy", "_spans")
+    mine = F.coalesce(F.col("_print") == F.col("_p"), F.lit(False))
+    joined = rows.join(told, "_id", "left").select(
+        "_id",
+        "_text",
+        (mine & F.coalesce("_copy", F.lit(False))).alias("_copy"),
+        F.when(mine, F.col("_spans")).alias("_spans"),
     )
     out = joined.mapInArrow(
         _removing(length), "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
