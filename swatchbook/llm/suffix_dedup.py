@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,11 +113,12 @@ def _cutting(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts, keys, places = (batch.column(n).to_pylist() for n in range(4))
+            batch = batch.filter(pc.is_valid(batch.column(2)))
+            ids, texts, keys, places, prints, wanted = (batch.column(n).to_pylist() for n in range(6))
             best: dict[bytes, tuple[int, int, int, int]] = {}
             out: list[tuple[int, int, int, int, bytes | None]] = []
-            for doc, text, xs, ats in zip(ids, texts, keys, places, strict=True):
-                for x, at in zip(xs, ats, strict=True):
+            for doc, text, xs, ats, own, other_print in zip(ids, texts, keys, places, prints, wanted, strict=True):
+                for x, at in zip(xs, ats, strict=True) if own == other_print else ():
                     start, n = divmod(at, NUMBERS)
                     string, row = text[start : start + n + length - 1], (x, doc, start, n)
                     other = best.get(string)
@@ -279,13 +281,13 @@ def _removing(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def repeated_spans(rows: DataFrame, texts: DataFrame, length: int = 100) -> tuple[DataFrame, DataFrame]:
     """The bytes to remove: ``(_id, _from, _to)`` spans, and ``(_id, _print, _copy)`` of each id's text.
 
-    See :func:`remove_repeats`. ``_copy`` marks ids whose text is that of a smaller id.
+    See :func:`remove_repeats`. ``rows`` has _id, _text and _print, ``texts``
+    the same rows by id. ``_copy`` marks ids whose text is that of a smaller id.
     """
-    rows = _rows(docs, id_col, text_col)
-    pairs = written(rows.select("_id", "_print").filter("_id IS NOT NULL").distinct(), "prints")
+    pairs = written(rows.select("_id", "_print").distinct(), "prints")
     prints = pairs.groupBy("_id").agg(F.min("_print").alias("_print"))
     firsts = prints.groupBy("_print").agg(F.min("_id").alias("_first"))
     known = written(
@@ -296,7 +298,7 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     out, small = small_side(out.select("_id", "_print.*"), "left-out")
     out = out.select("_id", F.struct("a", "b", "c").alias("_print"))
     kind = rows.schema["_print"].dataType.simpleString()
-    found = rows.filter("_id IS NOT NULL").select("_id", "_print", "_text").mapInArrow(
+    found = rows.select("_id", "_print", "_text").mapInArrow(
         _running(length), f"_id bigint, _print {kind}, _x bigint, _at bigint"
     )
     windows = found.join(F.broadcast(out) if small else out, ["_id", "_print"], "left_anti").select("_x", "_id", "_at")
@@ -306,11 +308,10 @@ def repeated_spans(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
         F.collect_list("_x").alias("_x"), F.collect_list("_at").alias("_at")
     )
     wanted = wanted.join(known.withColumnRenamed("_print", "_p").drop("_copy"), "_id")
-    # The texts are shuffled by id here as they are at the end, so that Spark can reuse the exchange.
+    # All texts, though the ones without keys give nothing: so the exchange is the very one of the last step.
     cut = (
-        rows.join(wanted, "_id")
-        .filter("_print = _p")
-        .select("_id", "_text", "_x", "_at")
+        texts.join(wanted, "_id", "left")
+        .select("_id", "_text", "_x", "_at", "_print", "_p")
         .mapInArrow(_cutting(length), _STRING)
     )
     spans = cut.repartition("_x").sortWithinPartitions("_x").mapInArrow(
@@ -346,18 +347,23 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     up once are left out, equal strings and equal texts are compared once.
     Each shard sorts the suffixes of its strings (see :mod:`induced_sort`).
     """
-    spans, known = repeated_spans(docs, length, id_col, text_col)
-    rows = _rows(docs, id_col, text_col)
+    every = _rows(docs, id_col, text_col)
+    rows = every.filter("_id IS NOT NULL")
+    texts = rows.repartition("_id")
+    spans, known = repeated_spans(rows, texts, length)
     by_id = spans.groupBy("_id").agg(F.collect_list(F.struct(F.col("_from").alias("a"), F.col("_to").alias("b"))).alias("_spans"))
     told = known.join(by_id, "_id", "left").select("_id", F.col("_print").alias("_p"), "_copy", "_spans")
     mine = F.coalesce(F.col("_print") == F.col("_p"), F.lit(False))
-    joined = rows.join(told, "_id", "left").select(
+    joined = texts.join(told, "_id", "left").select(
         "_id",
         "_text",
         (mine & F.coalesce("_copy", F.lit(False))).alias("_copy"),
         F.when(mine, F.col("_spans")).alias("_spans"),
     )
-    out = joined.mapInArrow(
+    # Rows without an id take no part, and no join.
+    no_spans = F.lit(None).cast(joined.schema["_spans"].dataType)
+    rest = every.filter("_id IS NULL").select("_id", "_text", F.lit(False).alias("_copy"), no_spans.alias("_spans"))
+    out = joined.union(rest).mapInArrow(
         _removing(length), "_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
     return out.withColumnRenamed("_id", id_col)
