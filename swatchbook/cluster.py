@@ -29,6 +29,9 @@ MIN_HOT_ROWS = 100
 # Rows looked at to learn how wide a row is.
 WIDTH_ROWS = 1_000
 
+# Bytes of one Arrow batch between the JVM and a Python worker.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
 # Tables of fewer input splits are dealt out over the cores ahead of costly work.
 SPREAD_SPLITS = 64
 # Files whose row counts are added up in one task.
@@ -266,7 +269,11 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in the Python workers of every executor.
 
     The archive is a file of the driver's, which Spark sends to the executors.
+    Arrow batches are kept to a few megabytes unless the session says
+    otherwise: two workers and the JVM hold several of them per core.
     """
+    if not spark.sparkContext.getConf().contains(ARROW_BYTES):
+        spark.conf.set(ARROW_BYTES, BATCH_BYTES)
     if getattr(ship, "done", None) == spark.sparkContext.applicationId:
         return
     package = os.path.dirname(os.path.abspath(__file__))

@@ -32,13 +32,16 @@ def assign_batches(
     training call again with the next ``first_epoch``. Pass only the columns
     the batches need: this sorts and writes them.
     """
-    numbers = F.sequence(F.lit(first_epoch), F.lit(first_epoch + epochs - 1))
-    repeated = df.withColumn("epoch", F.explode(numbers))
-    order: list[Column] = [F.col("epoch")]
-    if shuffle:
-        order.append(F.xxhash64(F.col(key), F.lit(seed), F.col("epoch")))
-    order.append(F.col(key))
-    indexed = global_row_index(repeated, order, partitions, "_index")
+    total = df.count() if epochs > 1 else 0
+    indexed = None
+    for n in range(epochs):
+        # Each epoch is sorted and written by itself, never the rows of all epochs at once.
+        epoch = F.lit(first_epoch + n)
+        order: list[Column] = [F.xxhash64(F.col(key), F.lit(seed), epoch)] if shuffle else []
+        part = global_row_index(df, [*order, F.col(key)], partitions, "_index").select(
+            *df.columns, epoch.alias("epoch"), (F.col("_index") + n * total).alias("_index")
+        )
+        indexed = part if indexed is None else indexed.unionByName(part)
     return indexed.select(
         *df.columns,
         "epoch",

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from swatchbook.cluster import written
+from swatchbook.cluster import row_bytes, written
 from swatchbook.functions.vectors import LOGIT_SCALE, argmax, cross_entropy, unit
 
 # Scores are compared at this many decimals, so that copies of a vector tie
 # wherever they are computed, and the tie goes to the smallest id.
 SCORE_DECIMALS = 9
 TILE_ROWS = 2048
+# Vectors of one block, and scores that a task holds at once.
+BLOCK_BYTES, STRIP_CELLS = 32 << 20, 4 << 20
 # Logits a task holds before it hands them on.
 LOGIT_CELLS = 1 << 20
 MAX_CELLS = 256
@@ -205,13 +207,19 @@ def _blocks(counts: dict[int, int], tile: int) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cell")), F.lit(1))
 
 
+def block_rows(vectors: DataFrame) -> int:
+    """Rows of one block, so that it holds about ``BLOCK_BYTES``; at least those of a tile."""
+    return max(TILE_ROWS, BLOCK_BYTES // row_bytes(vectors.select("vec")))
+
+
 def _tile_scores(queries: DataFrame, corpus: DataFrame, sizes: dict[int, int], k: int, tile: int) -> DataFrame:
     """k best corpus rows per query within the cells listed in its ``cell`` rows.
 
     Both sides of a cell are cut into blocks of about ``tile`` rows, and one
-    task scores one block against one block: a cell that holds a third of the
-    corpus, or that every query asks for, is many small tasks. Only k rows per
-    query leave a tile.
+    task scores one block against one block, some queries at a time: a cell
+    that holds a third of the corpus, or that every query asks for, is many
+    tasks of bounded size. A row is copied once per block of the other side,
+    and only k rows per query leave a pair of blocks.
     """
     asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     if not asked:
@@ -244,13 +252,20 @@ def _tile_scores(queries: DataFrame, corpus: DataFrame, sizes: dict[int, int], k
         # Ascending ids: ties take the smallest.
         c = c.sort_values("id")
         ids = c["id"].to_numpy()
-        scores = np.round(_unit(q["vec"].to_numpy()) @ _unit(c["vec"].to_numpy()).T, SCORE_DECIMALS)
-        best = _best(scores, k)
+        asking, base = _unit(q["vec"].to_numpy()), _unit(c["vec"].to_numpy()).T
+        found, values = [], []
+        strip = max(1, STRIP_CELLS // len(ids))
+        for at in range(0, len(asking), strip):
+            scores = np.round(asking[at : at + strip] @ base, SCORE_DECIMALS)
+            best = _best(scores, k)
+            found.append(ids[best])
+            values.append(np.take_along_axis(scores, best, axis=1))
+        found = np.concatenate(found)
         return pd.DataFrame(
             {
-                "query_id": np.repeat(q["query_id"].to_numpy(), best.shape[1]),
-                "id": ids[best].ravel(),
-                "score": np.take_along_axis(scores, best, axis=1).ravel(),
+                "query_id": np.repeat(q["query_id"].to_numpy(), found.shape[1]),
+                "id": found.ravel(),
+                "score": np.concatenate(values).ravel(),
             }
         )
 
@@ -275,6 +290,7 @@ def nearest(
     corpus_vec: str = "vec",
     cells: int | None = None,
     tile: int = TILE_ROWS,
+    block: int | None = None,
 ) -> DataFrame:
     """``(query_id, id, score, rank)``: the exact k best corpus rows of every query by cosine.
 
@@ -287,11 +303,13 @@ def nearest(
     from their pivot holds nothing better than
     cos(max(0, angle - hi, lo - angle)), so only cells that reach the floor are
     scored afterwards. Cells are skipped only when this proves them useless;
-    with unclustered vectors all of them are scored.
+    with unclustered vectors all of them are scored. Within a cell blocks of
+    ``block`` rows are scored against each other, by default some megabytes.
     """
     asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vec).alias("vec")).dropna()
     base = corpus.select(F.col(corpus_key).cast("bigint").alias("id"), F.col(corpus_vec).alias("vec")).dropna()
     rows = base.count()
+    block = block or block_rows(base)
     if rows == 0:
         return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
     pivots = _pivots(base, cells or -(-rows // tile))
@@ -304,7 +322,7 @@ def nearest(
     )
     sizes = {r["cell"]: r["n"] for r in stats}
     homed = written(_with_cell(asked, pivots), "query-cells")
-    at_home = _ranked(_tile_scores(homed, placed, sizes, k, tile), k)
+    at_home = _ranked(_tile_scores(homed, placed, sizes, k, block), k)
     if len(sizes) == 1:
         return at_home
     first = written(at_home.drop("rank"), "home-scores")
@@ -332,7 +350,7 @@ def nearest(
         "query_id", "vec", F.explode(open_cells("vec", "cell", "floor")).alias("cell")
     )
     rest = written(rest, "open-cells")
-    merged = first.unionByName(_tile_scores(rest, placed, sizes, k, tile))
+    merged = first.unionByName(_tile_scores(rest, placed, sizes, k, block))
     return _ranked(merged, k)
 
 

@@ -28,7 +28,7 @@ def found(df):
 def test_nearest_on_noise(spark, cells, tile, k):
     rng = np.random.default_rng(1)
     queries, corpus = rng.normal(size=(60, 12)), rng.normal(size=(300, 12))
-    out = similarity.nearest(table(spark, queries, "query_id"), table(spark, corpus), k, cells=cells, tile=tile)
+    out = similarity.nearest(table(spark, queries, "query_id"), table(spark, corpus), k, cells=cells, tile=tile, block=tile)
     assert found(out) == brute(queries, corpus, k)
 
 
@@ -59,7 +59,7 @@ def test_nearest_with_a_third_of_copies(spark):
     corpus = rng.normal(size=(300, 8))
     corpus[::3] = corpus[0]
     queries = np.vstack([corpus[:1], rng.normal(size=(20, 8)), np.zeros((1, 8))])
-    out = similarity.nearest(table(spark, queries, "query_id"), table(spark, corpus), 5, cells=8, tile=20)
+    out = similarity.nearest(table(spark, queries, "query_id"), table(spark, corpus), 5, cells=8, tile=20, block=20)
     assert found(out) == brute(queries, corpus, 5)
 
 
@@ -224,3 +224,9 @@ def test_models(spark):
     for i in range(20):
         assert np.allclose(projected[i], np.float32(m[i]) @ w)
         assert np.allclose(embedded[i], m[i] @ w, atol=1e-4)
+
+
+def test_blocks_hold_many_tiles(spark):
+    """A vector is copied once per block of the other side, not once per 2,048 rows."""
+    df = spark.range(10).select("id", F.array_repeat(F.lit(0.5), 64).alias("vec"))
+    assert similarity.block_rows(df) >= 16 * similarity.TILE_ROWS
