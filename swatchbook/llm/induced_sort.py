@@ -10,7 +10,7 @@ import numpy as np
 # Entries of all queues of one pass that are held in memory; what is beyond goes to a file.
 HELD = 1 << 22
 # Common prefixes are counted up to this length.
-CAP = 250
+CAP = 128
 
 
 class BucketQueue:
@@ -47,20 +47,35 @@ class BucketQueue:
         """The parts of a symbol in order; parts that are pushed to it meanwhile follow."""
         while self.parts[symbol]:
             parts, self.parts[symbol] = self.parts[symbol], []
+            waiting: list[tuple[np.ndarray, np.ndarray]] = []
+            size = 0
             for first, second in parts:
                 if isinstance(first, np.ndarray):
                     self.held -= len(first)
-                    yield first, second
+                    waiting.append((first, second))
                 else:
                     self.file.seek(first)
                     positions = np.frombuffer(self.file.read(8 * second), np.int64)
-                    yield positions, np.frombuffer(self.file.read(second), np.uint8)
+                    waiting.append((positions, np.frombuffer(self.file.read(second), np.uint8)))
+                size += len(waiting[-1][0])
+                if size >= self.limit:
+                    yield _joined(waiting)
+                    waiting, size = [], 0
+            if waiting:
+                yield _joined(waiting)
 
     def close(self) -> None:
         if self.file is not None:
             self.file.close()
 
 
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Parts that follow each other as one."""
+    if len(parts) == 1:
+        return parts[0]
+    return np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts])
+
+
 def _range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Minima of ``values[first .. last]`` (both included) for many ranges, by a sparse table."""
     out = np.empty(len(first), dtype=values.dtype)
@@ -156,27 +171,41 @@ def _sorted_stars(text: np.ndarray, rising: np.ndarray, stars: np.ndarray, depth
     return np.argsort(name, kind="stable")
 
 
-def _ranks(name: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Dense ranks by (name, key)."""
-    order = np.lexsort((key, name))
-    step = np.zeros(len(name), dtype=np.int64)
-    step[1:] = (name[order][1:] != name[order][:-1]) | (key[order][1:] != key[order][:-1])
-    out = np.empty(len(name), dtype=np.int64)
+def _dense(values: np.ndarray) -> np.ndarray:
+    """The place of each value among the distinct values."""
+    order = np.argsort(values)
+    ordered = values[order]
+    step = np.zeros(len(values), dtype=np.int64)
+    step[1:] = ordered[1:] != ordered[:-1]
+    out = np.empty(len(values), dtype=np.int64)
     out[order] = np.cumsum(step)
     return out
 
 
+def _ranks(name: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Dense ranks by (name, key); there are fewer than 2^31 names."""
+    if key.max(initial=0) >= 1 << 31:
+        key = _dense(key)
+    return _dense((name << 32) | key.astype(np.int64))
+
+
 def _star_prefixes(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
     """Common prefix of each suffix with the one before it, up to ``CAP``; 0 for the first."""
     out = np.zeros(len(stars), dtype=np.uint8)
     here = np.arange(1, len(stars))
-    padded = np.append(text, np.full(CAP + 1, -1, dtype=text.dtype))
+    # Five symbols of ten bits as one number, which a double holds exactly.
+    padded = np.append(text.astype(np.int64) + 1, np.zeros(CAP + 10, dtype=np.int64))
+    five = np.zeros(len(padded) - 5, dtype=np.int64)
+    for j in range(5):
+        five = (five << 10) | padded[j : j + len(five)]
     at = 0
     while len(here) and at < CAP:
-        same = padded[stars[here] + at] == padded[stars[here - 1] + at]
-        out[here[~same]] = at
-        here = here[same]
-        at += 1
+        differ = five[stars[here] + at] ^ five[stars[here - 1] + at]
+        ended = differ != 0
+        bits = np.frexp(differ[ended].astype(np.float64))[1] - 1
+        out[here[ended]] = np.minimum(at + 4 - bits // 10, CAP)
+        here = here[~ended]
+        at += 5
     out[here] = CAP
     return out
 
