@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from swatchbook.cluster import written
+from swatchbook.llm import workers
 
 # Hashed letter trigrams; their counts travel in pieces of CHUNK numbers.
 BUCKETS, CHUNK = 1 << 14, 1 << 10
@@ -44,6 +45,7 @@ def _counting(languages: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]],
     """Trigram counts of each declared language over a partition, in pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("language")
         place = {language: n for n, language in enumerate(languages)}
         counts = np.zeros((len(languages), BUCKETS), dtype=np.int64)
         for batch in batches:
@@ -105,6 +107,7 @@ def _reading(logs: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     by_trigram = np.ascontiguousarray(logs.T)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("language")
         for batch in batches:
             scores, sizes, means = [], [], []
             for text in batch.column(1).to_pylist():

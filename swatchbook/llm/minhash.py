@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swatchbook.cluster import written
+from swatchbook.llm import workers
 from swatchbook.llm.components import components
 from swatchbook.llm.metric_join import connected_here
 
@@ -91,6 +92,7 @@ def set_print(shingles: np.ndarray) -> bytes:
 
 def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows a few at a time, so that a worker never holds a whole batch of texts or sets twice."""
+    workers.enter("minhash")
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
@@ -290,6 +292,7 @@ def _crossing(percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("minhash")
         waiting: list[pa.RecordBatch] = []
         for batch in _ended(batches):
             if batch is not None:

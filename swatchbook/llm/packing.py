@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swatchbook.cluster import written
-from swatchbook.llm import pretokens
+from swatchbook.llm import pretokens, workers
 from swatchbook.llm.token_counts import portions
 
 # Pieces packed together. Each group leaves one sequence open at most.
@@ -55,10 +55,14 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+workers.forgets(encoder.cache_clear)
+
+
 def _cutting(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("packing")
         ids_of = encoder(path)
         for batch in batches:
             at = 0

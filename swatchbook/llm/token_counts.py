@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from swatchbook.llm import pretokens
+from swatchbook.llm import pretokens, workers
 
 # Texts whose pieces are held at once.
 BATCH_CHARS = 4 << 20
@@ -146,6 +146,9 @@ def counter(path: str) -> TokenCounter:
     return TokenCounter(path)
 
 
+workers.forgets(counter.cache_clear)
+
+
 def portions(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[list[str]]:
     """The texts in portions of about ``limit`` characters; a longer text is alone."""
     portion, size = [], 0
@@ -161,6 +164,7 @@ def portions(texts: list[str], limit: int = BATCH_CHARS) -> Iterator[list[str]]:
 
 def _counting(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workers.enter("token counts")
         tokens = counter(path)
         for batch in batches:
             texts = batch.column(1).to_pylist()
