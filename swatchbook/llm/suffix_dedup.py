@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -199,11 +200,14 @@ def _counted(numbers: np.ndarray) -> np.ndarray:
 def _sorting(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Removed spans ``(id, from, to)`` of a shard, whose rows come sorted by key."""
 
-    def spans(rows: list[tuple[int, int, int, bytes | None]]) -> Iterator[pa.RecordBatch]:
+    def spans(rows: list[tuple[int, int, int, int, bytes | None]]) -> Iterator[pa.RecordBatch]:
         best: dict[bytes, tuple[int, int, int]] = {}
+        keys: dict[bytes, int] = {}
         out: list[tuple[int, int, int]] = []
-        for doc, start, n, string in rows:
+        for x, doc, start, n, string in rows:
             row = (doc, start, n)
+            if string is not None:
+                keys[string] = x
             if string is not None:
                 other = best.get(string)
                 if other is None or row < other:
@@ -213,9 +217,11 @@ def _sorting(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             if row is not None:
                 out.append((row[0], row[1], row[1] + row[2] + length - 1))
         if best:
-            order = sorted((row, string) for string, row in best.items())
+            # The windows of one run differ, so a key needs two strings for a repeat.
+            several = Counter(keys.values())
+            order = sorted((row, string) for string, row in best.items() if several[keys[string]] > 1)
             strings, numbers = [s for _, s in order], np.array([r[2] for r, _ in order])
-            if len(order) > 1 or numbers[0] > 1:
+            if order:
                 gone = repeated(strings, numbers, length)
                 edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 first, stop = edge[::2], edge[1::2]
@@ -231,7 +237,7 @@ def _sorting(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["_id", "_from", "_to"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple[int, int, int, bytes | None]] = []
+        waiting: list[tuple[int, int, int, int, bytes | None]] = []
         size, last = 0, None
         for batch in batches:
             columns = (batch.column(n).to_pylist() for n in range(5))
@@ -239,7 +245,7 @@ def _sorting(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                 if size > SORTED_BYTES and x != last:
                     yield from spans(waiting)
                     waiting, size = [], 0
-                waiting.append((doc, start, n, string))
+                waiting.append((x, doc, start, n, string))
                 size, last = size + len(string or b""), x
         if waiting:
             yield from spans(waiting)
