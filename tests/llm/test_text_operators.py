@@ -177,6 +177,33 @@ def test_language_edges(docs):
     assert language.identify_documents(docs.limit(0)).collect() == []
 
 
+RARE = "zxq wvk jhqq kxz qwj vvzk hjx zkwq xxj qvw"
+
+
+def test_rare_languages_are_learnt(spark):
+    rows = [(n, "the river runs along the old stone bridge and the mill", "en", "a") for n in range(3000)]
+    rows += [(3000 + n, RARE, "xx", "b") for n in range(2)]
+    got = language.identify_documents(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()
+    assert all(r.language == ("xx" if r.doc_id >= 3000 else "en") and not r.rejected for r in got)
+
+
+def test_language_blocks(spark, docs, monkeypatch):
+    """Languages in several blocks give what they give in one."""
+    more = spark.createDataFrame([(20, RARE, "xx", "d"), (21, RARE, None, "a"), (22, "ein", "xx", "d")], "doc_id bigint, text string, lang string, source string")
+    df = docs.select(*more.columns).union(more)
+
+    def table():
+        key = lambda r: (str(r[0]), r[3], str(r[1]))
+        return sorted(map(tuple, language.identify_documents(df).collect()), key=key)
+
+    one = table()
+    monkeypatch.setattr(language, "MODEL_BYTES", language.BUCKETS * 8)
+    several = table()
+    assert len(one) == df.count() and [r[1] for r in one].count("xx") >= 2
+    for a, b in zip(one, several, strict=True):
+        assert a[:2] + a[3:] == b[:2] + b[3:] and a[2] == pytest.approx(b[2])
+
+
 def test_pipeline(spark, docs, tmp_path):
     """Every stage on awkward rows: columns, decisions, and an empty table."""
     now = docs
