@@ -14,9 +14,10 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """The documents with ``_key``: the id and a hash of the row, equal only for repeated rows."""
-    return docs.select(*COLUMNS).withColumn(
-        "_key", F.struct(F.col("doc_id").alias("id"), F.xxhash64("text", "lang", "source").alias("hash"))
-    )
+    rest = [c for c in COLUMNS if c != "doc_id"]
+    # The hash passes over nulls, so it is told where they are.
+    row = F.xxhash64(*rest, *[F.col(c).isNull() for c in rest])
+    return docs.select(*COLUMNS).withColumn("_key", F.struct(F.col("doc_id").alias("id"), row.alias("hash")))
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,12 +55,15 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing to target weights: every document as often as the mix takes it.
 
-    Identical rows share their copies evenly, rounded down.
+    Identical rows become one that is repeated as often as the mix takes them together.
     """
     keyed = _keyed(docs)
-    taken = mixing.mix(keyed, id_col="_key").groupBy("_key").agg(F.expr("sum(copies) div count(*)").alias("_copies"))
-    repeated = keyed.join(taken.filter("_copies > 0"), keyed["_key"].eqNullSafe(taken["_key"]))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*COLUMNS)
+    taken = mixing.mix(keyed, id_col="_key").groupBy("_key").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    taken = written(taken.filter("_copies > 0"), "taken")
+    found = keyed.join(taken.withColumnRenamed("_key", "_own"), F.col("_key").eqNullSafe(F.col("_own")))
+    # As a rule few rows are repeated; the others are not shuffled for it.
+    once = found.filter("_rows = 1").union(found.filter("_rows > 1").dropDuplicates(["_key"]))
+    return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,6 +222,18 @@ def test_pipeline(spark, docs, tmp_path):
         assert stage(spark, empty, "").collect() == [], name
 
 
+def test_mixed_keeps_all_copies(spark):
+    """Repeated rows come out as often as the mix takes them together."""
+    rows = [(n // 3, " ".join([f"w{n // 3}"] * (20 + n // 3 % 7)), None, f"s{n // 3 % 3}", 5) for n in range(180)]
+    rows += [(n // 2 + 100, "a b c", "s0" if n % 2 else None, None if n % 2 else "s0", 5) for n in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    wanted = collections.Counter()
+    for r in mixing.mix(corpus_pipeline._keyed(df), id_col="_key").collect():
+        wanted[r["_key"]] += r.copies
+    got = collections.Counter(r["_key"] for r in corpus_pipeline._keyed(corpus_pipeline.mixed(spark, df, "")).collect())
+    assert got == +wanted and any(n % 3 for n in wanted.values())
+
+
 def test_pipeline_on_documents(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     rows = out.toPandas()
