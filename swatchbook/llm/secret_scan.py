@@ -11,16 +11,30 @@ from pyspark.sql import functions as F
 
 from swatchbook.cluster import written
 
-# A candidate is a long token with a digit, a very long one, or a block of key text.
+# A candidate is a block of key text, a value that its context names, an issuer's format whatever
+# it holds, a long token with a digit, or a very long one.
+BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
+# The password of an address; cheap looks back go first.
+URL_PASSWORD = r"(?<=:)(?<=://[^\s:/@]{0,128}:)[^\s/\"'<>]{1,256}(?=@)"
+_NAME = r"(?i:token|secret|passw|api|key|auth|bearer|credential)[A-Za-z_]{0,32}[\"']?\s{0,8}[=:]\s{0,8}"
+NAMED_VALUE = (
+    rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,8}}[\"']?)(?:(?<={_NAME}\")[^\"\r\n]{{0,511}}[^\"\s](?=\")"
+    rf"|(?<={_NAME}')[^'\r\n]{{0,511}}[^'\s](?=')"
+    rf"|(?<={_NAME})[^\s\"'`,;<>(){{}}\[\]]{{1,512}})"
+)
+ISSUER = (
+    r"(?=[Agxs])(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|gh[pousr]_[A-Za-z0-9]{36,}"
+    r"|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"
+)
 TOKEN = r"(?<![A-Za-z0-9+/_-])(?:(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}|[A-Za-z0-9+/_-]{24,})={0,2}"
-BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*-----END [A-Z ]*PRIVATE KEY-----"
-CANDIDATE = f"{BLOCK}|{TOKEN}"
+CANDIDATE = f"{BLOCK}|{URL_PASSWORD}|{NAMED_VALUE}|{ISSUER}|{TOKEN}"
 NEIGHBOURHOOD = 48
 MARK = "[secret]"
 
 # Words next to a value that say what it is.
 NAMED = r"(?i)(token|secret|passw|api|key|auth|bearer|credential)[A-Za-z_]*[\"']?\s*(?:[=:]|is)?\s*[\"']?$"
 ASSIGNED = r"[=:]\s*[\"']?$"
+URL_USER = r"://[^\s:/@]*:$"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]"
 TEST_PATH = r"(?i)test|example|sample|fixture|mock|docs?/"
 ISSUED = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk_live_[A-Za-z0-9]{16,}$"
@@ -68,6 +82,10 @@ def _share(text: Column, kept: str, length: Column) -> Column:
     return F.length(F.regexp_replace(text, kept, "")) / length
 
 
+def _in_address(before: Column, after: Column) -> Column:
+    return before.rlike(URL_USER) & after.startswith("@")
+
+
 def features(value: Column, before: Column, after: Column, path: Column, words: Sequence[str]) -> list[Column]:
     """The numbers that the forest sees, in the order of ``FEATURES``."""
     length = F.length(value).cast("double")
@@ -88,7 +106,7 @@ def features(value: Column, before: Column, after: Column, path: Column, words:
         "hexadecimal": flag(value.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")),
         "slashes": _share(value, "[^/]", length),
         "path": flag(F.coalesce(path, F.lit("")).rlike(TEST_PATH)),
-        "named": flag(before.rlike(NAMED)),
+        "named": flag(before.rlike(NAMED) | _in_address(before, after)),
         "assigned": flag(before.rlike(ASSIGNED)),
         "quoted": flag(before.rlike("[\"'`]$") & after.rlike("^[\"'`]")),
         "placeholder": flag(near.rlike(PLACEHOLDER)),
@@ -105,7 +123,9 @@ def label(value: Column, before: Column, after: Column) -> Column:
     return (
         F.when(near.rlike(PLACEHOLDER) | value.rlike(UUID), 0)
         .when(value.rlike(BLOCK) | value.rlike(ISSUED), 1)
-        .when(before.rlike(NAMED) & before.rlike(ASSIGNED) & value.rlike("[0-9]"), 1)
+        # Short values next to a name are as often versions and counts: the forest decides.
+        .when(before.rlike(NAMED) & before.rlike(ASSIGNED) & value.rlike("[0-9]") & (F.length(value) >= 8), 1)
+        .when(_in_address(before, after) & value.rlike("[0-9]"), 1)
         .when(value.rlike("^[0-9+/_-]*$") | ~value.rlike("[0-9]"), 0)
         .cast("int")
     )

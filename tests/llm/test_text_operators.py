@@ -84,6 +84,27 @@ def test_secret_scan(spark):
     assert got[900].text is None and got[901].text == "" and got[902].n_candidates == 0
 
 
+def test_secret_scan_by_context_and_format(spark):
+    letters = "QWERTYUIOPASDFGHJKLZ"
+    forms = [
+        lambda n: (f'password = "Tr0ub4dor&{n}xyz"', f"Tr0ub4dor&{n}xyz"),
+        lambda n: (f"api_key: p4$$w0rd!{n}, next", f"p4$$w0rd!{n}"),
+        lambda n: (f"postgres://app:s3cr3tpw{n}@db", f"s3cr3tpw{n}"),
+        lambda n: (f"id AKIA{(letters[n:] + letters[:n])[:16]} end", f"AKIA{(letters[n:] + letters[:n])[:16]}"),
+        lambda n: (
+            f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,{n:016X}\n\nabcd\n-----END RSA PRIVATE KEY-----",
+            "Proc-Type",
+        ),
+    ]
+    texts = [form(n) for n in range(20) for form in forms]
+    rows = [(n, f"Some words before. {text} and after it.", "src") for n, (text, _) in enumerate(texts)]
+    rows += [(1000 + n, f"Some words before. {text} and after it.", "src") for n, (text, label) in enumerate(FINDINGS) if not label]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for r in secret_scan.scan_secrets(df).collect():
+        assert r.n_secrets == int(r.doc_id < 1000), r
+        assert r.doc_id >= 1000 or texts[r.doc_id][1] not in r.text, r
+
+
 def test_forest_on_held_out_findings(spark):
     rows = [(n, text, "src") for n, (text, _) in enumerate(FINDINGS)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
