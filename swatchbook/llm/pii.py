@@ -12,14 +12,38 @@ ROUNDS = 8
 # What may be personal data, in the order in which it is looked for. Numbers
 # are validated before they are replaced (see :func:`pseudonym`).
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+# Characters of an account's number by country, for those written with separators.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_BY_COUNTRY = "|".join(
+    f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?:[ -]?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items()
+)
+IBAN = (
+    r"(?<![A-Za-z0-9])(?:[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}"
+    rf"|{_BY_COUNTRY}|[A-Z]{{2}}[0-9]{{2}}(?:(?:[ -][A-Z0-9]{{4}}){{2,7}}(?:[ -][A-Z0-9]{{1,3}})?))(?![A-Za-z0-9])"
+)
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[0-9])"
 ISO_DATE = r"(?<![0-9-])(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}(?![0-9-])"
-DAY_DATE = r"(?<![0-9./])[0-9]{2}([./])[0-9]{2}\1(?:19|20)[0-9]{2}(?![0-9./])"
+DAY_DATE = r"(?<![0-9])(?<![0-9][./-])[0-9]{1,2}(?<dot>[./-])[0-9]{1,2}\k<dot>(?:19|20)[0-9]{2}(?![0-9]|[./-][0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])"
-CARD = r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\2[0-9]{4}\2[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![A-Za-z0-9])"
-CANDIDATE = "|".join((EMAIL, IBAN, IP, ISO_DATE, DAY_DATE, SOCIAL, PHONE, CARD))
+# Without the country, by their grouping.
+NATIONAL = (
+    r"\([0-9]{2,5}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}(?<gap>[ .-])[0-9]{3}\k<gap>[0-9]{4}"
+    r"|0[0-9](?<pair>[ .-])[0-9]{2}(?:\k<pair>[0-9]{2}){3}|0[0-9]{2,4}[ /-][0-9]{3,4}[ -]?[0-9]{3,4}"
+)
+NATIONAL_PHONE = rf"(?<![A-Za-z0-9+])(?<![0-9][ .-])(?:{NATIONAL})(?![A-Za-z0-9]|[ .-][0-9]{{2}})"
+# Four groups of four, or 4-6-5, next to whatever other numbers; else digits that stand alone with single separators.
+GROUPED = r"[0-9]{4}(?<four>[ -])[0-9]{4}\k<four>[0-9]{4}\k<four>[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}"
+CARD = (
+    r"(?<![A-Za-z0-9])(?:[0-9]{13,19}|(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])"
+    rf"|{GROUPED})(?![A-Za-z0-9])"
+)
+CANDIDATE = "|".join((EMAIL, IBAN, IP, ISO_DATE, DAY_DATE, SOCIAL, PHONE, NATIONAL_PHONE, CARD))
 KINDS = ("email", "iban", "ip", "date", "social", "phone", "card")
 
 # Days from 1900-01-01 that dates are permuted in: 270 * 271.
@@ -136,9 +160,10 @@ def _email(m: Column, key: str) -> Column:
 def _iban(m: Column, key: str) -> Column:
     country = F.substring(m, 1, 2)
     account = permuted_text(F.substring(m, F.lit(5), F.length(m)), key, "iban")
-    check = F.lit(98) - mod97(F.concat(account, country, F.lit("00")))
+    bare = lambda c: F.translate(c, " -", "")
+    check = F.lit(98) - mod97(F.concat(bare(account), country, F.lit("00")))
     return F.when(
-        mod97(F.concat(F.substring(m, F.lit(5), F.length(m)), F.substring(m, 1, 4))) == 1,
+        mod97(F.concat(bare(F.substring(m, F.lit(5), F.length(m))), F.substring(m, 1, 4))) == 1,
         F.concat(country, _padded(check, 2), account),
     )
 
@@ -155,17 +180,25 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    iso = F.substring(m, 5, 1) == "-"
-    mark = F.when(iso, F.lit("-")).otherwise(F.substring(m, 3, 1))
-    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(
-        F.try_to_date(F.translate(m, "./", "--"), "dd-MM-yyyy")
-    )
+    iso = m.rlike("^[0-9]{4}-")
+    mark = F.regexp_extract(m, "[./-]", 0)
+    plain = F.translate(m, "./", "--")
+    day_first = F.try_to_date(plain, "d-M-yyyy")
+    day = F.when(iso, F.try_to_date(m, "yyyy-MM-dd")).otherwise(F.coalesce(day_first, F.try_to_date(plain, "M-d-yyyy")))
+    # Days and months keep their order, and their zeros if both are written with two digits.
+    both = m.rlike("^[0-9]{2}[./-][0-9]{2}[./-]")
     new = F.date_add(
         F.lit(FIRST_DAY).cast("date"),
         permuted_number(F.datediff(day, F.lit(FIRST_DAY).cast("date")).cast("bigint"), DAYS_A, DAYS_B, key, "date").cast("int"),
     )
     text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(
-        F.replace(F.date_format(new, "dd-MM-yyyy"), F.lit("-"), mark)
+        F.replace(
+            F.when(day_first.isNotNull(), F.when(both, F.date_format(new, "dd-MM-yyyy")).otherwise(F.date_format(new, "d-M-yyyy")))
+            .when(both, F.date_format(new, "MM-dd-yyyy"))
+            .otherwise(F.date_format(new, "M-d-yyyy")),
+            F.lit("-"),
+            mark,
+        )
     )
     return F.when(day.isNotNull(), text)
 
@@ -194,19 +227,29 @@ def _phone(m: Column, key: str) -> Column:
 
 
 def _card(m: Column, key: str) -> Column:
-    body = permuted_text(F.substring(m, F.lit(1), F.length(m) - 1), key, "card")
-    check = F.pmod(-luhn(F.concat(F.regexp_replace(body, "[^0-9]", ""), F.lit("0"))), F.lit(10))
-    return F.when(luhn(F.regexp_replace(m, "[^0-9]", "")) == 0, F.concat(body, check.cast("string")))
+    """The whole number, or the usual groups of a card within it."""
+
+    def made(card: Column) -> Column:
+        body = permuted_text(F.substring(card, F.lit(1), F.length(card) - 1), key, "card")
+        check = F.pmod(-luhn(F.concat(F.regexp_replace(body, "[^0-9]", ""), F.lit("0"))), F.lit(10))
+        return F.when(luhn(F.regexp_replace(card, "[^0-9]", "")) == 0, F.concat(body, check.cast("string")))
+
+    def within(total: Column, card: Column) -> Column:
+        return F.coalesce(total, F.replace(m, card, made(card)))
+
+    # Groups that overlap are all looked at; as a rule there are none.
+    groups = F.regexp_extract_all(m, F.lit(rf"(?<![0-9])(?=({GROUPED})(?![0-9]))"), F.lit(1))
+    return F.coalesce(made(m), F.aggregate(groups, F.lit(None).cast("string"), within))
 
 
 def _kind(m: Column) -> Column:
     tests = (
         ("email", EMAIL),
-        ("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]+"),
+        ("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9 -]+"),
         ("ip", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"),
-        ("date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}"),
+        ("date", r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}"),
         ("social", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-        ("phone", r"\+.*"),
+        ("phone", rf"\+.*|{NATIONAL}"),
     )
     return reduce(lambda when, t: when.when(m.rlike(f"^(?:{t[1]})$"), F.lit(t[0])), tests[1:], F.when(m.rlike(f"^(?:{EMAIL})$"), F.lit("email"))).otherwise(F.lit("card"))
 
@@ -214,7 +257,7 @@ def _kind(m: Column) -> Column:
 def pseudonym(m: Column, kind: Column, key: str) -> Column:
     """The replacement of a match, or null if it is no valid value of its kind.
 
-    Validated: octets of an address up to 255, dates of the calendar, areas,
+    Validated: octets of an address up to 255, dates of the calendar (day first, or else month first), areas,
     groups and serials of social security numbers, 8 to 15 digits of a phone
     number, check digits of bank accounts and payment cards. The replacement
     has the same format and is valid as well; equal values get equal ones

@@ -50,6 +50,43 @@ def test_pseudonyms(spark):
     assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", social) and social != "123-45-6789"
 
 
+FORMS = [
+    ("iban", "DE89 3704 0044 0532 0130 00", "to {} EUR 500"),
+    ("iban", "GB29-NWBK-6016-1331-9268-19", "{}"),
+    ("phone", "(017) 555-7713", "call {}, now"),
+    ("phone", "017-555-7713", "call {}."),
+    ("phone", "01 23 45 67 89", "call {}"),
+    ("phone", "0171/1234567", "call {}"),
+    ("date", "25-12-1990", "on {}."),
+    ("date", "5.2.1990", "on {}, then"),
+    ("date", "12/25/1990", "on {}"),
+    ("date", "2/25/1990", "on {}"),
+    ("card", "4111 1111 1111 1111", "pay 12 {} now"),
+    ("card", "3056 930902 5904", "pay {}"),
+    ("card", "41111111 11111111", "pay {}."),
+]
+
+
+def test_pseudonyms_of_written_forms(spark):
+    rows = [(n, around.format(value)) for n, (_, value, around) in enumerate(FORMS)]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id bigint, text string"), "key").collect()}
+    for n, (kind, value, around) in enumerate(FORMS):
+        before, after = around.split("{}")
+        text = got[n].text
+        assert (got[n].n_pii, got[n][f"n_{kind}"]) == (1, 1), (value, got[n])
+        assert text.startswith(before) and text.endswith(after) and value not in text, (value, text)
+        new = text[len(before) : len(text) - len(after)]
+        if kind != "date":
+            assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", new)) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", value))
+        else:
+            assert re.sub("[0-9]", "", new) == re.sub("[0-9]", "", value)
+        if kind == "iban":
+            bare = re.sub("[ -]", "", new)
+            assert int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+        if kind == "card":
+            assert luhn(re.sub("[ -]", "", new)) == 0
+
+
 def test_pseudonyms_are_permutations(spark):
     numbers = spark.range(898 * 3).select(pii.permuted_number(F.col("id"), 898, 3, "k", "t").alias("n"))
     assert sorted(r.n for r in numbers.collect()) == list(range(898 * 3))
