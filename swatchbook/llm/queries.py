@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from swatchbook.llm import (
+    filter_audit,
     language,
+    license_scan,
     metric_join,
     minhash,
     mixing,
     packing,
     pii,
+    runs,
     secret_scan,
     suffix_dedup,
     token_counts,
@@ -182,3 +187,91 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_external_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=100)
+
+
+def folded_words(doc_id: int | None, size: int) -> np.ndarray | None:
+    """Of every tenth document, by checksum of its id, the words from one on repeat; a null id's never do."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not size:
+        return None
+    g = h // 10
+    first = g % size
+    period = 1 + (size - first) // (3 + g % 8)
+    places = np.arange(size)
+    return np.where(places < first, places, first + (places - first) % period)
+
+
+@query
+def op11_synchronising_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.word_runs(documents(spark, sf_dir), min_length=6, exponent=4, reorder=folded_words)
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = F.col("best")
+    return found.withColumn("best", runs.longest_run()).select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan_licenses(documents(spark, sf_dir)))
+
+
+@query
+def op13_truth_table_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+ORACLE["op13_truth_table_audit"] = r"""
+WITH RECURSIVE named AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+           regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), judged AS (
+    SELECT doc_id, part,
+           CASE WHEN len(w) < 50 THEN 1 ELSE 0 END AS a,
+           CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 1 ELSE 0 END AS b,
+           CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 1 ELSE 0 END AS c,
+           CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 1 ELSE 0 END AS d,
+           CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 1 ELSE 0 END AS e
+    FROM named
+), marks AS (
+    SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+    FROM labels GROUP BY doc_id
+), masks AS (
+    SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS m, count(*) AS n,
+           coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+    FROM judged LEFT JOIN marks USING (doc_id) GROUP BY 1, 2
+), letters AS (
+    SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS v
+), orders AS (
+    SELECT f AS filter_order, v AS used FROM letters
+    UNION ALL
+    SELECT o.filter_order || l.f, o.used + l.v FROM orders o JOIN letters l ON (o.used & l.v) = 0
+), steps AS (
+    SELECT filter_order, step, v, (SELECT coalesce(sum(x.v), 0) FROM letters x
+                                   WHERE strpos(substr(filter_order, 1, CAST(step - 1 AS INTEGER)), x.f) > 0) AS before
+    FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders WHERE used = 31) p
+    JOIN letters ON f = substr(filter_order, CAST(step AS INTEGER), 1)
+), counted AS (
+    SELECT part, filter_order, step, v,
+           sum(CASE WHEN m & before = 0 AND m & v = 0 THEN n ELSE 0 END) AS kept,
+           sum(CASE WHEN m & before = 0 AND m & v <> 0 THEN n ELSE 0 END) AS removed,
+           sum(CASE WHEN m & before <> 0 AND m & v <> 0 THEN n ELSE 0 END) AS redundant,
+           sum(CASE WHEN m = v THEN n ELSE 0 END) AS unique_fails,
+           sum(CASE WHEN m & before = 0 AND m & v <> 0 THEN good ELSE 0 END) AS good_lost,
+           sum(CASE WHEN m & before = 0 AND m & v <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+    FROM masks CROSS JOIN steps GROUP BY part, filter_order, step, v
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, v) AS BIGINT) AS shapley
+FROM counted
+"""
