@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -15,38 +17,52 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swatchbook.cluster import written
-from swatchbook.llm import pretokens, workers
-from swatchbook.llm.token_counts import portions
+from swatchbook.llm import workers
+from swatchbook.llm.token_counts import byte_symbols, portions
 
 # Pieces packed together. Each group leaves one sequence open at most.
 GROUP_PIECES = 4096
 
 
+# The pre-token pattern of the byte-level vocabularies, as a fixed value.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Runs of white space that the fast encoder's pattern may not get through.
+LONG_WHITE = re.compile(r"\s{10000}")
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers, by the tokenizers library."""
+    """Token ids of texts as little-endian 32-bit numbers, as the tokenizers library gives them.
+
+    Where tokens are numbered in the order of their merges, tiktoken gives the
+    same ids several times as fast. Texts with an added token's string or with
+    a very long run of white space are left to the library, as are all texts
+    of a vocabulary that is numbered otherwise.
+    """
 
     def __init__(self, path: str):
         # Spark runs one worker per core; threads of the library would only compete.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memory: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; texts that hold the string of an added token are encoded in one piece."""
-        whole = [any(s in t for s in self.special) for t in texts]
-        keys = [[] if w else pretokens.cut(t) for t, w in zip(texts, whole, strict=True)]
-        pretokens.remember(self.memory, keys, self._encode)
-        get = self.memory.__getitem__
-        return [
-            self._encode([t])[0] if w else b"".join(map(get, k)) for t, k, w in zip(texts, keys, whole, strict=True)
-        ]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        vocab = {t: n for t, n in spec["model"]["vocab"].items() if t not in self.special}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        made = [vocab[a + b] for a, b in merges]
+        self.fast = None
+        # A merge later in the list must have the higher number, and every token but the bytes its one merge.
+        if made == sorted(set(made)) and vocab.keys() - byte_of.keys() == {a + b for a, b in merges}:
+            ranks = {bytes(byte_of[c] for c in t): n for t, n in vocab.items()}
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or any(s in text for s in self.special) or LONG_WHITE.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return array("I", self.fast.encode_ordinary(text)).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -69,8 +85,8 @@ def _cutting(path: str, length: int, end_id: int) -> Callable[[Iterator[pa.Recor
             texts = batch.column(1).to_pylist()
             for portion in portions(texts):
                 rows, pieces, starts, lengths, sums = [], [], [], [], []
-                for ids in ids_of.encode(portion):
-                    ids += end
+                for text in portion:
+                    ids = ids_of.encode(text) + end
                     total = len(ids) // 4
                     start, stop, piece = 0, total % length or length, 0
                     while start < total:

@@ -36,7 +36,42 @@ def test_counts_equal_the_library(library, texts):
 
 def test_ids_equal_the_library(library, texts):
     expected = [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
-    assert packing.Encoder(vocabulary()).encode(texts) == expected
+    encoder = packing.Encoder(vocabulary())
+    assert encoder.fast is not None
+    assert [encoder.encode(t) for t in texts] == expected
+
+
+def test_ids_of_every_character(library):
+    """Both engines put every code point into the same class."""
+    encoder = packing.Encoder(vocabulary())
+    characters = [chr(n) for n in range(0x110000) if not 0xD800 <= n < 0xE000]
+    texts = ["".join(f"a{c}1{c} {c}!{c}" for c in characters[n : n + 100]) for n in range(0, len(characters), 100)]
+    for text, found in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encoder.encode(text) == np.array(found.ids, dtype="<u4").tobytes()
+
+
+def test_ids_of_very_long_runs(library):
+    encoder = packing.Encoder(vocabulary())
+    for text in (" " * 300_000 + "a", "\n" * 50_000, "ab" * 200_000, "a b" * 200_000, "-" * 100_000, "x" + "\u3000" * 20_000):
+        assert encoder.encode(text) == np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+
+def test_ids_of_the_documents(library, sample):
+    texts = [r.text or "" for r in sample.select("text").collect()]
+    encoder = packing.Encoder(vocabulary())
+    assert [encoder.encode(t) for t in texts] == [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_vocabularies_in_another_order_go_to_the_library(tmp_path):
+    import json
+
+    spec = json.loads(open(vocabulary()).read())
+    spec["model"]["merges"][:2] = spec["model"]["merges"][1::-1]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    encoder = packing.Encoder(str(path))
+    assert encoder.fast is None
+    assert encoder.encode("the other") == np.array(Tokenizer.from_file(str(path)).encode("the other").ids, dtype="<u4").tobytes()
 
 
 def test_memory_starts_anew(monkeypatch, library):
@@ -55,6 +90,18 @@ def test_count_tokens(docs, library):
     assert all(r.over_limit == (r.n_tokens > 5) for r in rows)
 
 
+def least_bins(lengths, capacity):
+    """The best of the bounds that tell apart items over capacity - k, over half a bin, and of at least k."""
+    bounds = []
+    for k in range(capacity // 2 + 1):
+        alone = lengths[lengths > capacity - k]
+        large = lengths[(lengths <= capacity - k) & (lengths > capacity / 2)]
+        small = lengths[(lengths <= capacity / 2) & (lengths >= k)]
+        room = len(large) * capacity - large.sum()
+        bounds.append(len(alone) + len(large) + max(0, -((room - small.sum()) // capacity)))
+    return max(bounds)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_two_fit_fills_bins(seed):
     rng = np.random.default_rng(seed)
@@ -66,7 +113,15 @@ def test_two_fit_fills_bins(seed):
         ends = np.cumsum(lengths[here][order])
         assert offsets[here][order].tolist() == [0, *ends[:-1].tolist()]
         assert ends[-1] <= 100
-    assert bins.max() + 1 <= -(-lengths.sum() // 100) * 1.03 + 1
+    # No packing is below this bound; sum / capacity is out of reach when half of the items exceed half a bin.
+    assert bins.max() + 1 <= least_bins(lengths, 100) + 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_two_fit_fills_bins_with_small_items(seed):
+    lengths = np.random.default_rng(seed).integers(1, 31, 400)
+    bins, _ = packing.two_fit(lengths, 100)
+    assert bins.max() + 1 <= -(-lengths.sum() // 100) + 1
 
 
 def test_two_fit_replaces_the_smallest():
