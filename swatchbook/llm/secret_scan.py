@@ -15,12 +15,12 @@ from swatchbook.cluster import written
 # it holds, a long token with a digit, or a very long one.
 BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"
 # The password of an address; cheap looks back go first.
-URL_PASSWORD = r"(?<=:)(?<=://[^\s:/@]{0,128}:)[^\s/\"'<>]{1,256}(?=@)"
+URL_PASSWORD = r"(?<=:)(?<=://[^\s:/@]{0,128}:)[^\s/\"'<>]+(?=@)"
 _NAME = r"(?i:token|secret|passw|api|key|auth|bearer|credential)[A-Za-z_]{0,32}[\"']?\s{0,8}[=:]\s{0,8}"
 NAMED_VALUE = (
-    rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,8}}[\"']?)(?:(?<={_NAME}\")[^\"\r\n]{{0,511}}[^\"\s](?=\")"
-    rf"|(?<={_NAME}')[^'\r\n]{{0,511}}[^'\s](?=')"
-    rf"|(?<={_NAME})[^\s\"'`,;<>(){{}}\[\]]{{1,512}})"
+    rf"(?<=[=:\s\"'])(?<=[=:]\s{{0,8}}[\"']?)(?:(?<={_NAME}\")[^\"\r\n]++(?<!\s)(?=\")"
+    rf"|(?<={_NAME}')[^'\r\n]++(?<!\s)(?=')"
+    rf"|(?<={_NAME})[^\s\"'`,;<>(){{}}\[\]]++)"
 )
 ISSUER = (
     r"(?=[Agxs])(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9+/_-])|gh[pousr]_[A-Za-z0-9]{36,}"
@@ -131,10 +131,12 @@ def label(value: Column, before: Column, after: Column) -> Column:
     )
 
 
-def _found(text: Column) -> Column:
+def _values(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+
+
+def _found(values: Column, pieces: Column) -> Column:
     """Candidates of a text in order, each with the text next to it."""
-    values = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    pieces = F.split(text, CANDIDATE, -1)
     return F.transform(
         F.arrays_zip(values.alias("v"), F.slice(pieces, F.lit(1), F.size(values)).alias("b"), F.slice(pieces, F.lit(2), F.size(values)).alias("a")),
         lambda z: F.struct(
@@ -147,9 +149,11 @@ def _found(text: Column) -> Column:
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``(doc_id, path, value, before, after)``, one row per candidate of every text."""
-    found = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), F.explode(_found(F.col(text_col))).alias("c")
-    )
+    text = F.col(text_col)
+    some = docs.filter(text.rlike(CANDIDATE)).select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), text.alias("_text"))
+    # Named columns: what is used several times is searched for once.
+    cut = some.withColumn("_values", _values(F.col("_text"))).withColumn("_pieces", F.split("_text", CANDIDATE, -1))
+    found = cut.select("doc_id", "path", F.explode(_found(F.col("_values"), F.col("_pieces"))).alias("c"))
     return found.select("doc_id", "path", "c.value", "c.before", "c.after")
 
 
@@ -159,10 +163,15 @@ def labelled_findings(docs: DataFrame, rows: int = SAMPLE_ROWS, **columns: str)
     # Written, so that the texts are searched once for both kinds.
     named = written(named.filter("label IS NOT NULL"), "labelled")
     order = F.xxhash64("value", "before", "after", "path")
+    # Of a value's contexts the first in this order, whichever task meets it first.
+    context = F.struct(order.alias("o"), "before", "after", "path")
     kinds = [
-        named.filter(F.col("label") == k).dropDuplicates(["value"]).orderBy(order, "value").limit(rows) for k in (0, 1)
+        named.filter(F.col("label") == k).groupBy("value").agg(F.min(context).alias("c")).orderBy("c.o", "value").limit(rows)
+        for k in (0, 1)
     ]
-    return kinds[0].union(kinds[1])
+    return kinds[0].withColumn("label", F.lit(0)).union(kinds[1].withColumn("label", F.lit(1))).select(
+        "c.path", "value", "c.before", "c.after", "label"
+    )
 
 
 def _tree(lines: list[str]) -> Split | float:
@@ -179,14 +188,17 @@ def _tree(lines: list[str]) -> Split | float:
 def train(findings: DataFrame, words: Sequence[str], trees: int = TREES, depth: int = DEPTH, seed: int = SEED) -> list[Split | float]:
     """The trees of a random forest fitted on labelled findings; none unless both labels occur.
 
-    ``findings`` has path, value, before, after and label (0 or 1).
+    ``findings`` has path, value, before, after and label (0 or 1). It is
+    bounded, as its rows are sorted into one partition: the same findings give
+    the same forest, however they were dealt.
     """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
 
     numbers = features(F.col("value"), F.col("before"), F.col("after"), F.col("path"), words)
     table = findings.select(F.col("label").cast("double").alias("label"), *[c.alias(n) for c, n in zip(numbers, FEATURES, strict=True)])
-    table = written(table.orderBy(*FEATURES, "label").coalesce(4), "findings")
+    # One partition in a fixed order, as the trees' samples are drawn by partition and place.
+    table = written(table.orderBy(*FEATURES, "label").coalesce(1), "findings").coalesce(1)
     if table.select("label").distinct().count() < 2:
         return []
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(table)
@@ -230,9 +242,11 @@ def scan(
     read. One map without a shuffle.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(path_col).cast("string").alias("_path"))
-    found = rows.withColumn(
-        "_c", F.when(F.col("_text").rlike(CANDIDATE), _found(F.col("_text"))).otherwise(F.lit(None))
+    some = F.col("_text").rlike(CANDIDATE)
+    cut = rows.withColumn("_values", F.when(some, _values(F.col("_text")))).withColumn(
+        "_pieces", F.when(F.col("_values").isNotNull(), F.split("_text", CANDIDATE, -1))
     )
+    found = cut.withColumn("_c", _found(F.col("_values"), F.col("_pieces")))
     numbered = found.withColumn(
         "_c",
         F.transform(
@@ -254,7 +268,7 @@ def scan(
             ),
         ),
     )
-    pieces = F.split("_text", CANDIDATE, -1)
+    pieces = F.col("_pieces")
     rebuilt = F.array_join(
         F.concat(
             F.transform(
