@@ -85,13 +85,21 @@ def build_training_set(
 ) -> dict[str, str]:
     """Join texts and images, label the split by hash, and write it; returns the folders.
 
-    Both should be table reads plus row-wise steps. Intermediate tables are
+    Both should be table reads plus row-wise steps. Tensors are shuffled for
+    the join and once more to their files. Intermediate tables are
     removed at the end.
     """
     with scratch(texts.sparkSession):
-        paired = pair(texts, images, "product_id", key_type)
-        labelled = paired.withColumn("dataset", split_by_hash(F.col("product_id")))
-        return write_training_set(labelled, path, files, "dataset", shapes)
+        labelled, rows = _labelled(texts, images, key_type)
+        return write_training_set(labelled, path, files, "dataset", shapes, deal_by=rows)
+
+
+def _labelled(texts: DataFrame, images: DataFrame, key_type: str) -> tuple[DataFrame, tuple[str, str]]:
+    """Pairs with their split label and the row numbers of both sides, by which pairs of one product spread over files."""
+    rows = ("_text_row", "_image_row")
+    numbered = [df.withColumn(name, F.monotonically_increasing_id()) for df, name in zip((texts, images), rows, strict=True)]
+    paired = pair(*numbered, "product_id", key_type)
+    return paired.withColumn("dataset", split_by_hash(F.col("product_id"))), rows
 
 
 def evaluate(

@@ -493,6 +493,17 @@ ORACLE: dict[str, str] = {
     "stream_shard_sink": f"""SELECT vec_id::VARCHAR AS product_id, (label = 7)::INT AS rejected,
         CASE WHEN label = 7 THEN NULL ELSE list_sum(list_transform({_INDEXED_TENSOR}, lambda x: {_BYTE}))::BIGINT END AS byte_sum,
         1 AS in_range FROM embeddings""",
+    "stream_training_set": f"""WITH RECURSIVE {described()}, {encoded("described", "product_id", "description")},
+        sized AS (SELECT product_id, (len(ids) + 2)::INT AS n_tokens FROM encoded),
+        {murmur("sized", "product_id", int_blocks("product_id"), "4")},
+        planes AS (SELECT vec_id, label, list_transform({_INDEXED_TENSOR}, lambda x: {_BYTE} / 255) AS x FROM embeddings),
+        scored AS (SELECT vec_id, label, list_sum(list_transform(range(192), lambda i:
+            (((x[i + 1] - [{", ".join(map(repr, CHANNEL_MEAN))}][i // 64 + 1]) / [{", ".join(map(repr, CHANNEL_STD))}][i // 64 + 1])::FLOAT)::DOUBLE
+            * (i + 1))) AS weighed FROM planes)
+        SELECT vec_id::VARCHAR AS product_id, CASE WHEN label = 7 THEN 'rejected' WHEN n_tokens IS NULL THEN 'unmatched'
+            ELSE {label('hash')} END AS dataset, CASE WHEN label = 7 THEN NULL ELSE n_tokens END AS n_tokens,
+            CASE WHEN label = 7 THEN NULL ELSE round(weighed, 2) END AS weighed
+        FROM scored LEFT JOIN sized ON vec_id = sized.product_id LEFT JOIN hashed ON vec_id = hashed.product_id""",
     "train_batches": f"""WITH RECURSIVE {described()}, {encoded("described", "product_id", "description")},
         sized AS (SELECT product_id, (len(ids) + 2)::INT AS n_tokens FROM encoded JOIN embeddings ON vec_id = product_id),
         {murmur("sized", "product_id", int_blocks("product_id"), "4")}

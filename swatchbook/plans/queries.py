@@ -23,7 +23,7 @@ from swatchbook.operators import (
 )
 from swatchbook.plans import jobs
 from swatchbook.sources import files, merges, tables
-from swatchbook.streaming import images
+from swatchbook.streaming import feed, images
 
 # A product table made of `part`, as SQL that Spark and DuckDB both read.
 PRODUCT_COLUMNS = {
@@ -748,15 +748,15 @@ def running_best(spark, sf):
 # Streams
 
 
-def _stage_images(spark, sf):
+def _stage_images(spark, sf, folder=None, only="true"):
     """One grey 8 x 8 picture per embedding, as three equal planes of bytes; label 7 loses a byte."""
     byte = lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 127.5).cast("bigint")), 2, "0")
     plane = F.array_join(F.transform("embedding", byte), "")
     whole = F.unhex(F.concat(plane, plane, plane))
     content = F.when(F.col("label") == 7, F.substring(whole, 1, 191)).otherwise(whole)
     name = F.format_string("label=%d/%d.jpg", "label", "vec_id")
-    folder = scratch_path(spark, "pictures")
-    pictures = _embeddings(spark, sf).select(name.alias("name"), content.alias("content"))
+    folder = folder or scratch_path(spark, "pictures")
+    pictures = _embeddings(spark, sf).filter(only).select(name.alias("name"), content.alias("content"))
     files.write_files(pictures, folder, "name", "content")
     return folder
 
@@ -799,9 +799,27 @@ def stream_shard_sink(spark, sf):
 
 
 @query
-def train_batches(spark, sf):
-    """The whole way: described and tokenised products, paired with tensors, split, and dealt into batches."""
-    tokens = jobs.tokenize_products(
+def stream_training_set(spark, sf):
+    """Pictures arrive in two parts; each run of the stream adds what is new to the training set."""
+    tokens = written(_tokenized_products(spark, sf), "tokens")
+    folder, path, log = (scratch_path(spark, name) for name in ("pictures", "fed", "fed-log"))
+    for part in ("vec_id % 3 = 0", "vec_id % 3 > 0"):
+        _stage_images(spark, sf, folder, part)
+        stream = images.image_tensors(images.stream_files(spark, folder), images.raw_bytes(IMAGE_SHAPE), IMAGE_SHAPE)
+        feed.feed_training_set(stream, tokens, path, log, {"training": 2, "validation": 1}, {"description_ids": [77], "img_array": list(IMAGE_SHAPE)})
+    pixels = tensors.npy_decode(F.col("img_array"))
+    # Weighted by place, so that the order of the pixels counts.
+    weighed = F.aggregate(F.transform(pixels, lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    sets = [
+        feed.read_split(spark, path, name).select(F.col("product_id").cast("string").alias("product_id"), F.lit(name).alias("dataset"), "n_tokens", F.round(weighed, 2).alias("weighed"))
+        for name in ("training", "validation", feed.UNMATCHED)
+    ]
+    rejected = feed.read_split(spark, path, feed.REJECTED).select("product_id", F.lit(feed.REJECTED).alias("dataset"), F.lit(None).cast("int").alias("n_tokens"), F.lit(None).cast("double").alias("weighed"))
+    return sets[0].unionByName(sets[1]).unionByName(sets[2]).unionByName(rejected)
+
+
+def _tokenized_products(spark, sf):
+    return jobs.tokenize_products(
         products(spark, sf),
         merge_list(spark, sf),
         max_rare_rows=RARE_ROWS,
@@ -809,6 +827,12 @@ def train_batches(spark, sf):
         choice=text.template_by_key(F.col("product_id")),
         unique_ids=True,
     )
+
+
+@query
+def train_batches(spark, sf):
+    """The whole way: described and tokenised products, paired with tensors, split, and dealt into batches."""
+    tokens = _tokenized_products(spark, sf)
     sides = _embeddings(spark, sf).select(
         F.col("vec_id").cast("string").alias("product_id"),
         tensors.npy_encode(F.col("embedding"), (64,)).alias("img_array"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,27 @@ def shapes_of(df: DataFrame) -> dict[str, list[int]]:
     return {f.name: f.metadata["shape"] for f in df.schema.fields if "shape" in f.metadata}
 
 
+def dealt_to_files(
+    df: DataFrame, files: Mapping[str, int], label: str = "dataset", deal_by: Sequence[str] = ()
+) -> DataFrame:
+    """Rows in one partition per file to be written; ``_split``, the place of a row's label in ``files``, replaces it.
+
+    A row's file follows from a hash of ``deal_by`` (default: the whole row),
+    so a task that runs again deals alike; take columns that tell the rows of
+    a frequent key apart. A null label, or one that ``files`` does not name,
+    ends the job with the reason.
+    """
+    total = sum(files.values())
+    unknown = F.raise_error(F.concat(F.lit("split labels without a number of files: "), F.coalesce(label, F.lit("null"))))
+    drawn = F.xxhash64(*(deal_by or df.columns))
+    first, file, split = 0, unknown, unknown
+    for place, (name, count) in enumerate(files.items()):
+        file = F.when(F.col(label) == name, F.pmod(drawn, F.lit(count)) + first).otherwise(file)
+        split = F.when(F.col(label) == name, F.lit(place)).otherwise(split)
+        first += count
+    return df.repartitionById(total, file.cast("int")).withColumn("_split", split.cast("int")).drop(label, *deal_by)
+
+
 def write_training_set(
     df: DataFrame,
     path: str,
@@ -61,36 +84,41 @@ def write_training_set(
     shapes: Mapping[str, Sequence[int]] | None = None,
     compression: str = "gzip",
     row_group_mb: int = ROW_GROUP_MB,
+    deal_by: Sequence[str] = (),
 ) -> dict[str, str]:
     """Write one folder per split label and return the folders.
 
-    ``files`` per label: the labelled rows are computed once and staged in the
-    shared folder by label; every split is then read alone, dealt out evenly to
-    its number of files and written. A single number: all splits leave in one
-    pass, each with that many files. Without a number every split gets files
-    of about ``FILE_BYTES`` before compression. Rows are dealt round-robin, so
-    no file depends on how often a key occurs. A null label, or one that
-    ``files`` does not name, is an error, and nothing is written then.
+    ``files`` per label: rows are dealt to the files of their label in one
+    shuffle (:func:`dealt_to_files`) and written in one pass, beside the old
+    folders, which are replaced at the end; a label without rows gets an empty
+    table. A single number: all splits leave in one pass, each with that many
+    files. Without a number the labelled rows are staged by label and measured,
+    and every split gets files of about ``FILE_BYTES`` before compression.
+    No file depends on how often a key occurs if ``deal_by`` (columns that are
+    not written) or else the rows differ. A null label, or one that
+    ``files`` does not name, is an error, and nothing is changed then.
     """
     spark = df.sparkSession
-    shaped = with_shapes(df, shapes or {})
     if isinstance(files, int):
+        shaped = with_shapes(df.drop(*deal_by), shapes or {})
         checked = shaped.withColumn(label, F.coalesce(F.col(label), F.raise_error(F.lit("a row has no split label"))))
         write_table(checked.repartition(files), path, "overwrite", "parquet", compression, [label], row_group_mb)
         return {"*": path}
+    if files is not None:
+        return _write_splits(df, path, files, label, shapes or {}, compression, row_group_mb, deal_by)
     with scratch(spark):
         stage = scratch_path(spark, "labelled")
+        df = df.drop(*deal_by)
         write_table(df, stage, partition_by=[label])
         staged = spark.read.schema(df.schema).parquet(stage)
         # One row per label.
         found = [r[0] for r in staged.select(label).distinct().collect()]
-        unknown = [x for x in found if x is None or (files is not None and x not in files)]
-        if unknown:
-            raise ValueError(f"split labels without a number of files: {unknown}")
+        if None in found:
+            raise ValueError("split labels without a number of files: null")
         folders = {}
-        for name in files or sorted(found):
+        for name in sorted(found):
             split = staged.filter(F.col(label) == name).drop(label)
-            count = files[name] if files else max(1, -(-split.count() * row_bytes(split) // FILE_BYTES))
+            count = max(1, -(-split.count() * row_bytes(split) // FILE_BYTES))
             folders[name] = f"{path}/{name}"
             write_table(
                 with_shapes(split, shapes or {}).repartition(count),
@@ -102,3 +130,46 @@ def write_training_set(
                 row_group_mb,
             )
     return folders
+
+
+def _write_splits(
+    df: DataFrame,
+    path: str,
+    files: Mapping[str, int],
+    label: str,
+    shapes: Mapping[str, Sequence[int]],
+    compression: str,
+    row_group_mb: int,
+    deal_by: Sequence[str],
+) -> dict[str, str]:
+    spark = df.sparkSession
+    # The underscore hides the folder from readers of ``path``.
+    new = f"{path}/_new-{uuid.uuid4().hex}"
+    fs = file_system(spark, path)
+    try:
+        try:
+            dealt = with_shapes(dealt_to_files(df, files, label, deal_by), shapes)
+            write_table(dealt, new, "errorifexists", "parquet", compression, ["_split"], row_group_mb)
+        except Exception as failure:
+            if "split labels without" in str(failure):
+                raise ValueError(re.search(r"split labels without a number of files: [^\n'\"]*", str(failure))[0]) from failure
+            raise
+        folders = {name: f"{path}/{name}" for name in files}
+        for place, folder in enumerate(folders.values()):
+            written_to = hadoop_path(spark, f"{new}/_split={place}")
+            if not fs.exists(written_to):
+                write_table(dealt.drop("_split").limit(0), f"{new}/_split={place}", compression=compression)
+            fs.delete(hadoop_path(spark, folder), True)
+            if not fs.rename(written_to, hadoop_path(spark, folder)):
+                raise OSError(f"cannot move the new files to {folder}")
+        return folders
+    finally:
+        fs.delete(hadoop_path(spark, new), True)
+
+
+def hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str):
+    return hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())

@@ -81,6 +81,47 @@ def test_a_folder_per_split(spark):
     assert tables.read_table(spark, folders["training"]).count() == len(keys[0])
 
 
+def test_one_shuffle_after_the_join_and_nothing_staged(spark, monkeypatch):
+    texts, imgs = paired(spark)
+    labelled, rows = jobs._labelled(texts, imgs, "bigint")
+    plan = tables.dealt_to_files(labelled, {"training": 5, "validation": 2}, deal_by=rows)._jdf.queryExecution().executedPlan().toString()
+    before, _, after = plan.partition("Join")
+    assert before.count("Exchange") == 1 and after
+    staged = []
+    monkeypatch.setattr(tables, "scratch_path", lambda *a: staged.append(a))
+    path = scratch_path(spark, "set")
+    jobs.build_training_set(texts, imgs, path, {"training": 5, "validation": 2})
+    assert not staged
+    # Nothing but the splits is left.
+    import os
+
+    assert sorted(os.listdir(path)) == ["training", "validation"]
+
+
+def test_files_of_a_hot_key_and_of_an_empty_split(spark):
+    """All pairs belong to one product: they still spread over the files, and the other split is empty."""
+    texts = written(spark.range(40).selectExpr("7 AS product_id", "id AS t"), "texts")
+    imgs = written(spark.range(30).selectExpr("'7' AS product_id", "'same' AS img_array"), "imgs")
+    path = scratch_path(spark, "set")
+    folders = jobs.build_training_set(texts, imgs, path, {"training": 4, "validation": 3})
+    sizes = {name: tables.read_table(spark, folder).groupBy("_metadata.file_path").count().collect() for name, folder in folders.items()}
+    full, empty = sorted(sizes.values(), key=len, reverse=True)
+    assert sum(r["count"] for r in full) == 1200 and len(full) >= 3 and max(r["count"] for r in full) < 600
+    assert empty == []
+    assert tables.read_table(spark, folders["validation"]).columns == ["product_id", "t", "img_array"]
+
+
+def test_a_failing_run_keeps_the_old_files(spark):
+    df = spark.range(100).selectExpr("id", "CASE WHEN id % 5 = 0 THEN 'a b/c' ELSE 'training' END AS dataset")
+    path = scratch_path(spark, "set")
+    counts = {"training": 2, "a b/c": 1}
+    folders = tables.write_training_set(df, path, counts)
+    assert [spark.read.parquet(f).count() for f in folders.values()] == [80, 20]
+    with pytest.raises(ValueError, match="split labels without a number of files: other"):
+        tables.write_training_set(df.withColumn("dataset", F.expr("CASE WHEN id = 99 THEN 'other' ELSE dataset END")), path, counts)
+    assert [spark.read.parquet(f).count() for f in folders.values()] == [80, 20]
+
+
 def test_one_pass_for_all_splits(spark):
     texts, imgs = paired(spark)
     path = scratch_path(spark, "set")
