@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
@@ -14,6 +16,79 @@ from pyspark.sql.window import Window
 from swatchbook.cluster import global_row_index, written
 
 
+# Round functions work in the field of this prime; both halves of a place are below it.
+PRIME = (1 << 31) - 1
+ROUNDS = 6
+# Widths tried for the grid of an order: the more, the fewer surplus places.
+WIDTHS = 2048
+
+
+class Order(NamedTuple):
+    """A keyed order of ``rows`` places: a Feistel network on a grid of ``width`` times ``height`` places.
+
+    A place that falls outside the rows is moved on, ``steps`` times at most.
+    """
+
+    rows: int
+    width: int
+    height: int
+    keys: tuple[int, ...]
+    steps: int
+
+    def place(self, at: np.ndarray) -> np.ndarray:
+        """Where the places ``at`` go within the grid."""
+        left, right = at // self.height, at % self.height
+        for n in range(ROUNDS):
+            a, b = self.keys[2 * n : 2 * n + 2]
+            if n % 2:
+                right = (right + _scatter(left, a, b)) % self.height
+            else:
+                left = (left + _scatter(right, a, b)) % self.width
+        return left * self.height + right
+
+
+def _scatter(x, a, b):
+    """A cubic over the prime field; of numbers, arrays or columns below the prime."""
+    return (x + a) % PRIME * ((x + a) % PRIME) % PRIME * ((x + b) % PRIME) % PRIME
+
+
+def _grid(rows: int) -> tuple[int, int]:
+    """Width and height of the grid with the fewest surplus places among those that are nearly square."""
+    root = math.isqrt(max(rows - 1, 0)) + 1
+    widths = range(root, root + min(WIDTHS, root // 4 + 2))
+    return min(((w, max(1, -(-rows // w))) for w in widths), key=lambda g: (g[0] * g[1] - rows, g[0]))
+
+
+def order_of(rows: int, seed: int, epoch: int) -> Order:
+    """The order of one epoch. Keys come from seed and epoch by the round function itself."""
+    width, height = _grid(rows)
+    start = _scatter(seed % PRIME, 314159265, 271828182)
+    keys: list[int] = []
+    for n in range(ROUNDS):
+        a = _scatter((start + epoch * ROUNDS + n) % PRIME, 161803398, 141421356)
+        keys += [a, _scatter(a, 577215664, 693147180)]
+    order = Order(rows, width, height, tuple(keys), 0)
+    # Surplus places are followed until they are among the rows; a cycle of surplus places is never entered.
+    outside, steps = np.arange(rows, width * height, dtype=np.int64), 0
+    moved = outside
+    while len(moved) and steps < len(outside):
+        steps += 1
+        moved = order.place(moved)
+        moved = moved[moved >= rows]
+    return order._replace(steps=steps)
+
+
+def _moved(df: DataFrame, order: Order, at: str, out: str) -> DataFrame:
+    """Add ``out``, where ``at`` goes within the grid by the row's ``_keys``. One projection a round, in the JVM."""
+    height = F.lit(order.height).cast("bigint")
+    df = df.withColumns({"_left": F.call_function("div", F.col(at), height), "_right": F.col(at) % height})
+    for n in range(ROUNDS):
+        half, other, size = ("_right", "_left", order.height) if n % 2 else ("_left", "_right", order.width)
+        drawn = _scatter(F.col(other), F.get("_keys", F.lit(2 * n)), F.get("_keys", F.lit(2 * n + 1)))
+        df = df.withColumn(half, (F.col(half) + drawn) % size)
+    return df.withColumn(out, F.col("_left") * height + F.col("_right")).drop("_left", "_right")
+
+
 def assign_batches(
     df: DataFrame,
     key: str,
@@ -26,27 +101,36 @@ def assign_batches(
 ) -> DataFrame:
     """Add ``epoch``, ``batch_id`` and ``pos``: where each row stands in the batches.
 
-    Rows are put in key order, or in an order drawn from key, seed and epoch.
-    Epochs follow each other without a gap, so only the very last batch may be
-    short; ``pos`` is also the target of a row within its batch. For endless
-    training call again with the next ``first_epoch``. Pass only the columns
-    the batches need: this sorts and writes them.
+    Rows are numbered in key order, once for any number of epochs. An epoch's
+    order is that one, or a permutation of the row numbers drawn from seed and
+    epoch (:class:`Order`), computed row by row: nothing is sorted or written
+    for it. Epochs follow each other without a gap, so only the very last
+    batch may be short; ``pos`` is also the target of a row within its batch.
+    For endless training call again with the next ``first_epoch``. Pass only
+    the columns the batches need: numbering sorts and writes them.
     """
-    total = df.count() if epochs > 1 else 0
-    indexed = None
-    for n in range(epochs):
-        # Each epoch is sorted and written by itself, never the rows of all epochs at once.
-        epoch = F.lit(first_epoch + n)
-        order: list[Column] = [F.xxhash64(F.col(key), F.lit(seed), epoch)] if shuffle else []
-        part = global_row_index(df, [*order, F.col(key)], partitions, "_index").select(
-            *df.columns, epoch.alias("epoch"), (F.col("_index") + n * total).alias("_index")
-        )
-        indexed = part if indexed is None else indexed.unionByName(part)
-    return indexed.select(
-        *df.columns,
-        "epoch",
-        F.expr(f"_index div {batch_size}").alias("batch_id"),
-        (F.col("_index") % batch_size).cast("int").alias("pos"),
+    numbered = global_row_index(df, [F.col(key)], partitions, "_index")
+    # The count comes from the footers of the numbered files.
+    total = numbered.count() if shuffle or epochs > 1 else 0
+    orders = [order_of(total, seed, first_epoch + n) for n in range(epochs)] if shuffle else []
+    listed = [
+        F.struct(F.lit(first_epoch + n).alias("epoch"), F.lit([*o.keys] if o else [0]).cast("array<bigint>").alias("keys"))
+        for n, o in enumerate(orders or [None] * epochs)
+    ]
+    placed = numbered.withColumn("_e", F.explode(F.array(*listed))).withColumns(
+        {"_epoch": F.col("_e.epoch"), "_keys": F.col("_e.keys"), "_at": F.col("_index")}
+    )
+    if shuffle:
+        placed = _moved(placed, orders[0], "_at", "_at")
+        for _ in range(max(o.steps for o in orders)):
+            placed = _moved(placed, orders[0], "_at", "_next")
+            placed = placed.withColumn("_at", F.when(F.col("_at") < total, F.col("_at")).otherwise(F.col("_next")))
+    placed = placed.withColumn("_at", F.col("_at") + (F.col("_epoch") - first_epoch).cast("bigint") * F.lit(total).cast("bigint"))
+    return placed.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        F.col("_epoch").cast("int").alias("epoch"),
+        F.expr(f"_at div {batch_size}").alias("batch_id"),
+        (F.col("_at") % batch_size).cast("int").alias("pos"),
     )
 
 

@@ -354,6 +354,41 @@ def report(source: str) -> str:
     return f"{scores(source)} SELECT (SELECT round(avg(loss), 6) FROM losses) AS eval_loss, " + ", ".join(columns)
 
 
+def _cubic(x: str, a: str, b: str) -> str:
+    """The round function of a shuffled epoch, modulo the prime 2 ** 31 - 1."""
+    return f"((({x} + {a}) % 2147483647 * (({x} + {a}) % 2147483647)) % 2147483647 * (({x} + {b}) % 2147483647)) % 2147483647"
+
+
+def _feistel(source: str, tag: str) -> str:
+    """CTEs ending in `q{tag}(doc_id, epoch, ks, spot)`, the places ``spot`` of ``source`` after six rounds."""
+    rounds = [f"p{tag}_0 AS (SELECT doc_id, epoch, ks, spot // h AS l, spot % h AS r, w, h FROM {source}, grid)"]
+    for n in range(6):
+        a, b = f"ks[{2 * n + 1}]", f"ks[{2 * n + 2}]"
+        left = "l" if n % 2 else f"(l + {_cubic('r', a, b)}) % w"
+        right = f"(r + {_cubic('l', a, b)}) % h" if n % 2 else "r"
+        rounds.append(f"p{tag}_{n + 1} AS (SELECT doc_id, epoch, ks, {left} AS l, {right} AS r, w, h FROM p{tag}_{n})")
+    rounds.append(f"q{tag} AS (SELECT doc_id, epoch, ks, l * h + r AS spot FROM p{tag}_6)")
+    return ", ".join(rounds)
+
+
+def shuffled(seed: int, first: int, epochs: int) -> str:
+    """CTEs ending in `shuffled(doc_id, epoch, spot)`: all places of the epochs; surplus places are moved on up to three times."""
+    key = _cubic("x", "161803398", "141421356")
+    return f"""total AS (SELECT count(*) AS n, floor(sqrt(count(*) - 1))::BIGINT + 1 AS root FROM documents),
+grid AS (SELECT w, (n + w - 1) // w AS h FROM (SELECT n, unnest(range(root, root + least(2048, root // 4 + 2))) AS w FROM total)
+  ORDER BY w * ((n + w - 1) // w) - n, w LIMIT 1),
+starts AS (SELECT epoch, i, ({_cubic(f"{seed}::BIGINT", "314159265", "271828182")} + epoch * 6 + i) % 2147483647 AS x
+  FROM range({first}, {first + epochs}) t(epoch), range(6) u(i)),
+firsts AS (SELECT epoch, i, {key} AS a FROM starts),
+keyed AS (SELECT epoch, flatten(list([a, {_cubic("a", "577215664", "693147180")}] ORDER BY i)) AS ks FROM firsts GROUP BY epoch),
+numbered AS (SELECT doc_id, epoch, ks, row_number() OVER (PARTITION BY epoch ORDER BY doc_id) - 1 AS spot FROM documents, keyed),
+{_feistel("numbered", "a")},
+wa AS (SELECT q.* FROM qa q, total WHERE spot >= n), {_feistel("wa", "b")},
+wb AS (SELECT q.* FROM qb q, total WHERE spot >= n), {_feistel("wb", "c")},
+wc AS (SELECT q.* FROM qc q, total WHERE spot >= n), {_feistel("wc", "d")},
+shuffled AS (SELECT doc_id, epoch, spot FROM (FROM qa UNION ALL FROM qb UNION ALL FROM qc UNION ALL FROM qd), total WHERE spot < n)"""
+
+
 BEST = f"""scored AS (SELECT q.vec_id AS query_id, c.vec_id AS id, round(
   list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[])
   / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))
@@ -451,6 +486,8 @@ ORACLE: dict[str, str] = {
         (SELECT unnest(range(3 * n)) AS i, n FROM (SELECT count(*) AS n FROM documents)) GROUP BY 1""",
     "shuffled_epochs": """SELECT epoch::INT AS epoch, count(*) AS n_rows, count(DISTINCT doc_id) AS n_docs,
         sum(n_chars)::BIGINT AS n_chars FROM documents, range(3) t(epoch) GROUP BY 1""",
+    "epoch_order": f"""WITH {shuffled(11, 4, 3)}, dealt AS (SELECT doc_id, epoch, spot + (epoch - 4) * n AS i FROM shuffled, total)
+        SELECT doc_id, epoch::INT AS epoch, i // {BATCH} AS batch_id, (i % {BATCH})::INT AS pos FROM dealt""",
     "single_batch": f"SELECT doc_id, lang, (row_number() OVER (ORDER BY doc_id) - 1)::INT AS pos FROM documents QUALIFY pos < {BATCH}",
     "file_batches": f"""SELECT doc_id, i // {BATCH} AS slice_id, (i % {BATCH})::INT AS pos FROM
         (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents)""",

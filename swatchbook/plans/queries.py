@@ -526,6 +526,13 @@ def shuffled_epochs(spark, sf):
     )
 
 
+@query
+def epoch_order(spark, sf):
+    """Every row's place in three epochs."""
+    docs = table(spark, sf, "documents").select("doc_id")
+    return batching.assign_batches(docs, "doc_id", BATCH, seed=11, epochs=3, first_epoch=4)
+
+
 @query
 def single_batch(spark, sf):
     return batching.single_batch(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id", BATCH)

@@ -1,3 +1,4 @@
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -39,6 +40,55 @@ def test_copies_of_a_key_all_get_a_place(spark):
     assert len({(r["batch_id"], r["pos"]) for r in out}) == 900
 
 
+def test_an_order_is_a_permutation_of_any_number_of_rows():
+    for rows in [*range(200), 997, 1000, 1024, 4099, 65_537, 100_003]:
+        order = batching.order_of(rows, 3, rows % 5)
+        at = order.place(np.arange(rows))
+        for _ in range(order.steps):
+            outside = at >= rows
+            at[outside] = order.place(at[outside])
+        assert np.array_equal(np.sort(at), np.arange(rows)), rows
+        assert order.width * order.height < 2 * rows + 4
+
+
+def test_orders_look_drawn():
+    """Neighbours end far apart, no place is favoured, and epochs have little in common."""
+    rows = 90_000
+    places = [batching.order_of(rows, seed, epoch).place(np.arange(rows)) for seed in (0, 1) for epoch in range(4)]
+    for n, at in enumerate(places):
+        # In a random order about one of 90,000 neighbours stays one, and a block of 900 rows meets 63 % of 900 buckets.
+        assert (np.abs(np.diff(at)) == 1).sum() < 20
+        met = [len(np.unique(at[k : k + 900] // 100)) for k in range(0, rows, 9000)]
+        assert 480 < min(met) and max(met) < 660
+        assert all((at == other).sum() < 20 for other in places[:n])
+        assert abs(np.corrcoef(np.arange(rows), at)[0, 1]) < 0.02
+
+
+def test_the_table_is_written_once_for_all_epochs(spark, monkeypatch):
+    df = written(spark.range(103), "rows")
+    calls = []
+    real = batching.global_row_index
+    monkeypatch.setattr(batching, "global_row_index", lambda *a, **k: calls.append(a) or real(*a, **k))
+    out = batching.assign_batches(df, "id", 10, seed=5, epochs=40)
+    assert len(calls) == 1
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    assert out.selectExpr("count(DISTINCT batch_id, pos)", "max(batch_id * 10 + pos)").first()[:] == (4120, 4119)
+    # The plan follows the plain computation, whichever places are walked on.
+    for epoch in (0, 17):
+        order = batching.order_of(103, 5, epoch)
+        at = order.place(np.arange(103))
+        for _ in range(order.steps):
+            at = np.where(at < 103, at, order.place(at))
+        got = {r.id: r.batch_id * 10 + r.pos - 103 * epoch for r in out.filter(F.col("epoch") == epoch).collect()}
+        assert got == dict(enumerate(at.tolist()))
+
+
+def test_batches_of_an_empty_table(spark):
+    df = written(spark.range(0), "none")
+    for shuffle in (False, True):
+        assert batching.assign_batches(df, "id", 5, shuffle=shuffle, epochs=2).collect() == []
+
+
 def test_single_batch(spark):
     rows = batching.single_batch(spark.range(100, 0, -1), "id", 7).collect()
     assert sorted((r["pos"], r["id"]) for r in rows) == [(i, i + 1) for i in range(7)]
