@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from swatchbook.cluster import row_bytes, written
+from swatchbook.cluster import row_bytes, skew_join, small_side, written
 from swatchbook.functions.vectors import LOGIT_SCALE, argmax, cross_entropy, unit
 
 # Scores are compared at this many decimals, so that copies of a vector tie
@@ -22,7 +24,12 @@ TILE_ROWS = 2048
 BLOCK_BYTES, STRIP_CELLS = 32 << 20, 4 << 20
 # Logits a task holds before it hands them on.
 LOGIT_CELLS = 1 << 20
-MAX_CELLS = 256
+# More cells than this are found in two levels.
+ONE_LEVEL = 256
+# Second-level cells of one first-level cell at most, and rows that are compared with their pivots at once.
+SECOND, LEVEL_ROWS = 4096, 1 << 16
+# Cells opened in the first round, and the factor from round to round.
+GROWTH = 8
 # Slack for rounding in the pruning bounds, in radians and in score.
 ANGLE_SLACK = 1e-6
 
@@ -183,28 +190,138 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 
 def _pivots(corpus: DataFrame, cells: int) -> np.ndarray:
     """At most ``cells`` vectors of the corpus, drawn by hash of the id."""
-    drawn = corpus.orderBy(F.xxhash64("id"), "id").limit(min(cells, MAX_CELLS)).select("vec")
+    drawn = corpus.orderBy(F.xxhash64("id"), "id").limit(cells).select("vec")
     return np.unique(_unit([np.asarray(r[0]) for r in drawn.collect()]), axis=0)
 
 
-def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the nearest pivot and the angle to it."""
-    shared = df.sparkSession.sparkContext.broadcast(pivots)
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
-    @F.pandas_udf("struct<cell:int,angle:double>")
-    def locate(vectors: pd.Series) -> pd.DataFrame:
-        cosines = np.clip(_unit(vectors.to_numpy()) @ shared.value.T, -1.0, 1.0)
-        nearest = cosines.argmax(axis=1)
-        angle = np.arccos(cosines[np.arange(len(nearest)), nearest])
-        return pd.DataFrame({"cell": nearest.astype(np.int32), "angle": angle})
 
-    return df.withColumn("_at", locate("vec")).select("*", "_at.cell", "_at.angle").drop("_at")
+class _Tree:
+    """Pivots in one level, or in two with the square root of the number of cells in the first.
 
+    The first level is held by every worker. Pivots of the second level belong
+    to one of the first; they travel only to blocks of that one's rows, so the
+    number of cells may grow with the corpus. A cell is known by
+    ``top * SECOND + sub``; sub 0 is the first pivot itself.
+    """
+
+    def __init__(self, base: DataFrame, rows: int, cells: int):
+        self.spark = base.sparkSession
+        self.two = cells > ONE_LEVEL
+        first = math.isqrt(cells - 1) + 1 if self.two else cells
+        self.first = _pivots(base, first)
+        self.shared = self.spark.sparkContext.broadcast(self.first)
+        self.second = None
+        if self.two:
+            # About as many rows as there are cells, in the cells of the first level that they fall into.
+            share = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(rows)) < cells
+            drawn = self._first_level(base.filter(share))
+            order = Window.partitionBy("top").orderBy(F.xxhash64("id"), "id")
+            # Spark applies the rank limit before the shuffle as well.
+            ranked = drawn.withColumn("sub", F.row_number().over(order)).filter(F.col("sub") < SECOND)
+            self.second = written(ranked.select("top", "sub", F.col("vec").alias("pivot")), "second-pivots")
+
+    def _first_level(self, df: DataFrame) -> DataFrame:
+        """Add ``top``, the nearest pivot of the first level, and the angle ``far`` to it."""
+        shared = self.shared
+
+        @F.pandas_udf("struct<top:int,far:double>")
+        def locate(vectors: pd.Series) -> pd.DataFrame:
+            angles = _angles(_unit(vectors.to_numpy()), shared.value)
+            nearest = angles.argmin(axis=1)
+            return pd.DataFrame({"top": nearest.astype(np.int32), "far": angles[np.arange(len(nearest)), nearest]})
+
+        return df.withColumn("_at", locate("vec")).select("*", "_at.top", "_at.far").drop("_at")
+
+    def blocked(self, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+        """``df`` with a block of its ``top``, and the second level's pivots once for every such block."""
+        counts = df.groupBy("top").agg(F.ceil(F.count("*") / LEVEL_ROWS).alias("blocks"))
+        # One row per pivot of the first level, which every worker holds anyway.
+        counts = F.broadcast(written(counts, "first-level"))
+        rows = df.join(counts, "top").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks"))).drop("blocks")
+        every = self.second.join(counts, "top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+        return rows, every.drop("blocks")
+
+    def place(self, df: DataFrame, key: str, label: str) -> DataFrame:
+        """``(key, vec, cell, near, top, far)``: the cell of each row and the angles to the pivots of both levels."""
+        first = self._first_level(df)
+        if not self.two:
+            cell = (F.col("top") * SECOND).cast("bigint")
+            return written(first.select(key, "vec", cell.alias("cell"), F.col("far").alias("near"), "top", "far"), label)
+        rows, pivots = self.blocked(written(first, f"{label}-first"), key)
+        shape = f"{key} bigint, vec {df.schema['vec'].dataType.simpleString()}, cell bigint, near double, top int, far double"
+
+        def locate(rows: pd.DataFrame, pivots: pd.DataFrame) -> pd.DataFrame:
+            if rows.empty:
+                return pd.DataFrame({c: [] for c in (key, "vec", "cell", "near", "top", "far")})
+            vectors, far = _unit(rows["vec"].to_numpy()), rows["far"].to_numpy()
+            cell, near = np.zeros(len(rows), dtype=np.int64), far.copy()
+            if len(pivots):
+                angles = _angles(vectors, _unit(pivots["pivot"].to_numpy()))
+                best = angles.argmin(axis=1)
+                closest = angles[np.arange(len(best)), best]
+                closer = closest < far
+                cell, near = np.where(closer, pivots["sub"].to_numpy()[best], 0), np.where(closer, closest, far)
+            return rows.assign(cell=rows["top"].to_numpy().astype(np.int64) * SECOND + cell, near=near)[[key, "vec", "cell", "near", "top", "far"]]
+
+        return written(rows.groupBy("top", "block").cogroup(pivots.groupBy("top", "block")).applyInPandas(locate, shape), label)
+
+    def open(self, queries: DataFrame, cells: DataFrame) -> DataFrame:
+        """``(query_id, cell, bound)``: cells other than a query's own whose best possible score ``bound`` reaches its floor.
+
+        Members of a cell lie between ``near_lo`` and ``near_hi`` from its
+        pivot and between ``far_lo`` and ``far_hi`` from that of the first
+        level; either range bounds the angle to the query from below.
+        """
+        tops = cells.groupBy("top").agg(F.min("far_lo").alias("lo"), F.max("far_hi").alias("hi")).collect()
+        names = np.array([r["top"] for r in tops], dtype=np.int32)
+        shared = self.spark.sparkContext.broadcast(
+            (self.first[names], names, np.array([r["lo"] for r in tops]), np.array([r["hi"] for r in tops]))
+        )
+
+        @F.pandas_udf("array<struct<top:int,bound:double,angle:double>>")
+        def open_tops(vectors: pd.Series, floor: pd.Series) -> pd.Series:
+            pivots, names, lo, hi = shared.value
+            angles = _angles(_unit(vectors.to_numpy()), pivots)
+            bound = _best_possible(angles, lo, hi)
+            reach = bound >= floor.fillna(-2.0).to_numpy()[:, None]
+            return pd.Series(
+                [list(zip(names[r].tolist(), b[r].tolist(), a[r].tolist(), strict=True)) for r, b, a in zip(reach, bound, angles, strict=True)]
+            )
 
-def _blocks(counts: dict[int, int], tile: int) -> Column:
-    """Number of tile-sized blocks of column ``cell``; one entry per cell, at most MAX_CELLS."""
-    pairs = [F.lit(x) for cell, n in sorted(counts.items()) for x in (cell, max(1, -(-n // tile)))]
-    return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("cell")), F.lit(1))
+        reached = queries.select("query_id", "vec", F.col("cell").alias("own"), "floor", F.explode(open_tops("vec", "floor")).alias("t")).select("*", "t.*").drop("t")
+        if not self.two:
+            return reached.select("query_id", (F.col("top") * SECOND).cast("bigint").alias("cell"), "bound", "own").filter("cell <> own").drop("own")
+        rows, _ = self.blocked(written(reached, "open-first"), "query_id")
+        # The cells that hold rows, with their pivots; sub 0 has none of its own.
+        pivots = self.second.withColumn("cell", (F.col("top") * SECOND + F.col("sub")).cast("bigint")).select("cell", "pivot")
+        listed = written(cells.join(pivots, "cell", "left"), "cells")
+        every = written(rows.select("top", "block").distinct(), "open-blocks").join(listed, "top")
+
+        def bounds(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if rows.empty or own.empty:
+                return pd.DataFrame({"query_id": [], "cell": [], "bound": []}).astype({"query_id": "int64", "cell": "int64", "bound": "float64"})
+            far = rows["angle"].to_numpy()[:, None]
+            bound = _best_possible(far, own["far_lo"].to_numpy(), own["far_hi"].to_numpy())
+            named = own["pivot"].notna().to_numpy()
+            near = np.repeat(far, len(own), axis=1)
+            if named.any():
+                near[:, named] = _angles(_unit(rows["vec"].to_numpy()), _unit(own["pivot"][named].to_numpy()))
+            bound = np.minimum(bound, _best_possible(near, own["near_lo"].to_numpy(), own["near_hi"].to_numpy()))
+            reach = bound >= rows["floor"].fillna(-2.0).to_numpy()[:, None]
+            reach &= own["cell"].to_numpy()[None, :] != rows["own"].to_numpy()[:, None]
+            at, cell = np.nonzero(reach)
+            return pd.DataFrame({"query_id": rows["query_id"].to_numpy()[at], "cell": own["cell"].to_numpy()[cell], "bound": bound[at, cell]})
+
+        return rows.groupBy("top", "block").cogroup(every.groupBy("top", "block")).applyInPandas(bounds, "query_id bigint, cell bigint, bound double")
+
+
+def _best_possible(angles: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The largest cosine that a member between ``lo`` and ``hi`` from a pivot can have with what is ``angles`` from it."""
+    gap = np.maximum(0.0, np.maximum(angles - hi, lo - angles) - ANGLE_SLACK)
+    return np.cos(np.minimum(gap, np.pi)) + ANGLE_SLACK
 
 
 def block_rows(vectors: DataFrame) -> int:
@@ -212,35 +329,42 @@ def block_rows(vectors: DataFrame) -> int:
     return max(TILE_ROWS, BLOCK_BYTES // row_bytes(vectors.select("vec")))
 
 
-def _tile_scores(queries: DataFrame, corpus: DataFrame, sizes: dict[int, int], k: int, tile: int) -> DataFrame:
+def _tile_scores(queries: DataFrame, corpus: DataFrame, cells: DataFrame | None, k: int, tile: int) -> DataFrame:
     """k best corpus rows per query within the cells listed in its ``cell`` rows.
 
-    Both sides of a cell are cut into blocks of about ``tile`` rows, and one
-    task scores one block against one block, some queries at a time: a cell
-    that holds a third of the corpus, or that every query asks for, is many
-    tasks of bounded size. A row is copied once per block of the other side,
-    and only k rows per query leave a pair of blocks.
+    ``cells`` has the number of rows ``n`` of every cell; without it all is
+    one cell. Both sides of a cell are cut into blocks of about ``tile`` rows,
+    and one task scores one block against one block, some queries at a time: a
+    cell that holds a third of the corpus, or that every query asks for, is
+    many tasks of bounded size. A row is copied once per block of the other
+    side, and only k rows per query leave a pair of blocks.
     """
-    asked = {r["cell"]: r["n"] for r in queries.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    if not asked:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double")
-    corpus_blocks, query_blocks = _blocks(sizes, tile), _blocks(asked, tile)
+    if cells is None:
+        counts = [max(1, -(-df.count() // tile)) for df in (corpus, queries)]
+        queries, corpus = (df.withColumns({"cbs": F.lit(counts[0]), "qbs": F.lit(counts[1])}) for df in (queries, corpus))
+    else:
+        asked = queries.groupBy("cell").agg(F.ceil(F.count("*") / tile).alias("qbs"))
+        sizes = cells.select("cell", F.ceil(F.col("n") / tile).alias("cbs")).join(asked, "cell")
+        sizes, small = small_side(sizes, "cell-blocks")
+        # Cells that nobody asks for drop out.
+        queries, corpus = (
+            df.join(F.broadcast(sizes), "cell") if small else skew_join(df, sizes, "cell") for df in (queries, corpus)
+        )
 
-    def block_of(column: str, blocks: Column) -> Column:
-        return F.pmod(F.xxhash64(column), blocks).cast("int")
+    def block_of(column: str, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.col(blocks)).cast("int")
 
-    def every(blocks: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), blocks - 1))
+    def every(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks).cast("int") - 1))
 
     left = (
-        queries.withColumn("qb", block_of("query_id", query_blocks))
-        .withColumn("cb", every(corpus_blocks))
+        queries.withColumn("qb", block_of("query_id", "qbs"))
+        .withColumn("cb", every("cbs"))
         .select("cell", "cb", "qb", "query_id", "vec")
     )
     right = (
-        corpus.filter(F.col("cell").isin(*asked))
-        .withColumn("cb", block_of("id", corpus_blocks))
-        .withColumn("qb", every(query_blocks))
+        corpus.withColumn("cb", block_of("id", "cbs"))
+        .withColumn("qb", every("qbs"))
         .select("cell", "cb", "qb", "id", "vec")
     )
 
@@ -280,7 +404,20 @@ def _ranked(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def nearest(
+class Search(NamedTuple):
+    """Results of a search, and which cells were scored for which queries."""
+
+    best: DataFrame
+    opened: list[DataFrame]
+    cells: DataFrame | None
+
+
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, *columns: str, **options) -> DataFrame:
+    """``(query_id, id, score, rank)``: the exact k best corpus rows of every query by cosine; see :func:`search`."""
+    return search(queries, corpus, k, *columns, **options).best
+
+
+def search(
     queries: DataFrame,
     corpus: DataFrame,
     k: int,
@@ -291,67 +428,79 @@ def nearest(
     cells: int | None = None,
     tile: int = TILE_ROWS,
     block: int | None = None,
-) -> DataFrame:
-    """``(query_id, id, score, rank)``: the exact k best corpus rows of every query by cosine.
+) -> Search:
+    """The exact k best corpus rows of every query by cosine, cell by cell, best cells first.
 
     Keys must be unique integers; vectors may be copies. Rows without a key or
-    a vector take no part. The corpus
-    is divided into cells around ``cells`` of its own vectors (by default, one
-    per ``tile`` rows and at most MAX_CELLS). A query is first
+    a vector take no part. The corpus is divided into about ``cells`` cells
+    around its own vectors (by default one per ``tile`` rows, however many
+    those are), from ``ONE_LEVEL`` cells on in two levels. A query is first
     scored in its home cell; its k-th score there is a floor. By the triangle
     inequality on angles a cell whose members lie between ``lo`` and ``hi``
-    from their pivot holds nothing better than
-    cos(max(0, angle - hi, lo - angle)), so only cells that reach the floor are
-    scored afterwards. Cells are skipped only when this proves them useless;
-    with unclustered vectors all of them are scored. Within a cell blocks of
-    ``block`` rows are scored against each other, by default some megabytes.
+    from a pivot holds nothing better than
+    cos(max(0, angle - hi, lo - angle)). Cells that reach the floor are opened
+    in rounds, those with the best bound first and ``GROWTH`` times as many
+    in each round; the floor rises after each, so what a later round would
+    have opened is often out of reach by then. Cells are skipped only when this
+    proves them useless; with unclustered vectors all of them are scored.
+    Within a cell blocks of ``block`` rows are scored against each other, by
+    default some megabytes.
     """
     asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vec).alias("vec")).dropna()
     base = corpus.select(F.col(corpus_key).cast("bigint").alias("id"), F.col(corpus_vec).alias("vec")).dropna()
     rows = base.count()
     block = block or block_rows(base)
     if rows == 0:
-        return queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
-    pivots = _pivots(base, cells or -(-rows // tile))
-    placed = written(_with_cell(base, pivots), "corpus-cells")
-    # One row per cell, at most MAX_CELLS.
-    stats = (
-        placed.groupBy("cell")
-        .agg(F.count("*").alias("n"), F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-        .collect()
-    )
-    sizes = {r["cell"]: r["n"] for r in stats}
-    homed = written(_with_cell(asked, pivots), "query-cells")
-    at_home = _ranked(_tile_scores(homed, placed, sizes, k, block), k)
-    if len(sizes) == 1:
-        return at_home
-    first = written(at_home.drop("rank"), "home-scores")
-
-    floors = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (
-            pivots[[r["cell"] for r in stats]],
-            np.array([r["cell"] for r in stats], dtype=np.int32),
-            np.array([r["lo"] for r in stats]),
-            np.array([r["hi"] for r in stats]),
-        )
-    )
-
-    @F.pandas_udf("array<int>")
-    def open_cells(vectors: pd.Series, home: pd.Series, floor: pd.Series) -> pd.Series:
-        centres, names, lo, hi = shared.value
-        angle = np.arccos(np.clip(_unit(vectors.to_numpy()) @ centres.T, -1.0, 1.0))
-        gap = np.maximum(0.0, np.maximum(angle - hi, lo - angle) - ANGLE_SLACK)
-        reach = np.cos(np.minimum(gap, np.pi)) + ANGLE_SLACK >= floor.fillna(-2.0).to_numpy()[:, None]
-        reach &= names[None, :] != home.to_numpy()[:, None]
-        return pd.Series([names[row] for row in reach])
-
-    rest = homed.join(floors, "query_id", "left").select(
-        "query_id", "vec", F.explode(open_cells("vec", "cell", "floor")).alias("cell")
+        nothing = queries.sparkSession.createDataFrame([], "query_id bigint, id bigint, score double, rank int")
+        return Search(nothing, [], None)
+    cells = cells or -(-rows // tile)
+    if cells == 1:
+        one = F.lit(0).cast("bigint").alias("cell")
+        return Search(_ranked(_tile_scores(asked.select("*", one), base.select("*", one), None, k, block), k), [], None)
+    tree = _Tree(base, rows, cells)
+    placed = tree.place(base, "id", "corpus-cells")
+    found = placed.groupBy("cell").agg(
+        F.first("top").alias("top"),
+        F.count("*").alias("n"),
+        F.min("near").alias("near_lo"),
+        F.max("near").alias("near_hi"),
+        F.min("far").alias("far_lo"),
+        F.max("far").alias("far_hi"),
     )
-    rest = written(rest, "open-cells")
-    merged = first.unionByName(_tile_scores(rest, placed, sizes, k, block))
-    return _ranked(merged, k)
+    known = written(found, "cells")
+    homed = tree.place(asked, "query_id", "query-cells").select("query_id", "vec", "cell")
+    members = placed.select("id", "vec", "cell")
+    opened = [homed.select("query_id", "cell")]
+    best = written(_ranked(_tile_scores(homed, members, known, k, block), k), "best")
+
+    def with_floor(df: DataFrame) -> DataFrame:
+        floors = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+        return df.join(floors, "query_id", "left")
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
+    reached = tree.open(with_floor(homed), known).withColumn("place", F.row_number().over(order))
+    reached = written(reached, "open-cells")
+    last = reached.agg(F.max("place")).first()[0] or 0
+    done, upto = 0, GROWTH
+    while done < last:
+        part = with_floor(reached.filter((F.col("place") > done) & (F.col("place") <= upto)))
+        part = written(part.filter(F.col("bound") >= F.coalesce("floor", F.lit(-2.0))).select("query_id", "cell"), "round")
+        # Bounds only fall from here on.
+        if part.isEmpty():
+            break
+        opened.append(part)
+        scores = _tile_scores(part.join(homed.select("query_id", "vec"), "query_id"), members, known, k, block)
+        best = written(_ranked(best.drop("rank").unionByName(scores), k), "best")
+        done, upto = upto, GROWTH * upto
+    return Search(best, opened, known)
+
+
+def scored_share(found: Search, queries: int, rows: int) -> float:
+    """Share of all pairs of ``queries`` queries and ``rows`` corpus rows that were scored."""
+    if found.cells is None or not queries * rows:
+        return 1.0
+    pairs = [df.join(found.cells.select("cell", "n"), "cell").agg(F.sum("n")).first()[0] or 0 for df in found.opened]
+    return sum(pairs) / (queries * rows)
 
 
 def embedding_parity(left: DataFrame, right: DataFrame, key: str = "id", vec: str = "vec") -> DataFrame:

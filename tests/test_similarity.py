@@ -54,6 +54,35 @@ def test_nearest_on_clusters_opens_few_cells(spark, monkeypatch):
     assert scored[1] < 80 * 23 / 3
 
 
+@pytest.mark.parametrize(("cells", "k"), [(30, 3), (100, 1)])
+def test_nearest_with_two_levels(spark, monkeypatch, cells, k):
+    """Noise, clusters, copies and zero vectors with pivots in two levels and small blocks of them."""
+    monkeypatch.setattr(similarity, "ONE_LEVEL", 4)
+    monkeypatch.setattr(similarity, "LEVEL_ROWS", 40)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(9, 10))
+    corpus = np.vstack([clustered(rng, 250, centres, 0.1), rng.normal(size=(60, 10)), np.zeros((2, 10))])
+    corpus[::5] = corpus[0]
+    queries = np.vstack([clustered(rng, 30, centres, 0.1), rng.normal(size=(10, 10)), np.zeros((1, 10))])
+    out = similarity.nearest(table(spark, queries, "query_id"), table(spark, corpus), k, cells=cells, tile=16, block=16)
+    assert found(out) == brute(queries, corpus, k)
+
+
+@pytest.mark.parametrize(("one_level", "most"), [(256, 0.16), (4, 0.12)])
+def test_share_of_scored_pairs(spark, monkeypatch, one_level, most):
+    """Clustered vectors open few cells; of noise nearly all pairs are scored, and never one twice."""
+    monkeypatch.setattr(similarity, "ONE_LEVEL", one_level)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 32))
+    for make, low, high in ((lambda n: clustered(rng, n, centres, 0.02), 0, most), (lambda n: rng.normal(size=(n, 32)), 0.5, 1)):
+        corpus, queries = make(2000), make(50)
+        got = similarity.search(table(spark, queries, "query_id"), table(spark, corpus), 5, cells=64)
+        assert found(got.best) == brute(queries, corpus, 5)
+        share = similarity.scored_share(got, 50, 2000)
+        assert low <= share <= high, share
+        print("share of scored pairs", one_level, round(share, 3))
+
+
 def test_nearest_with_a_third_of_copies(spark):
     rng = np.random.default_rng(3)
     corpus = rng.normal(size=(300, 8))
