@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from swatchbook.cluster import sized_join, skew_join, small_side, written
+from swatchbook.cluster import global_row_index, sized_join, skew_join, small_side, written
 from swatchbook.functions import text
 
 # Fixed values.
@@ -29,8 +29,10 @@ RARE_CATEGORY_ROWS = 10
 MIN_ATTRIBUTE_ROWS = 50
 ATTRIBUTE_LIST = "array<struct<attribute_name:string,attribute_values:array<string>>>"
 
-# Values that are gathered into one array at most; beyond it the long forms serve.
+# Values in one array at most; a group with more is several rows.
 MOST_VALUES = 100_000
+# Attribute names that are looked up in a hash set of the plan.
+NAMES_IN_PLAN = 10_000
 
 
 def parse_attributes(products: DataFrame, column: str = "product_attributes") -> DataFrame:
@@ -45,17 +47,57 @@ def category_value_counts(products: DataFrame) -> DataFrame:
     )
 
 
+def chunked_sets(
+    values: DataFrame, keys: Sequence[str], value: str, out: str, most: int = MOST_VALUES, total: str | None = None
+) -> DataFrame:
+    """``(keys, out, chunk)``: the sorted distinct values of each group, ``most`` of them in a row at most.
+
+    ``values`` has every (keys, value) once; null values count for the group,
+    but are in no list, and a group of nothing else has one empty list. Nearly
+    all groups are one row, with ``chunk`` 0. Groups with more values are
+    numbered by a sort of all of theirs over range partitions, never in one
+    task, and cut by that number: chunk 0 has the smallest ``most`` values,
+    and so on. ``total`` is summed over the group and stands in each of its rows.
+    """
+    stored = written(values, "group-values")
+    summed = [F.sum(F.col(total) if total else F.lit(0)).alias("_total")]
+    gathered = F.sort_array(F.collect_list(value)).alias(out)
+    named = [*keys, out, *([F.col("_total").alias(total)] if total else []), "chunk"]
+    # One row per ``most`` values or more.
+    large = written(stored.groupBy(*keys).agg(F.count(value).alias("_n"), *summed).filter(F.col("_n") > most), "large-groups")
+    first = F.lit(0).cast("bigint")
+    if large.isEmpty():
+        return stored.groupBy(*keys).agg(gathered, *summed).withColumn("chunk", first).select(*named)
+
+    def with_groups(df: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+        """A join in which null keys are equal."""
+        other = groups.select(*[F.col(c).alias(f"_g_{c}" if c in keys else c) for c in groups.columns])
+        joined = df.join(other, [df[k].eqNullSafe(other[f"_g_{k}"]) for k in keys], how)
+        return joined.drop(*[f"_g_{k}" for k in keys])
+
+    one = with_groups(stored, large, "left_anti").groupBy(*keys).agg(gathered, *summed).withColumn("chunk", first)
+    many = with_groups(stored.filter(F.col(value).isNotNull()), large, "inner").select(*keys, value, "_total")
+    numbered = global_row_index(written(many, "large-values"), [*map(F.col, keys), F.col(value)], name="_number")
+    starts = written(numbered.groupBy(*keys).agg(F.min("_number").alias("_start")), "starts")
+    chunk = F.expr(f"(_number - _start) div {most}").alias("chunk")
+    several = with_groups(numbered, starts, "inner").groupBy(*keys, chunk).agg(gathered, F.first("_total").alias("_total"))
+    return one.select(*named).unionByName(several.select(*named))
+
+
 def category_stats(products: DataFrame, most: int = MOST_VALUES) -> DataFrame:
     """Row count and distinct sub-categories of every (family, category).
 
     The sub-categories are made distinct before they are gathered, so a hot
     category reaches its final task as one row per distinct value. A category
-    with more than ``most`` of them is an error; :func:`category_value_counts`
-    has them in long form.
+    with more than ``most`` of them has several rows (:func:`chunked_sets`).
     """
-    return category_value_counts(products).groupBy("product_family", "product_category").agg(
-        _bounded_list("product_sub_category", most, "product_category").alias("product_sub_categories"),
-        F.sum("n_rows").alias("product_category_count"),
+    return chunked_sets(
+        category_value_counts(products).withColumnRenamed("n_rows", "product_category_count"),
+        ("product_family", "product_category"),
+        "product_sub_category",
+        "product_sub_categories",
+        most,
+        "product_category_count",
     )
 
 
@@ -115,23 +157,14 @@ def attribute_value_counts(attributes: DataFrame) -> DataFrame:
     return places.groupBy("attribute_name", "value").agg(F.count_if(first).alias("n_rows"))
 
 
-def _bounded_list(column: str, most: int, group: str) -> Column:
-    """A sorted list of a group's values (distinct, null left out); more than ``most`` end the job with the reason."""
-    text = F.concat_ws(" ", F.lit(f"more than {most} values, use the long form:"), F.first(F.col(group).cast("string")))
-    return F.when(F.count(column) <= most, F.sort_array(F.collect_list(column))).otherwise(F.raise_error(text))
-
-
 def attribute_stats(attributes: DataFrame, most: int = MOST_VALUES) -> DataFrame:
-    """Row count and all distinct values per attribute name, in one pass.
+    """Row count and all distinct values per attribute name, from one pass over the attributes.
 
     Values are made distinct over (name, value) before they are gathered, so
     the task of a hot name sees its distinct values and never its rows. A name
-    with more than ``most`` values is an error; :func:`attribute_value_counts`
-    has them in long form.
+    with more than ``most`` values has several rows (:func:`chunked_sets`).
     """
-    return attribute_value_counts(attributes).groupBy("attribute_name").agg(
-        _bounded_list("value", most, "attribute_name").alias("attribute_values"), F.sum("n_rows").alias("n_rows")
-    )
+    return chunked_sets(attribute_value_counts(attributes), ("attribute_name",), "value", "attribute_values", most, "n_rows")
 
 
 def frequent_attribute_names(attributes: DataFrame, min_rows: int = MIN_ATTRIBUTE_ROWS) -> DataFrame:
@@ -167,17 +200,23 @@ def product_values(attributes: DataFrame) -> DataFrame:
     return attributes.filter(F.col("attribute_values").isNotNull()).select("product_id", "attribute_values").distinct()
 
 
-def values_per_product(attributes: DataFrame, most: int = MOST_VALUES) -> DataFrame:
-    """Sorted set of attribute values per product; null values are left out.
+def product_value_chunks(attributes: DataFrame, most: int = MOST_VALUES) -> DataFrame:
+    """``(product_id, attribute_values, chunk)``: sorted set of attribute values per product; null values are left out.
 
     Values are made distinct before they are gathered. A product with more
-    than ``most`` of them is an error; :func:`product_values` has them in long
-    form. Rows without a product id are no product.
+    than ``most`` of them has several rows (:func:`chunked_sets`), one whose
+    values are all null an empty list. Rows without a product id are no product.
     """
     known = attributes.filter(F.col("product_id").isNotNull())
-    # A product whose values are all null keeps an empty list.
-    each = known.select("product_id", "attribute_values").distinct()
-    return each.groupBy("product_id").agg(_bounded_list("attribute_values", most, "product_id").alias("attribute_values"))
+    each = known.select("product_id", F.col("attribute_values").alias("_value")).distinct()
+    return chunked_sets(each, ("product_id",), "_value", "attribute_values", most)
+
+
+def values_per_product(attributes: DataFrame, most: int = MOST_VALUES) -> DataFrame:
+    """:func:`product_value_chunks` with the chunks of a product in one row, as its sentence holds all of its values."""
+    chunks = F.sort_array(F.collect_list(F.struct("chunk", "attribute_values")))
+    per_product = product_value_chunks(attributes, most).groupBy("product_id")
+    return per_product.agg(F.flatten(chunks["attribute_values"]).alias("attribute_values"))
 
 
 def facet_columns() -> list[Column]:
@@ -207,11 +246,11 @@ def with_attribute_values(facets: DataFrame, per_product: DataFrame) -> DataFram
     return facets.join(per_product, "product_id", "left")
 
 
-def _row_values(attributes: Column, common: Column, ignored: Sequence[str]) -> Column:
+def _row_values(attributes: Column, common: Callable[[Column], Column], ignored: Sequence[str]) -> Column:
     """Sorted distinct values of the attributes in a row whose name is common and not ignored."""
     kept = F.filter(
         attributes,
-        lambda a: F.coalesce(F.array_contains(common, a["attribute_name"]), F.lit(False))
+        lambda a: F.coalesce(common(a["attribute_name"]), F.lit(False))
         & ~a["attribute_name"].isin(*ignored)
         & (F.coalesce(F.size(a["attribute_values"]), F.lit(-1)) <= 1),
     )
@@ -227,14 +266,18 @@ def facets_with_values_in_row(
     """:func:`product_facets` plus attribute values, each row's from its own attributes.
 
     Rows that repeat an id, or have none, keep their own values. The common
-    names are written and measured; as a rule they are broadcast and nothing
-    but their counts is shuffled. Beyond the broadcast limit each row's names
-    are looked up by a join that carries a row number, with the same result.
+    names are written and measured; as a rule they are few, become a hash set
+    in the plan, and nothing but their counts is shuffled. Beyond
+    ``NAMES_IN_PLAN`` each row's names are looked up by a join that carries a
+    row number, with the same result.
     """
-    names, small = small_side(frequent_attribute_names(explode_attributes(products), min_rows), "attribute-names")
+    names, small = small_side(frequent_attribute_names(explode_attributes(products), min_rows), "attribute-names", NAMES_IN_PLAN)
     if small:
-        one = written(names.agg(F.collect_list("attribute_name").alias("_common")), "common-names")
-        rows = products.withColumn("_one", F.lit(1)).join(F.broadcast(one.withColumn("_one", F.lit(1))), "_one")
+        known = [r[0] for r in names.collect()]
+        rows = products
+
+        def common(name: Column) -> Column:
+            return name.isin(known)
     else:
         # Written first: the row number must be the same if a task runs again.
         rows = written(products.withColumn("_row", F.monotonically_increasing_id()), "products")
@@ -244,7 +287,12 @@ def facets_with_values_in_row(
         found = skew_join(written(each, "row-names"), names, "attribute_name", "left_semi")
         by_row = found.groupBy("_row").agg(F.collect_set("attribute_name").alias("_common"))
         rows = rows.join(by_row, "_row", "left")
-    return rows.select(*facet_columns(), _row_values(F.col("product_attributes"), F.col("_common"), ignored).alias("attribute_values"))
+
+        def common(name: Column) -> Column:
+            # A row's own names only.
+            return F.array_contains("_common", name)
+
+    return rows.select(*facet_columns(), _row_values(F.col("product_attributes"), common, ignored).alias("attribute_values"))
 
 
 def describe(facets: DataFrame, choice: Column, drop_missing: bool = False) -> DataFrame:

@@ -465,6 +465,12 @@ ORACLE: dict[str, str] = {
     "pair_large_keys": "SELECT d.doc_id + 3000000000 AS product_id, md5(text) AS text, quality, toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id",
     "pair_unusable": "SELECT 'image' AS side, 'x' || doc_id AS key, count(*) AS n FROM labels WHERE toxic = 1 GROUP BY ALL",
     "category_values": f"""WITH {PRODUCTS} SELECT product_family, product_category, product_sub_category, count(*) AS n_rows FROM products GROUP BY ALL""",
+    "category_chunks": f"""WITH {PRODUCTS}, numbered AS (SELECT product_family, product_sub_category AS v,
+        (row_number() OVER (PARTITION BY product_family ORDER BY product_sub_category) - 1) // 3 AS chunk
+        FROM (SELECT DISTINCT product_family, product_sub_category FROM products WHERE product_sub_category IS NOT NULL)),
+        totals AS (SELECT product_family, count(*) AS n_rows FROM products GROUP BY ALL)
+        SELECT product_family, array_to_string(list(v ORDER BY v), '|') AS names, n_rows, chunk
+        FROM numbered JOIN totals USING (product_family) GROUP BY product_family, n_rows, chunk""",
     "attribute_values": f"""WITH {PRODUCTS}, {parsed("products")}, listed AS (SELECT attribute_name, unnest(attribute_values) AS value,
         generate_subscripts(attribute_values, 1) AS i FROM attributes)
         SELECT attribute_name, value, count(*) FILTER (WHERE i = 1) AS n_rows FROM listed GROUP BY ALL""",

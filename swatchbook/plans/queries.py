@@ -134,7 +134,7 @@ def split_files(spark, sf):
 
 @query
 def category_stats(spark, sf):
-    stats = catalog.category_stats(products(spark, sf))
+    stats = catalog.category_stats(products(spark, sf)).drop("chunk")
     return stats.withColumn("product_sub_categories", joined(F.col("product_sub_categories")))
 
 
@@ -143,6 +143,14 @@ def category_values(spark, sf):
     return catalog.category_value_counts(products(spark, sf))
 
 
+@query
+def category_chunks(spark, sf):
+    """Sub-categories of each family, three in a row at most."""
+    values = products(spark, sf).groupBy("product_family", "product_sub_category").agg(F.count("*").alias("n_rows"))
+    sets = catalog.chunked_sets(values, ("product_family",), "product_sub_category", "names", 3, "n_rows")
+    return sets.withColumn("names", joined(F.col("names")))
+
+
 @query
 def rare_category_anti(spark, sf):
     kept = catalog.drop_rare_categories(products(spark, sf), RARE_ROWS)
@@ -186,7 +194,7 @@ def explode_attributes(spark, sf):
 
 @query
 def attribute_stats(spark, sf):
-    stats = catalog.attribute_stats(catalog.explode_attributes(_parsed(spark, sf)))
+    stats = catalog.attribute_stats(catalog.explode_attributes(_parsed(spark, sf))).drop("chunk")
     return stats.withColumn("attribute_values", joined(F.col("attribute_values")))
 
 

@@ -128,12 +128,39 @@ def test_values_in_row_are_the_same_at_every_size(spark, monkeypatch, most):
     assert sorted(map(str, map(tuple, got))) == ["(1, ['A'])", "(1, ['B'])", "(2, None)", "(None, ['C'])"]
 
 
-def test_too_many_values_are_an_error(spark):
-    df = spark.range(5).select(F.lit("n").alias("attribute_name"), F.array(F.col("id").cast("string")).alias("attribute_values"))
-    assert len(catalog.attribute_stats(df, 5).first()["attribute_values"]) == 5
-    assert catalog.attribute_value_counts(df).count() == 5
-    with pytest.raises(Exception, match="more than 4 values"):
-        catalog.attribute_stats(df, 4).collect()
+def test_large_groups_come_in_chunks(spark):
+    """Groups beyond the limit, null keys, null values, and groups that stay whole, in one table."""
+    rows = spark.sql(
+        "SELECT CASE WHEN id < 10 THEN 'n' WHEN id < 17 THEN NULL WHEN id < 20 THEN 'few' ELSE 'none' END AS attribute_name, "
+        "array(CASE WHEN id < 20 THEN lpad(CAST(id % 10 AS STRING), 2, '0') END) AS attribute_values FROM range(22)"
+    )
+    rows = rows.union(rows.limit(3)).union(spark.sql("SELECT 'n', array(CAST(NULL AS STRING))"))
+    got = {(r.attribute_name, r.chunk): (r.attribute_values, r.n_rows) for r in catalog.attribute_stats(rows, 4).collect()}
+    assert got == {
+        ("n", 0): (["00", "01", "02", "03"], 14),
+        ("n", 1): (["04", "05", "06", "07"], 14),
+        ("n", 2): (["08", "09"], 14),
+        (None, 0): (["00", "01", "02", "03"], 7),
+        (None, 1): (["04", "05", "06"], 7),
+        ("few", 0): (["07", "08", "09"], 3),
+        ("none", 0): ([], 2),
+    }
+    whole = {r.attribute_name: (r.attribute_values, r.chunk) for r in catalog.attribute_stats(rows, 10).collect()}
+    assert whole["n"] == ([f"{n:02d}" for n in range(10)], 0)
+
+
+def test_a_group_of_many_values_is_no_error(spark):
+    df = spark.range(250_000).selectExpr("'n' AS attribute_name", "array(CAST(id AS STRING)) AS attribute_values")
+    got = catalog.attribute_stats(df).orderBy("chunk").collect()
+    assert [(r.chunk, len(r.attribute_values), r.n_rows) for r in got] == [(0, 100_000, 250_000), (1, 100_000, 250_000), (2, 50_000, 250_000)]
+    assert got[0].attribute_values[-1] < got[1].attribute_values[0] and got[1].attribute_values[-1] < got[2].attribute_values[0]
+
+
+def test_a_product_of_many_values_is_one_row_again(spark):
+    df = spark.range(25).selectExpr("CASE WHEN id < 20 THEN 1 ELSE 2 END AS product_id", "CAST(id AS STRING) AS attribute_values")
+    assert catalog.product_value_chunks(df, 6).count() == 5
+    whole = {r.product_id: r.attribute_values for r in catalog.values_per_product(df, 6).collect()}
+    assert whole == {1: sorted(map(str, range(20))), 2: ["20", "21", "22", "23", "24"]}
 
 
 @pytest.mark.parametrize(

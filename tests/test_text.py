@@ -1,5 +1,6 @@
 import html
 
+import pandas as pd
 import pytest
 import regex
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from swatchbook.functions import text
 
+# A fixed value.
 PATTERN = regex.compile(
     r"<\|startoftext\|>|<\|endoftext\|>|'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", regex.IGNORECASE
 )
@@ -54,13 +56,29 @@ LETTERS = st.characters(max_codepoint=0x52F, blacklist_categories=("Cs", "Cn", "
 ODD = st.sampled_from("\u00a0\u1680\u2003\u2028\u202f\u3000\u200b\ufeff日½Ⅷ٣\U0001f600&;")
 
 
-@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, derandomize=True, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.text(alphabet=LETTERS | ODD, max_size=40), min_size=20, max_size=60))
 def test_same_as_the_regex_module(spark, texts):
     # Scripts are limited to those that every recent Unicode version knows.
     check(spark, texts)
 
 
+def test_every_character_the_jvm_knows(spark):
+    """Both engines put every code point that the JVM's tables hold into the same class."""
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    rows = pd.DataFrame({"c": codes, "t": [f"a{chr(c)}b '{chr(c)}1" for c in codes]})
+    df = spark.createDataFrame(rows).withColumn("known", F.substring("t", 2, 1).rlike(r"\p{IsAssigned}"))
+    words = df.filter("known").select("t", text.pretokenize(F.col("t")).alias("w")).toPandas()
+    assert len(words) > 250_000
+    assert [t for t, w in zip(words["t"], words["w"], strict=True) if list(w) != regex.findall(PATTERN, t)] == []
+
+
+@pytest.mark.parametrize("t", ["\u0345", "a\u0345b", "!\u0345!", "\u0345\u0345x", "α\u0345\u03b9 '\u0345s"])
+def test_the_mark_with_a_letter_for_its_upper_case(spark, t):
+    df = spark.createDataFrame([(t,)], "t string")
+    assert df.select(text.pretokenize(F.col("t"))).first()[0] == regex.findall(PATTERN, t)
+
+
 def test_nulls(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(text.pretokenize(text.clean_text(F.col("t")))).first()[0] is None
