@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField
+
+from swatchbook.operators.rejects import map_with_rejects
 
 
 def embed_table(
@@ -31,6 +33,37 @@ def embed_table(
     return df.withColumn(out, predict(column))
 
 
+def embed_with_rejects(
+    df: DataFrame,
+    make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]],
+    column: str,
+    size: int,
+    out: str,
+    carry: list[str],
+) -> DataFrame:
+    """Like :func:`embed_table`, with ``error`` for the rows that the model refuses; only ``carry`` is kept beside ``out``.
+
+    A batch on which the model or the stacking of its inputs fails with a
+    data error is halved until the rows at fault are alone, so the others
+    still go through the model in batches. A null input is refused with its
+    reason. Works on batch and on streaming tables.
+    """
+    loaded: list = []
+
+    def vectors(block: pd.DataFrame) -> pd.Series:
+        if not loaded:
+            # One model per worker.
+            loaded.append(make_predict())
+        if block[column].isna().any():
+            raise ValueError("no input")
+        inputs = np.stack(block[column].to_numpy())
+        if inputs.shape[1] != size:
+            raise ValueError(f"{inputs.shape[1]} values, not {size}")
+        return pd.Series(list(np.asarray(loaded[0](inputs), dtype=np.float32)))
+
+    return map_with_rejects(df, vectors, StructField(out, ArrayType(FloatType())), carry)
+
+
 def project(df: DataFrame, column: str, weights: np.ndarray, out: str) -> DataFrame:
     """Add ``out``, the product of a row vector and a broadcast matrix.
 

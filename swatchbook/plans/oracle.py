@@ -504,6 +504,8 @@ ORACLE: dict[str, str] = {
     "channel_normalize": f"SELECT vec_id, {scaled(channels(), 1e6)} AS t FROM embeddings",
     "project_embedding": f"SELECT vec_id, {scaled(project('{s}'), 1e6)} AS shared FROM embeddings",
     "embed_table": f"SELECT vec_id, {scaled(project('{s}::FLOAT'), 1e6)} AS shared FROM embeddings",
+    "embed_rejects": f"""SELECT vec_id, CASE WHEN label NOT IN (3, 7) THEN {scaled(project('{s}'), 1e4)} END AS shared,
+        CASE label WHEN 7 THEN 'ValueError: 63 values, not 64' WHEN 3 THEN 'ValueError: no input' END AS error FROM embeddings""",
     "tensor_roundtrip": f"SELECT vec_id, '4,16' AS shape, {scaled('embedding', 1e6)} AS v FROM embeddings",
     "reject_split": """SELECT vec_id, CASE WHEN label = 7 THEN NULL ELSE round(list_max(embedding)::DOUBLE, 6) END AS largest,
         CASE WHEN label = 7 THEN 'ValueError: not 64 values' END AS error FROM embeddings""",

@@ -605,6 +605,17 @@ def embed_table(spark, sf):
     return out.select("vec_id", scaled(F.col("shared"), 1e6).alias("shared"))
 
 
+@query
+def embed_rejects(spark, sf):
+    """A model that refuses the short vectors of one label, and null ones of another."""
+    vecs = _embeddings(spark, sf).select(
+        "vec_id", F.when(F.col("label") == 7, F.slice("embedding", 1, 63)).when(F.col("label") != 3, F.col("embedding")).alias("v")
+    )
+    weights = _weights(64, PROJECTED)
+    found = inference.embed_with_rejects(vecs, lambda: lambda x: x @ weights, "v", 64, "shared", ["vec_id"])
+    return found.select("vec_id", scaled(F.col("shared"), 1e4).alias("shared"), "error")
+
+
 @query
 def tensor_roundtrip(spark, sf):
     stored = _embeddings(spark, sf).select(

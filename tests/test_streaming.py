@@ -1,10 +1,11 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
 from swatchbook.functions import tensors, vectors
-from swatchbook.operators import rejects
+from swatchbook.operators import inference, rejects
 from swatchbook.sources import files
 from swatchbook.streaming import images
 
@@ -57,6 +58,69 @@ def test_rejects_keep_the_good_rows_of_a_block(spark):
     assert all("could not convert" in r["error"] for r in bad)
 
 
+def test_one_bad_row_in_ten_thousand_costs_few_calls(spark, tmp_path):
+    """Calls are counted in a file; slices grow to 10,000 rows, then one holds the bad row."""
+    calls, bad = str(tmp_path / "calls"), 29_000
+    df = spark.range(30_000).coalesce(1).selectExpr("id AS i")
+
+    def run(at):
+        def doubled(rows: pd.DataFrame) -> pd.Series:
+            with open(calls, "a") as f:
+                f.write(f"{len(rows)}\n")
+            if (rows["i"] == at).any():
+                raise ValueError(f"row {at} is bad")
+            return rows["i"] * 2.0
+
+        open(calls, "w").close()
+        out = rejects.map_with_rejects(df, doubled, StructField("v", DoubleType()), ["i"])
+        rows = out.collect()
+        return rows, sum(1 for _ in open(calls))
+
+    _, usual = run(-1)
+    rows, with_bad = run(bad)
+    assert with_bad - usual < 30
+    assert [(r.i, r.error) for r in rows if r.error] == [(bad, f"ValueError: row {bad} is bad")]
+    assert all(r.v == 2 * r.i for r in rows if r.i != bad)
+
+
+def test_many_bad_rows_and_other_failures(spark):
+    df = spark.range(500).coalesce(1).selectExpr("id AS i")
+
+    def odd(rows: pd.DataFrame) -> pd.Series:
+        if (rows["i"] % 3 == 0).any():
+            raise KeyError(int(rows["i"].iloc[0]))
+        return rows["i"].astype(float)
+
+    rows = rejects.map_with_rejects(df, odd, StructField("v", DoubleType()), ["i"]).collect()
+    assert {r.i: r.error for r in rows if r.error} == {i: f"KeyError: {i}" for i in range(0, 500, 3)}
+    short = rejects.map_with_rejects(df, lambda rows: rows["i"].iloc[1:], StructField("v", DoubleType()), ["i"])
+    with pytest.raises(Exception, match="values for"):
+        short.collect()
+
+
+def test_a_model_that_refuses_rows(spark):
+    rows = [(n, [float(n), 1.0] if n % 5 else ([1.0] if n % 2 else None)) for n in range(40)]
+    df = spark.createDataFrame(rows, "i int, x array<double>")
+
+    def load():
+        def predict(batch):
+            if (batch[:, 0] == 13).any():
+                raise ValueError("thirteen")
+            return batch * 2
+
+        return predict
+
+    out = {r.i: r for r in inference.embed_with_rejects(df, load, "x", 2, "v", ["i"]).collect()}
+    assert len(out) == 40
+    for n in range(40):
+        if n % 5 == 0:
+            assert out[n].error == ("ValueError: 1 values, not 2" if n % 2 else "ValueError: no input")
+        elif n == 13:
+            assert out[n].error == "ValueError: thirteen"
+        else:
+            assert (out[n].v, out[n].error) == ([2.0 * n, 2.0], None)
+
+
 def test_write_files(spark, tmp_path):
     df = spark.createDataFrame([("a/1.jpg", b"x"), ("a/2.jpg", b"yy"), ("3.jpg", b"")], "n string, c binary")
     assert files.write_files(df, str(tmp_path / "f"), "n", "c") == 3
