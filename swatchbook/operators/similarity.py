@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
-from swatchbook.cluster import row_bytes, skew_join, small_side, written
+from swatchbook.cluster import row_bytes, sized_join, skew_join, small_side, written
 from swatchbook.functions.vectors import LOGIT_SCALE, argmax, cross_entropy, unit
 
 # Scores are compared at this many decimals, so that copies of a vector tie
@@ -22,6 +22,8 @@ SCORE_DECIMALS = 9
 TILE_ROWS = 2048
 # Vectors of one block, and scores that a task holds at once.
 BLOCK_BYTES, STRIP_CELLS = 32 << 20, 4 << 20
+# Pairs of a batch that travel as one row; larger batches go in tiles of this many.
+ROW_BATCH = 4096
 # Logits a task holds before it hands them on.
 LOGIT_CELLS = 1 << 20
 # More cells than this are found in two levels.
@@ -69,8 +71,99 @@ def _packed(pairs: DataFrame, batch_size: int) -> DataFrame:
     )
 
 
-def inbatch_predictions(pairs: DataFrame, batch_size: int, scale: float = LOGIT_SCALE, alpha: float = 0.5) -> DataFrame:
-    """:func:`batch_predictions` of :func:`inbatch_logits` in one pass: the logits never leave the task."""
+def _tiles(pairs: DataFrame, batch_size: int, tile: int) -> DataFrame:
+    """``(batch_id, pos, img, txt, tiles)``: checked pairs, and how many tiles their batch has; no batch is gathered."""
+    inside = F.col("pos").between(0, batch_size - 1) & F.col("img").isNotNull() & F.col("txt").isNotNull()
+    place = F.concat_ws(" ", F.col("batch_id").cast("string"), F.col("pos").cast("string"))
+    checked = F.when(inside, F.col("pos")).otherwise(F.raise_error(F.concat(F.lit("position outside the batch, or null vector: "), place)))
+    stored = written(pairs.select("batch_id", checked.cast("int").alias("pos"), "img", "txt"), "pairs")
+    each = stored.groupBy("batch_id", "pos").agg(F.count("*").alias("n"))
+    sizes = each.groupBy("batch_id").agg(F.count("*").alias("places"), F.max("n").alias("most"), F.max("pos").alias("last"))
+    named = F.col("batch_id").cast("string")
+    tiles = (
+        F.when(F.col("most") > 1, F.raise_error(F.concat(F.lit("position given twice in batch "), named)))
+        .when(F.col("last") + 1 != F.col("places"), F.raise_error(F.concat(F.lit("position missing in batch "), named)))
+        .otherwise(F.expr(f"last div {tile} + 1"))
+    )
+    return sized_join(stored, sizes.select("batch_id", tiles.cast("int").alias("tiles")), "batch_id", "inner", "batch-tiles")
+
+
+def _tiled_predictions(pairs: DataFrame, batch_size: int, scale: float, alpha: float, tile: int) -> DataFrame:
+    """:func:`inbatch_predictions` of batches of any size: one task scores one tile of images against one of texts.
+
+    Of every such block the rows' and the columns' best logit, its place and
+    the sum of exponentials relative to it leave the task, and are merged per
+    pair and side by a grouped aggregate over the tiles.
+    """
+    placed = _tiles(pairs, batch_size, tile).withColumn("own", F.expr(f"pos div {tile}").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    images = placed.select("batch_id", F.col("own").alias("i"), other.alias("t"), "pos", F.col("img").alias("vec"))
+    # Aliases, as both sides come from one table.
+    same = [F.col(c).alias(c) for c in ("batch_id", "pos")]
+    texts = placed.select(*same, other.alias("i"), F.col("own").alias("t"), F.col("txt").alias("vec"))
+    kind = pairs.schema["batch_id"].dataType.simpleString()
+    factor = float(np.exp(scale))
+
+    def side(name: int, batch_id, pos: np.ndarray, others: np.ndarray, logits: np.ndarray, own: np.ndarray) -> pd.DataFrame:
+        top = logits.max(axis=1)
+        return pd.DataFrame(
+            {
+                "batch_id": [batch_id] * len(pos),
+                "pos": pos,
+                "side": name,
+                "top": top,
+                "best": others[logits.argmax(axis=1)],
+                "total": np.exp(logits - top[:, None]).sum(axis=1),
+                "own": own,
+            }
+        )
+
+    def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        # Ascending positions: ties take the first.
+        a, b = a.sort_values("pos"), b.sort_values("pos")
+        rows, columns = a["pos"].to_numpy(), b["pos"].to_numpy()
+        logits = factor * (np.stack(a["vec"].to_numpy()).astype(np.float64) @ np.stack(b["vec"].to_numpy()).astype(np.float64).T)
+        same = a["i"].iloc[0] == a["t"].iloc[0]
+        own = np.diag(logits) if same else np.full(max(logits.shape), np.nan)
+        batch_id = a["batch_id"].iloc[0]
+        return pd.concat(
+            [
+                side(0, batch_id, rows, columns, logits, own[: len(rows)]),
+                side(1, batch_id, columns, rows, logits.T, own[: len(columns)]),
+            ]
+        )
+
+    blocks = images.groupBy("batch_id", "i", "t").cogroup(texts.groupBy("batch_id", "i", "t"))
+    shape = f"batch_id {kind}, pos int, side int, top double, best int, total double, own double"
+    parts = blocks.applyInPandas(score, shape)
+    # One entry per tile of the batch.
+    merged = parts.groupBy("batch_id", "pos", "side").agg(
+        F.max("top").alias("top"),
+        F.max(F.struct("top", (-F.col("best")).alias("first"))).alias("best"),
+        F.max(F.nanvl("own", F.lit(None).cast("double"))).alias("own"),
+        F.collect_list(F.struct("top", "total")).alias("parts"),
+    )
+    total = F.aggregate("parts", F.lit(0.0), lambda x, p: x + p["total"] * F.exp(p["top"] - F.col("top")))
+    loss = F.col("top") + F.log(total) - F.col("own")
+    found = merged.select("batch_id", "pos", "side", (-F.col("best.first")).cast("int").alias("pred"), loss.alias("loss"))
+    return found.groupBy("batch_id", "pos").agg(
+        F.max(F.when(F.col("side") == 0, F.col("pred"))).alias("pred_img"),
+        F.max(F.when(F.col("side") == 1, F.col("pred"))).alias("pred_txt"),
+        F.sum(F.when(F.col("side") == 0, alpha * F.col("loss")).otherwise((1 - alpha) * F.col("loss"))).alias("loss"),
+    )
+
+
+def inbatch_predictions(
+    pairs: DataFrame, batch_size: int, scale: float = LOGIT_SCALE, alpha: float = 0.5, most: int = ROW_BATCH
+) -> DataFrame:
+    """:func:`batch_predictions` of :func:`inbatch_logits` in one pass: the logits never leave the task.
+
+    Batches of up to ``most`` pairs travel as one row each, larger ones in
+    tiles of that many pairs a side, with the same result: predictions take the
+    first best position, up to rounding of equal logits.
+    """
+    if batch_size > most:
+        return _tiled_predictions(pairs, batch_size, scale, alpha, most)
     packed = _packed(pairs, batch_size)
     factor = float(np.exp(scale))
     kind = packed.schema["batch_id"].dataType.simpleString()

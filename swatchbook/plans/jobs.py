@@ -12,7 +12,7 @@ from swatchbook.functions.text import template_by_seed
 from swatchbook.functions.vectors import LOGIT_SCALE
 from swatchbook.operators import catalog
 from swatchbook.operators.evaluation import eval_report
-from swatchbook.operators.similarity import inbatch_predictions
+from swatchbook.operators.similarity import ROW_BATCH, inbatch_predictions
 from swatchbook.operators.tokenizer import tokenize_table
 from swatchbook.operators.training_set import pair, split_by_hash
 from swatchbook.sources.tables import write_training_set
@@ -103,9 +103,14 @@ def _labelled(texts: DataFrame, images: DataFrame, key_type: str) -> tuple[DataF
 
 
 def evaluate(
-    pairs: DataFrame, batch_size: int, scale: float = LOGIT_SCALE, max_batches: int | None = None, alpha: float = 0.5
+    pairs: DataFrame,
+    batch_size: int,
+    scale: float = LOGIT_SCALE,
+    max_batches: int | None = None,
+    alpha: float = 0.5,
+    most: int = ROW_BATCH,
 ) -> DataFrame:
-    """The evaluation record of batched pairs of unit vectors."""
+    """The evaluation record of batched pairs of unit vectors, of batches of any size (:func:`inbatch_predictions`)."""
     if max_batches is not None:
         pairs = pairs.filter(F.col("batch_id") < max_batches)
-    return eval_report(inbatch_predictions(pairs, batch_size, scale, alpha))
+    return eval_report(inbatch_predictions(pairs, batch_size, scale, alpha, most))

@@ -557,3 +557,4 @@ ORACLE: dict[str, str] = {
         WHERE abs(hash) % 16 < 14)""",
 }
 ORACLE["eval_report_dealt"] = ORACLE["eval_report"]
+ORACLE["eval_report_tiles"] = ORACLE["eval_report"]

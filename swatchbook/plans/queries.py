@@ -728,6 +728,13 @@ def eval_report_dealt(spark, sf):
     return report.select(*[F.round(c, 6).alias(c) for c in report.columns])
 
 
+@query
+def eval_report_tiles(spark, sf):
+    """Batches that are scored in tiles of seven pairs."""
+    report = jobs.evaluate(_pairs(spark, sf), BATCH, most=7)
+    return report.select(*[F.round(c, 6).alias(c) for c in report.columns])
+
+
 @query
 def eval_report_steps(spark, sf):
     report = jobs.evaluate(_pairs(spark, sf), BATCH, max_batches=3)

@@ -166,6 +166,42 @@ def test_loss_of_single_rows_is_zero_and_steps_are_limited(spark):
     assert report == pytest.approx(numpy_report(images[:16], texts[:16], 8), abs=1e-9)
 
 
+@pytest.mark.parametrize(("n", "batch", "tile"), [(40, 40, 6), (83, 40, 6), (21, 9, 3), (7, 7, 1)])
+def test_batches_in_tiles(spark, n, batch, tile):
+    """A batch in seven tiles, short last tiles and short last batches: the same predictions and loss as in one row."""
+    rng = np.random.default_rng(8)
+    images = rng.normal(size=(n, 6))
+    texts = images + 0.8 * rng.normal(size=(n, 6))
+    df = pairs(spark, images, texts, batch)
+    key = lambda r: (r.batch_id, r.pos)
+    whole = sorted(similarity.inbatch_predictions(df, batch).collect(), key=key)
+    tiled = sorted(similarity.inbatch_predictions(df, batch, most=tile).collect(), key=key)
+    assert [(*key(r), r.pred_img, r.pred_txt) for r in tiled] == [(*key(r), r.pred_img, r.pred_txt) for r in whole]
+    assert [r.loss for r in tiled] == pytest.approx([r.loss for r in whole], abs=1e-9)
+    report = jobs.evaluate(df, batch, most=tile).first().asDict()
+    assert report == pytest.approx(numpy_report(images, texts, batch), abs=1e-9)
+
+
+def test_tiles_with_large_logits_and_ties(spark):
+    """Logits of thousands do not overflow, and among equal ones the first position wins across tiles."""
+    same = np.ones((12, 4)) * 100
+    df = spark.createDataFrame([(0, i, u.tolist(), u.tolist()) for i, u in enumerate(same)], "batch_id bigint, pos int, img array<double>, txt array<double>")
+    rows = similarity.inbatch_predictions(df, 12, most=5).collect()
+    assert {(r.pred_img, r.pred_txt) for r in rows} == {(0, 0)}
+    assert all(r.loss == pytest.approx(np.log(12)) for r in rows)
+
+
+@pytest.mark.parametrize(
+    ("change", "reason"),
+    [("pos + 1", "missing in batch"), ("CASE WHEN pos = 3 THEN 2 ELSE pos END", "given twice"), ("pos + 20", "outside the batch")],
+)
+def test_positions_are_checked_in_tiles(spark, change, reason):
+    rng = np.random.default_rng(9)
+    df = pairs(spark, *rng.normal(size=(2, 8, 3)), 8).withColumn("pos", F.expr(change))
+    with pytest.raises(Exception, match=reason):
+        similarity.inbatch_predictions(df, 16, most=3).collect()
+
+
 def test_a_position_outside_the_batch_is_an_error(spark):
     rng = np.random.default_rng(7)
     images, texts = rng.normal(size=(2, 4, 3))
