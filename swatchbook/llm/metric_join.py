@@ -9,12 +9,13 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from swatchbook.cluster import written
 from swatchbook.llm.components import components
 
-# Cells are made around one sampled vector per so many, at most MAX_PIVOTS of
-# them; the choice changes the work, never the links.
+# Cells of a label are made around one sampled vector per so many, at most
+# MAX_PIVOTS in all; the choice changes the work, never the links.
 CELL_ROWS = 4096
 MAX_PIVOTS = 1024
 # Rows on either side of one task's comparison.
@@ -38,35 +39,49 @@ def _unit(arrays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, good
 
 
-def _dealing(pivots: np.ndarray, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows for the home cell and for lower-numbered cells that lie within ``reach``.
+def _dealing(pivots: dict, reach: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows for the home cell and for lower-numbered cells of their label that lie within ``reach``.
 
+    ``pivots`` has the pivots of each label; a label without any is one cell.
     A vector y of cell j can only be near a vector x of cell i if y is near the
     plane between the two pivots, as x lies on the other side of it; by the
     triangle inequality that distance is (|y pi|^2 - |y pj|^2) / (2 |pi pj|).
     """
-    gaps = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+
+    def cells_of(units: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(row, cell, home, far)`` of every copy of the rows."""
+        width = max(units.shape[1], own.shape[1])
+        units, own = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (units, own))
+        gaps = np.sqrt(np.maximum(2 - 2 * own @ own.T, 0))
+        square = 2 - 2 * units @ own.T
+        home = square.argmin(axis=1)
+        nearest = square[np.arange(len(home)), home][:, None]
+        near = square - nearest <= 2 * (reach + SLACK) * gaps[home] + SLACK
+        near &= np.arange(len(own))[None, :] <= home[:, None]
+        near[np.arange(len(home)), home] = True
+        row, cell = np.nonzero(near)
+        return row, cell, cell == home[row], np.sqrt(np.maximum(square[row, cell], 0))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             units, _ = _unit(batch.column(2).to_numpy(zero_copy_only=False))
-            width = max(units.shape[1], pivots.shape[1])
-            units = np.pad(units, ((0, 0), (0, width - units.shape[1])))
-            square = 2 - 2 * units @ np.pad(pivots, ((0, 0), (0, width - pivots.shape[1]))).T
-            home = square.argmin(axis=1)
-            own = square[np.arange(len(home)), home][:, None]
-            near = square - own <= 2 * (reach + SLACK) * gaps[home] + SLACK
-            near &= np.arange(len(pivots))[None, :] <= home[:, None]
-            near[np.arange(len(home)), home] = True
-            row, cell = np.nonzero(near)
-            far = np.sqrt(np.maximum(square[row, cell], 0))
+            labels = batch.column(1).dictionary_encode()
+            names, number = labels.dictionary.to_pylist(), labels.indices.to_numpy(zero_copy_only=False)
+            bare = np.flatnonzero(~np.isin(number, [n for n, name in enumerate(names) if name in pivots]))
+            parts = [(bare, np.zeros(len(bare), np.int64), np.ones(len(bare), bool), np.zeros(len(bare)))]
+            for n, name in enumerate(names):
+                if name in pivots:
+                    rows = np.flatnonzero(number == n)
+                    row, *rest = cells_of(units[rows], pivots[name])
+                    parts.append((rows[row], *rest))
+            row, cell, home, far = (np.concatenate(x) for x in zip(*parts, strict=True))
             data = [u.tobytes() for u in units]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(row)),
                     batch.column(1).take(pa.array(row)),
                     pa.array(cell, type=pa.int32()),
-                    pa.array(cell == home[row]),
+                    pa.array(home),
                     pa.array(far, type=pa.float64()),
                     batch.column(3).take(pa.array(row)),
                     pa.array([data[r] for r in row], type=pa.binary()),
@@ -77,6 +92,19 @@ def _dealing(pivots: np.ndarray, reach: float) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
+def _pivots(distinct: DataFrame, total: int) -> dict:
+    """Sampled unit vectors of every label that fills two cells or more, one per cell; ``MAX_PIVOTS`` in all at most."""
+    cell = max(CELL_ROWS, -(-total // MAX_PIVOTS))
+    sizes = distinct.groupBy("_label").agg(F.count("*").alias("_n")).filter(F.col("_n") >= 2 * cell)
+    # One row per label of two cells, so half as many as pivots at most.
+    wanted = F.broadcast(sizes.withColumn("_wanted", F.expr(f"_n div {cell}")))
+    # A few times as many as are wanted, by hash, and of these the first.
+    drawn = distinct.join(wanted, "_label").filter(F.pmod(F.xxhash64("_id"), F.col("_n")) < 4 * F.col("_wanted"))
+    order = Window.partitionBy("_label").orderBy(F.xxhash64("_id", F.lit(1)), "_id")
+    sample = drawn.withColumn("_rank", F.row_number().over(order)).filter("_rank <= _wanted").select("_label", "_v").toPandas()
+    return {label: _unit(rows["_v"].to_numpy())[0] for label, rows in sample.groupby("_label")}
+
+
 def _linked(left: np.ndarray, right: np.ndarray, cosine: float) -> np.ndarray:
     return left @ right.T >= cosine
 
@@ -137,7 +165,7 @@ def near_vectors(
     that repeat an id share one component and each count their own links, and other columns are not read.
 
     Equal vectors of a label are compared once, as one row with its number of
-    copies. Vectors go to the cell of the nearest pivot and, by the triangle
+    copies. Vectors go to the cell of the nearest pivot of their label and, by the triangle
     inequality, to each lower cell that a neighbour of theirs can lie in, so
     a pair meets in exactly one cell. A large cell is cut into blocks, and
     every pair of blocks is a task of its own with at most two blocks of rows.
@@ -169,9 +197,7 @@ def near_vectors(
             F.col("_id").alias("component_id"),
             F.lit(True).alias("kept"),
         )
-    wanted = min(MAX_PIVOTS, max(1, total // CELL_ROWS))
-    sample = distinct.select("_id", "_v").orderBy(F.xxhash64("_id"), "_id").limit(wanted).toPandas()
-    pivots, _ = _unit(sample["_v"].to_numpy())
+    pivots = _pivots(distinct, total)
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
     kind = vectors.schema[label_col].dataType.simpleString()
     dealt = written(

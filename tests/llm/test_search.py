@@ -101,6 +101,39 @@ def test_top_k_large_numbers_and_nothing(spark):
     assert topk.top_k(vectors.limit(0), vectors, k=5).collect() == []
 
 
+def test_top_k_refuses_what_does_not_fit(spark):
+    from pyspark.sql import functions as F
+
+    big = spark.createDataFrame([(0, [3 * 10**9, 0]), (1, [4 * 10**9, 5])], "vec_id bigint, vector array<bigint>")
+    with pytest.raises(Exception, match="exceeds 64 bits"):
+        topk.top_k(big, big.filter("vec_id = 0"), k=1).collect()
+    with pytest.raises(Exception, match="too large for 64 bits"):
+        table(spark, [AWKWARD[7]]).select(topk.quantised(F.col("embedding"), 64)).collect()
+    # Bounds beyond 64 bits do not turn around.
+    assert topk._bounds(np.array([[2**62, 1]]), np.array([[3, 0], [-3, 0]]), np.array([[3, 0], [-3, 0]])).tolist() == [[2**63 - 1, 1 - 2**63]]
+
+
+def test_pivots_of_a_label_concern_that_label_only(spark, monkeypatch):
+    """Ten labels of 60 vectors and 50 of one each: a copy per vector where a label is one cell, few where it is not."""
+    rng = np.random.default_rng(4)
+    rows = [(n, rng.normal(size=16).tolist(), n % 10) for n in range(600)] + [(5000 + n, rng.normal(size=16).tolist(), 100 + n) for n in range(50)]
+    copies = {}
+    real = metric_join.written
+    for cell in (4096, 12):
+        monkeypatch.setattr(metric_join, "CELL_ROWS", cell)
+        monkeypatch.setattr(metric_join, "written", lambda df, name, c=cell: _counted(real(df, name), name, c, copies))
+        got = {r[0]: tuple(r)[1:] for r in metric_join.near_vectors(table(spark, rows), 0.93).collect()}
+        assert got == brute_links(rows, 0.93)
+    # Pivots over all labels would give each vector about 25 copies for 54 cells of noise; here a label has five.
+    assert copies[4096] == 650 and 650 < copies[12] < 4 * 650
+
+
+def _counted(df, name, cell, copies):
+    if name == "cells":
+        copies[cell] = df.count()
+    return df
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = np.random.default_rng(seed)
