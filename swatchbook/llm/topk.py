@@ -25,11 +25,18 @@ MAX_PIVOTS = 1024
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """``floor(scale * x)`` of each component as bigint; null unless all components are finite numbers."""
+    """``floor(scale * x)`` of each component as bigint; null unless all components are finite numbers.
+
+    A finite component whose result exceeds 64 bits ends the job with the reason.
+    """
     whole = F.forall(
         vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf")))
     )
-    return F.when(whole, F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double"))))
+    return F.when(whole, F.transform(vector, lambda x: _whole(F.lit(float(scale)) * x.cast("double"))))
+
+
+def _whole(x: Column) -> Column:
+    return F.when(F.abs(x) < 2.0**63, F.floor(x)).otherwise(F.raise_error(F.lit("component too large for 64 bits")))
 
 
 def _matrix(rows: list[np.ndarray], width: int) -> np.ndarray:
@@ -44,17 +51,35 @@ def _widen(matrix: np.ndarray, width: int) -> np.ndarray:
     return np.pad(matrix, ((0, 0), (0, width - matrix.shape[1]))) if matrix.shape[1] < width else matrix
 
 
+MOST = (1 << 63) - 1
+
+
+def _largest(left: np.ndarray, right: np.ndarray) -> float:
+    """No inner product of the rows is further from zero."""
+    most = [max(float(m.max(initial=0)), -float(m.min(initial=0))) for m in (left, right)]
+    return most[0] * most[1] * max(1, left.shape[1])
+
+
 def _products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """``left @ right.T`` in whole numbers; by floating point where that is exact."""
-    top = float(np.abs(left).max(initial=0)) * float(np.abs(right).max(initial=0)) * max(1, left.shape[1])
+    """``left @ right.T`` in whole numbers; by floating point where that is exact, by large integers where 64 bits may not do."""
+    top = _largest(left, right)
     if top < 2.0**53:
         return (left.astype(np.float64) @ right.astype(np.float64).T).astype(np.int64)
-    return left @ right.T
+    return left @ right.T if top < 2.0**62 else left.astype(object) @ right.T.astype(object)
+
+
+def _scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The inner products; one beyond 64 bits is refused."""
+    found = _products(left, right)
+    if found.dtype == object and found.size and max(found.max(), -found.min()) > MOST:
+        raise OverflowError("components too large: an inner product exceeds 64 bits")
+    return found.astype(np.int64)
 
 
 def _bounds(queries: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    """The summed term maxima: no row between ``low`` and ``high`` scores more with a query."""
-    return _products(np.maximum(queries, 0), high) + _products(np.minimum(queries, 0), low)
+    """The summed term maxima: no row between ``low`` and ``high`` scores more with a query, as far as 64 bits go."""
+    found = _products(np.maximum(queries, 0), high) + _products(np.minimum(queries, 0), low)
+    return np.clip(found, -MOST, MOST).astype(np.int64) if found.dtype == object else found
 
 
 def _assigning(pivots: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -162,7 +187,7 @@ def _scan(queries: np.ndarray, qids: np.ndarray, floors: np.ndarray, ids: np.nda
     high, low = np.maximum.reduceat(rows, starts, axis=0), np.minimum.reduceat(rows, starts, axis=0)
     bounds = _bounds(queries, high, low)
     order = np.argsort(-bounds, axis=1, kind="stable")
-    exact = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * max(1, width) < 2.0**53
+    exact = _largest(queries, rows) < 2.0**53
     typed = rows.astype(np.float64) if exact else rows
     for n, query in enumerate(queries.astype(typed.dtype)):
         ranked, places, scores = bounds[n, order[n]], [], []
@@ -173,7 +198,7 @@ def _scan(queries: np.ndarray, qids: np.ndarray, floors: np.ndarray, ids: np.nda
             place = (blocks[:, None] * BLOCK_ROWS + np.arange(BLOCK_ROWS)).ravel()
             place = place[place < len(rows)]
             place = place[ids[place] != qids[n]]
-            score = (typed[place] @ query).astype(np.int64)
+            score = (typed[place] @ query).astype(np.int64) if exact else _scores(typed[place], query[None, :])[:, 0]
             places.append(place)
             scores.append(score)
             best = np.concatenate([best, score])
@@ -240,7 +265,8 @@ def top_k(
     give fewer. Rows with a null id or vector take no part, a null component
     is not allowed, a component that a shorter vector lacks counts as zero.
     Rows that repeat an id are candidates each; a repeated query is asked once.
-    Other columns are not read, empty tables give an empty result.
+    Other columns are not read, empty tables give an empty result. An inner
+    product beyond 64 bits ends the job with the reason.
 
     The rows are dealt to shards of similar rows, each with a forward index in
     blocks. A query first looks at the shard of its highest bound; the k-th
