@@ -865,7 +865,8 @@ def _tokenized_products(spark, sf):
 @query
 def train_batches(spark, sf):
     """The whole way: described and tokenised products, paired with tensors, split, and dealt into batches."""
-    tokens = _tokenized_products(spark, sf)
+    # Read several times below; encoded once.
+    tokens = written(_tokenized_products(spark, sf), "tokens")
     sides = _embeddings(spark, sf).select(
         F.col("vec_id").cast("string").alias("product_id"),
         tensors.npy_encode(F.col("embedding"), (64,)).alias("img_array"),
