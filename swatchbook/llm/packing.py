@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from swatchbook.cluster import written
 from swatchbook.llm import workers
-from swatchbook.llm.token_counts import byte_symbols, portions
+from swatchbook.llm.token_counts import portions
+from swatchbook.sources.merges import byte_symbols
 
 # Pieces packed together. Each group leaves one sequence open at most.
 GROUP_PIECES = 4096
@@ -49,7 +50,7 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec["added_tokens"]]
-        byte_of = {c: b for b, c in enumerate(byte_symbols())}
+        byte_of = {c: b for b, c in byte_symbols()}
         vocab = {t: n for t, n in spec["model"]["vocab"].items() if t not in self.special}
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         made = [vocab[a + b] for a, b in merges]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 import json
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -12,16 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swatchbook.llm import pretokens, workers
+from swatchbook.sources.merges import byte_symbols
 
 # Texts whose pieces are held at once.
 BATCH_CHARS = 4 << 20
+# Strings of more bytes are not rewritten for every rank.
+LONG = 512
 
 
-def byte_symbols() -> list[str]:
-    """The printable character of each byte in a byte-level vocabulary (a fixed rule)."""
-    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    others = {b: 256 + n for n, b in enumerate(sorted(set(range(256)).difference(printable)))}
-    return [chr(others.get(b, b)) for b in range(256)]
+def _every_second(overlaps: np.ndarray) -> np.ndarray:
+    """Which occurrences count: in a run of overlapping ones the first, the third and so on.
+
+    ``overlaps`` says of each occurrence but the last whether the next one begins inside it.
+    """
+    place = np.arange(len(overlaps) + 1)
+    first = np.r_[True, ~overlaps]
+    return (place - np.maximum.accumulate(np.where(first, place, 0))) % 2 == 0
 
 
 class RankMerger:
@@ -30,7 +38,12 @@ class RankMerger:
     All symbols lie in one flat array. Each round looks up the rank of every
     neighbouring pair, finds the lowest one of each string, and replaces all
     its occurrences in that string, from the left where they overlap. Strings
-    without a pair to merge leave the arrays.
+    without a pair to merge leave the arrays. Long strings are linked instead,
+    and the places of every rank kept, so that a rank costs only what it merges.
+
+    A merge must rank above those that make its two parts, as in every trained
+    list; another order is refused, for there all occurrences of a pair cannot
+    be merged at once.
     """
 
     def __init__(self, path: str):
@@ -38,13 +51,18 @@ class RankMerger:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
-        self.base = np.array([vocab[c] for c in byte_symbols()], dtype=np.int64)
+        symbols = dict(byte_symbols())
+        self.base = np.array([vocab[symbols[b]] for b in range(256)], dtype=np.int64)
         pairs = [(m if isinstance(m, list) else m.split(" ")) for m in spec["model"]["merges"]]
         self.width = max(vocab.values()) + 1
         code = np.array([vocab[a] * self.width + vocab[b] for a, b in pairs], dtype=np.int64)
         order = np.argsort(code, kind="stable")
         self.code, self.rank = code[order], order
         self.made = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        maker = np.full(self.width, -1, dtype=np.int64)
+        np.maximum.at(maker, self.made, np.arange(len(pairs)))
+        if (np.maximum(maker[code // self.width], maker[code % self.width]) >= np.arange(len(pairs))).any():
+            raise ValueError(f"{path}: a merge ranks below one that makes its parts")
         # A bitmap of the hashed pairs spares most of the searches for pairs that are no merge.
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self._slot(code)] = True
@@ -67,7 +85,10 @@ class RankMerger:
         result = np.zeros(len(strings), dtype=np.int64)
         lengths = np.fromiter(map(len, strings), dtype=np.int64, count=len(strings))
         result[lengths == 1] = 1
-        ids = np.flatnonzero(lengths > 1)
+        long = np.flatnonzero(lengths > LONG)
+        if len(long):
+            result[long] = self._linked([strings[i] for i in long], lengths[long])
+        ids = np.flatnonzero((lengths > 1) & (lengths <= LONG))
         if not len(ids):
             return result
         symbols = self.base[np.frombuffer(b"".join(strings[i] for i in ids), dtype=np.uint8)]
@@ -89,11 +110,7 @@ class RankMerger:
                     break
             merge = ranks == np.repeat(lowest, lengths)
             at = np.flatnonzero(merge)
-            # In a run of overlapping occurrences every second one counts.
-            first = np.ones(len(at), dtype=bool)
-            first[1:] = np.diff(at) > 1
-            run = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
-            at = at[(np.arange(len(at)) - run) % 2 == 0]
+            at = at[_every_second(np.diff(at) == 1)]
             symbols[at] = self.made[ranks[at]]
             kept = np.ones(len(symbols), dtype=bool)
             kept[at + 1] = False
@@ -101,6 +118,56 @@ class RankMerger:
             lengths = np.add.reduceat(kept.astype(np.int64), np.cumsum(lengths) - lengths)
         return result
 
+    def _linked(self, strings: list[bytes], lengths: np.ndarray) -> np.ndarray:
+        """The counts of long strings, rank by rank in all of them at once."""
+        symbols = self.base[np.frombuffer(b"".join(strings), dtype=np.uint8)]
+        ends = np.cumsum(lengths)
+        after = np.arange(1, len(symbols) + 1)
+        before = after - 2
+        after[ends - 1] = before[ends - lengths] = -1
+        none = len(self.made)
+        ranks = np.full(len(symbols), none, dtype=np.int64)
+        places: dict[int, list[np.ndarray]] = defaultdict(list)
+        ready: list[int] = []
+
+        def rank(at: np.ndarray) -> None:
+            """Look up the pairs that begin at ``at`` and keep their places by rank."""
+            ranks[at] = none
+            paired = at[after[at] >= 0]
+            found = self._ranks(symbols[paired], symbols[after[paired]])
+            ranks[paired] = found
+            mergeable = found < none
+            paired, found = paired[mergeable], found[mergeable]
+            order = np.argsort(found, kind="stable")
+            paired, found = paired[order], found[order]
+            cuts = np.flatnonzero(np.diff(found)) + 1
+            for group, value in zip(np.split(paired, cuts), found[np.r_[0, cuts]].tolist() if len(found) else (), strict=False):
+                if value not in places:
+                    heapq.heappush(ready, value)
+                places[value].append(group)
+
+        rank(np.arange(len(symbols)))
+        gone = np.zeros(len(symbols), dtype=bool)
+        while ready:
+            value = heapq.heappop(ready)
+            parts = places.pop(value)
+            at = parts[0] if len(parts) == 1 else np.sort(np.concatenate(parts))
+            at = at[ranks[at] == value]  # the others have changed since
+            if not len(at):
+                continue
+            at = at[_every_second(after[at[:-1]] == at[1:])]
+            right = after[at]
+            symbols[at] = self.made[value]
+            gone[right] = True
+            ranks[right] = none
+            behind = after[right]
+            after[at] = behind
+            inside = behind >= 0
+            before[behind[inside]] = at[inside]
+            previous = before[at]
+            rank(np.unique(np.concatenate([at, previous[previous >= 0]])))
+        return np.add.reduceat((~gone).astype(np.int64), ends - lengths)
+
 
 class TokenCounter:
     """Counts the tokens of texts; remembers the pieces that it has met."""
@@ -184,7 +251,8 @@ def count_tokens(
     ``path`` is a byte-level BPE file of the tokenizers library that every
     executor can open. Counts equal that library's without added begin or end
     tokens; strings of special tokens inside a text count as that token. A
-    null text counts as empty: 0 bytes, 0 tokens. Repeated rows stay, null ids
+    null text counts as empty: 0 bytes, 0 tokens. A word of megabytes takes
+    seconds, as the work of a merge is that of its occurrences. Repeated rows stay, null ids
     stay, an empty table gives an empty one, other columns are not read.
     The job is one map over the rows: no shuffle, and memory is bounded by an
     Arrow batch and the remembered pieces.

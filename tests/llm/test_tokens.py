@@ -34,6 +34,37 @@ def test_counts_equal_the_library(library, texts):
     assert token_counts.TokenCounter(vocabulary()).count(texts) == expected
 
 
+def test_counts_of_long_words(library):
+    rng = random.Random(7)
+    words = ["".join(rng.choices(letters, k=rng.randint(400, 1500))) for letters in ("ab", "aab", "abcdefgh", "é日x") for _ in range(40)]
+    words += ["".join(rng.choices("ABCDEFabcdef0123456789", k=1 << 20)), "a" * 100_001, "the" * 30_000, "x", ""]
+    expected = [len(e.ids) for e in library.encode_batch(words, add_special_tokens=False)]
+    assert token_counts.TokenCounter(vocabulary()).count(words) == expected
+
+
+def test_linked_strings_equal_the_ragged_ones(monkeypatch, texts):
+    merger = token_counts.RankMerger(vocabulary())
+    strings = [t.encode() for t in texts[:500]] + [b"a" * n for n in range(20)]
+    ragged = merger.counts(strings).tolist()
+    monkeypatch.setattr(token_counts, "LONG", 1)
+    assert merger.counts(strings).tolist() == ragged
+
+
+def test_merges_below_their_parts_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(vocabulary()).read())
+    spec["model"]["merges"].reverse()
+    path = tmp_path / "reversed.json"
+    path.write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="ranks below"):
+        token_counts.RankMerger(str(path))
+
+
+def test_count_tokens_of_an_empty_table(docs):
+    assert token_counts.count_tokens(docs.filter("false"), vocabulary(), limit=5).collect() == []
+
+
 def test_ids_equal_the_library(library, texts):
     expected = [np.array(e.ids, dtype="<u4").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
     encoder = packing.Encoder(vocabulary())
