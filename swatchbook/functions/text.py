@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import html
+import json
 import string
+import zlib
 from collections.abc import Callable
+from html import entities
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Fixed values.
 TOKEN_PATTERN = (
@@ -40,14 +41,74 @@ def squeeze(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s{2,}|[^\S ]", " ")
 
 
-@F.pandas_udf(StringType())
-def _unescape_twice(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: html.unescape(html.unescape(t)), na_action="ignore")
+# A character reference: a number, or up to 32 characters that could be a name.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+REPLACEMENT = "\ufffd"
+# Parts of the table of references, so that a look-up compares a handful of keys.
+SLOTS = 512
+
+
+def _reference_table() -> Column:
+    """The strings of all names, and of the numbers that are not their own code point, as a literal.
+
+    Made from the standard library; a key lies in the slot of its CRC-32.
+    """
+    odd = [*range(0xA0), *range(0xFDD0, 0xFDF0), *(p << 16 | end for p in range(17) for end in (0xFFFE, 0xFFFF))]
+    strings = dict(entities.html5)
+    strings |= {f"#{n}": html.unescape(f"&#{n};") for n in odd if html.unescape(f"&#{n};") != chr(n)}
+    slots: list[dict[str, str]] = [{} for _ in range(SLOTS)]
+    for key, value in strings.items():
+        slots[zlib.crc32(key.encode()) % SLOTS][key] = value
+    # Constant, so it is parsed once, when the query is planned.
+    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>")
+
+
+def _in_table(table: Column, key: Column) -> Column:
+    return F.try_element_at(F.get(table, F.pmod(F.crc32(F.encode(key, "UTF-8")), F.lit(SLOTS)).cast("int")), key)
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; the byte-order mark in front is not part of it."""
+    point = F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.lpad(F.hex(code), 8, "0"))), "UTF-32")
+    return F.when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), REPLACEMENT).otherwise(point)
+
+
+def _code_point(name: Column) -> Column:
+    """The number of ``#65;`` or ``#x41;``; above all code points if it has too many digits."""
+    digits = lambda start: F.regexp_extract(name, f"^{start}0*([0-9a-fA-F]*)", 1)
+    number = lambda d, base: F.when(F.length(d) > 7, F.lit(0x110000).cast("bigint")).otherwise(
+        F.conv(F.concat(F.lit("0"), d), base, 10).cast("bigint")
+    )
+    return F.when(name.rlike("^#[xX]"), number(digits("#[xX]"), 16)).otherwise(number(digits("#"), 10))
+
+
+def _resolved(reference: Column, table: Column) -> Column:
+    """What a reference stands for: by number, by name, or by the longest old name that it begins with."""
+    name = F.substr(reference, F.lit(2))
+    code = _code_point(name)
+    by_number = F.coalesce(_in_table(table, F.concat(F.lit("#"), code.cast("string"))), _character(code))
+    # Names that count without their semicolon, longest first.
+    old = sorted((n for n in entities.html5 if not n.endswith(";")), key=len, reverse=True)
+    begin = F.regexp_extract(name, f"^(?:{'|'.join(old)})", 0)
+    by_begin = F.when(begin == "", reference).otherwise(
+        F.concat(_in_table(table, begin), F.substr(name, F.length(begin) + 1))
+    )
+    return F.when(name.startswith("#"), by_number).otherwise(F.coalesce(_in_table(table, name), by_begin))
 
 
 def unescape(text: Column) -> Column:
-    """Resolve HTML character references, twice. Texts without ``&`` skip Python."""
-    return F.coalesce(_unescape_twice(F.when(text.contains("&"), text)), text)
+    """Resolve HTML character references, twice, as ``html.unescape`` does; null stays null."""
+    table = _reference_table()
+
+    def once(t: Column) -> Column:
+        between = F.split(t, REFERENCE, -1)
+        found = F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0))
+        pieces = F.zip_with(between, found, lambda b, r: F.concat(b, F.coalesce(_resolved(r, table), F.lit(""))))
+        return F.when(t.contains("&"), F.array_join(pieces, "")).otherwise(t)
+
+    # An array of one text, so that its pieces come from a value and not from the expression again.
+    twice = F.transform(F.transform(F.array(text), once), once)
+    return F.when(text.contains("&"), F.element_at(twice, 1)).otherwise(text)
 
 
 def clean_text(text: Column, repair: Callable[[Column], Column] | None = None) -> Column:

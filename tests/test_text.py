@@ -1,4 +1,5 @@
 import html
+import html.entities
 
 import pandas as pd
 import pytest
@@ -79,6 +80,45 @@ def test_the_mark_with_a_letter_for_its_upper_case(spark, t):
     assert df.select(text.pretokenize(F.col("t"))).first()[0] == regex.findall(PATTERN, t)
 
 
+def unescaped(spark, texts):
+    df = spark.createDataFrame(pd.DataFrame({"i": range(len(texts)), "t": texts}))
+    rows = df.select("i", text.unescape(F.col("t")).alias("u")).toPandas().sort_values("i")
+    return rows["u"].tolist()
+
+
+def twice(t):
+    return html.unescape(html.unescape(t))
+
+
+def test_references_by_name(spark):
+    names = sorted(html.entities.html5)
+    texts = [form.format(n) for n in names for form in ("&{}", "a&{}b", "&amp;{}", "&amp;amp;{} x", "&{0}&{0}")]
+    texts += [f"&{n[:-1]}q;" for n in names] + [f"&{n[:-2]};" for n in names if len(n) > 3]
+    assert unescaped(spark, texts) == [twice(t) for t in texts]
+
+
+def test_references_by_number(spark):
+    codes = [*range(0x3000), *range(0xD700, 0xE100), *range(0xFD00, 0x10100), *range(0x10000, 0x110100, 0xFF), *range(0x10FF00, 0x110010)]
+    codes += [p << 16 | end for p in range(18) for end in (0xFFFD, 0xFFFE, 0xFFFF)]
+    texts = [form.format(c) for c in codes for form in ("&#{};", "&#x{:x}", "x&#X00{:X};y", "&amp;#{};", "&#38;#{}")]
+    texts += ["&#" + "9" * 4000 + ";", "&#x" + "f" * 5000, "&#" + "0" * 4000 + "65;", "&#;", "&#x;", "&#", "&", "&&#65&#66;", "&#6 5;", "&#x6g;"]
+    assert unescaped(spark, texts) == [twice(t) for t in texts]
+
+
+@settings(max_examples=5, derandomize=True, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["&", "#", "x", "amp", ";", "lt", "not", "in", "38", "\U0001f600", " ", "\f", "é", "copy", "$1", "\\", "a" * 33]), max_size=12).map("".join), min_size=200, max_size=300))
+def test_references_in_any_order(spark, texts):
+    assert unescaped(spark, texts) == [twice(t) for t in texts]
+
+
+def test_cleaning_needs_no_python(spark, capsys):
+    df = spark.range(3).select(text.clean_text(F.concat(F.lit("&lt;"), F.col("id").cast("string"))).alias("c"))
+    df.explain("extended")
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[1]
+    assert "Python" not in plan and "Pandas" not in plan
+    assert "from_json" not in plan.lower()  # the table is a literal
+
+
 def test_nulls(spark):
     df = spark.createDataFrame([(None,)], "t string")
     assert df.select(text.pretokenize(text.clean_text(F.col("t")))).first()[0] is None
