@@ -9,7 +9,7 @@ import numpy as np
 
 # Entries of all queues of one pass that are held in memory; what is beyond goes to a file.
 HELD = 1 << 22
-# Common prefixes are counted up to this length.
+# Common prefixes are counted up to this length unless a longer one is asked for.
 CAP = 128
 
 
@@ -21,7 +21,8 @@ class BucketQueue:
     Beyond ``held`` entries the queue moves what it holds to an unnamed file.
     """
 
-    def __init__(self, symbols: int, held: int = HELD):
+    def __init__(self, symbols: int, held: int = HELD, kind: type = np.uint8):
+        self.kind = np.dtype(kind)
         self.parts: list[list] = [[] for _ in range(symbols)]
         self.held, self.limit, self.file = 0, held, None
 
@@ -39,7 +40,7 @@ class BucketQueue:
                 if isinstance(part[0], np.ndarray):
                     at = self.file.seek(0, 2)
                     self.file.write(part[0].astype(np.int64).tobytes())
-                    self.file.write(part[1].astype(np.uint8).tobytes())
+                    self.file.write(part[1].astype(self.kind).tobytes())
                     parts[n] = (at, len(part[0]))
         self.held = 0
 
@@ -56,7 +57,7 @@ class BucketQueue:
                 else:
                     self.file.seek(first)
                     positions = np.frombuffer(self.file.read(8 * second), np.int64)
-                    waiting.append((positions, np.frombuffer(self.file.read(second), np.uint8)))
+                    waiting.append((positions, np.frombuffer(self.file.read(self.kind.itemsize * second), self.kind)))
                 size += len(waiting[-1][0])
                 if size >= self.limit:
                     yield _joined(waiting)
@@ -92,9 +93,9 @@ def _range_minima(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
         table = np.minimum(table[:-half], table[half:])
 
 
-def _prefix(text: np.ndarray, a: int, b: int) -> int:
-    """Length of the common prefix of two suffixes, up to ``CAP``."""
-    n = min(CAP, len(text) - max(a, b))
+def _prefix(text: np.ndarray, a: int, b: int, cap: int) -> int:
+    """Length of the common prefix of two suffixes, up to ``cap``."""
+    n = min(cap, len(text) - max(a, b))
     different = np.flatnonzero(text[a : a + n] != text[b : b + n])
     return int(different[0]) if len(different) else n
 
@@ -102,10 +103,10 @@ def _prefix(text: np.ndarray, a: int, b: int) -> int:
 class _Inducer:
     """One direction of induction: reads suffixes in order and pushes the ones before them."""
 
-    def __init__(self, text: np.ndarray, wanted: np.ndarray, queue: BucketQueue, symbols: int):
-        self.text, self.wanted, self.queue = text, wanted, queue
+    def __init__(self, text: np.ndarray, wanted: np.ndarray, queue: BucketQueue, symbols: int, cap: int):
+        self.text, self.wanted, self.queue, self.cap = text, wanted, queue, cap
         # Smallest common prefix among what was read since the last push to a symbol; 0: nothing pushed yet.
-        self.since = np.zeros(symbols, dtype=np.uint8)
+        self.since = np.zeros(symbols, dtype=queue.kind)
 
     def read(self, positions: np.ndarray, common: np.ndarray) -> None:
         """``common[k]``: common prefix of the k-th suffix with the one read before it."""
@@ -121,10 +122,10 @@ class _Inducer:
         start = np.zeros(len(k), dtype=np.int64)
         start[1:] = k[:-1] + 1
         start[fresh] = 0
-        low = _range_minima(common, start, k) if len(k) else np.empty(0, dtype=np.uint8)
+        low = _range_minima(common, start, k) if len(k) else np.empty(0, dtype=self.queue.kind)
         heads = np.flatnonzero(fresh)
         low[heads] = np.minimum(low[heads], self.since[symbol[heads]])
-        pushed = np.minimum(low.astype(np.int64) + 1, CAP).astype(np.uint8)
+        pushed = np.minimum(low.astype(np.int64) + 1, self.cap).astype(self.queue.kind)
         # The first entry of a symbol has nothing before it.
         pushed[heads[self.since[symbol[heads]] == 0]] = np.minimum(pushed[heads[self.since[symbol[heads]] == 0]], 1)
         self.since = np.minimum(self.since, common.min())
@@ -132,7 +133,7 @@ class _Inducer:
         rest = np.minimum.accumulate(common[::-1])[::-1]
         for head, tail in zip(heads.tolist(), tails.tolist(), strict=True):
             at = int(k[tail]) + 1
-            self.since[symbol[head]] = rest[at] if at < len(common) else CAP
+            self.since[symbol[head]] = rest[at] if at < len(common) else self.cap
             self.queue.push(int(symbol[head]), before[head : tail + 1], pushed[head : tail + 1])
 
 
@@ -189,38 +190,41 @@ def _ranks(name: np.ndarray, key: np.ndarray) -> np.ndarray:
     return _dense((name << 32) | key.astype(np.int64))
 
 
-def _star_prefixes(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
-    """Common prefix of each suffix with the one before it, up to ``CAP``; 0 for the first."""
-    out = np.zeros(len(stars), dtype=np.uint8)
+def _star_prefixes(text: np.ndarray, stars: np.ndarray, cap: int, kind: type) -> np.ndarray:
+    """Common prefix of each suffix with the one before it, up to ``cap``; 0 for the first."""
+    out = np.zeros(len(stars), dtype=kind)
     here = np.arange(1, len(stars))
     # Five symbols of ten bits as one number, which a double holds exactly.
-    padded = np.append(text.astype(np.int64) + 1, np.zeros(CAP + 10, dtype=np.int64))
+    padded = np.append(text.astype(np.int64) + 1, np.zeros(cap + 10, dtype=np.int64))
     five = np.zeros(len(padded) - 5, dtype=np.int64)
     for j in range(5):
         five = (five << 10) | padded[j : j + len(five)]
     at = 0
-    while len(here) and at < CAP:
+    while len(here) and at < cap:
         differ = five[stars[here] + at] ^ five[stars[here - 1] + at]
         ended = differ != 0
         bits = np.frexp(differ[ended].astype(np.float64))[1] - 1
-        out[here[ended]] = np.minimum(at + 4 - bits // 10, CAP)
+        out[here[ended]] = np.minimum(at + 4 - bits // 10, cap)
         here = here[~ended]
         at += 5
-    out[here] = CAP
+    out[here] = cap
     return out
 
 
-def suffix_order(text: np.ndarray, depth: int, held: int = HELD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def suffix_order(
+    text: np.ndarray, depth: int, held: int = HELD, cap: int = CAP
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Suffixes in falling order, in parts, with their common prefix with the one before.
 
     ``text`` holds symbols from 1 up; its last symbol must be its smallest.
     Suffixes are ordered by their first ``2 * depth`` symbols at least, and common
-    prefixes counted up to ``CAP``. First the suffixes smaller than both
+    prefixes counted up to ``cap``. First the suffixes smaller than both
     neighbours are sorted; they induce the falling ones, reading all symbols
     upwards, and these induce the rising ones, reading downwards. Both passes
     push through a queue that keeps to ``held`` entries of memory.
     """
     n, symbols = len(text), int(text.max()) + 1
+    kind = np.uint8 if cap < 256 else np.int32
     rising = np.zeros(n, dtype=bool)
     # A run of one symbol rises or falls with what follows it.
     change = np.flatnonzero(text[1:] != text[:-1])
@@ -232,11 +236,11 @@ def suffix_order(text: np.ndarray, depth: int, held: int = HELD) -> Iterator[tup
         rising[change[-1] + 1 : -1] = False
     stars = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
     order = stars[_sorted_stars(text, rising, stars, depth)]
-    common = _star_prefixes(text, order)
+    common = _star_prefixes(text, order, cap, kind)
 
     bounds = np.searchsorted(text[order], np.arange(symbols + 1))
-    queue, fallen = BucketQueue(symbols, held), BucketQueue(symbols, held)
-    inducer = _Inducer(text, ~rising, queue, symbols)
+    queue, fallen = BucketQueue(symbols, held, kind), BucketQueue(symbols, held, kind)
+    inducer = _Inducer(text, ~rising, queue, symbols, cap)
     last = -1
     for c in range(symbols):
         for positions, prefix in queue.pop(c):
@@ -249,13 +253,13 @@ def suffix_order(text: np.ndarray, depth: int, held: int = HELD) -> Iterator[tup
         here = slice(bounds[c], bounds[c + 1])
         if bounds[c] < bounds[c + 1]:
             prefix = common[here].copy()
-            prefix[0] = 0 if last < 0 else _prefix(text, last, int(order[bounds[c]]))
+            prefix[0] = 0 if last < 0 else _prefix(text, last, int(order[bounds[c]]), cap)
             inducer.read(order[here], prefix)
             last = int(order[bounds[c + 1] - 1])
     queue.close()
 
-    queue = BucketQueue(symbols, held)
-    inducer = _Inducer(text, rising, queue, symbols)
+    queue = BucketQueue(symbols, held, kind)
+    inducer = _Inducer(text, rising, queue, symbols, cap)
     last = -1
     for c in range(symbols - 1, -1, -1):
         for positions, prefix in queue.pop(c):
@@ -267,13 +271,13 @@ def suffix_order(text: np.ndarray, depth: int, held: int = HELD) -> Iterator[tup
             last = int(positions[-1])
         for positions, prefix in reversed(list(fallen.pop(c))):
             # Read downwards, a suffix's prefix is the one that the next higher had with it.
-            turned = np.empty(len(prefix), dtype=np.uint8)
+            turned = np.empty(len(prefix), dtype=kind)
             turned[1:] = prefix[:0:-1]
-            turned[0] = 0 if last < 0 else _prefix(text, last, int(positions[-1]))
+            turned[0] = 0 if last < 0 else _prefix(text, last, int(positions[-1]), cap)
             yield positions[::-1], turned
             inducer.read(positions[::-1], turned)
             last = int(positions[0])
     # Nothing stands behind the last symbol, so nothing has induced it.
-    yield np.array([n - 1]), np.zeros(1, dtype=np.uint8)
+    yield np.array([n - 1]), np.zeros(1, dtype=kind)
     queue.close()
     fallen.close()

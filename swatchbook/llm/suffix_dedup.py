@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from swatchbook.cluster import small_side, written
-from swatchbook.llm.induced_sort import suffix_order
+from swatchbook.llm.induced_sort import CAP, suffix_order
 
 # Bytes of the hashed grams that choose the shard of a string.
 GRAM = 32
@@ -21,8 +21,11 @@ GRAM = 32
 PLACES = 1 << 16
 # Text that is sorted together if it is of several keys.
 SORTED_BYTES = 2 << 20
-# Start and number of windows travel as start * NUMBERS + number.
-NUMBERS = 1 << 10
+
+
+def _numbers(length: int) -> int:
+    """Start and number of windows travel as start * this + number; a run has at most ``length`` windows."""
+    return max(1 << 10, 1 << length.bit_length())
 
 
 def _hashes(data: np.ndarray) -> np.ndarray:
@@ -98,7 +101,7 @@ def _running(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                         part.column(0).take(pa.array(owner)),
                         part.column(1).take(pa.array(owner)),
                         pa.array(key.astype(np.int64)),
-                        pa.array(start * NUMBERS + number),
+                        pa.array(start * _numbers(length) + number),
                     ],
                     names=["_id", "_print", "_x", "_at"],
                 )
@@ -120,7 +123,7 @@ def _cutting(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             out: list[tuple[int, int, int, int, bytes | None]] = []
             for doc, text, xs, ats, own, other_print in zip(ids, texts, keys, places, prints, wanted, strict=True):
                 for x, at in zip(xs, ats, strict=True) if own == other_print else ():
-                    start, n = divmod(at, NUMBERS)
+                    start, n = divmod(at, _numbers(length))
                     string, row = text[start : start + n + length - 1], (x, doc, start, n)
                     other = best.get(string)
                     if other is None or (doc, start) < other[1:3]:
@@ -164,7 +167,7 @@ def repeated(strings: list[bytes], numbers: np.ndarray, length: int) -> np.ndarr
         gone[places.min()] = False
         waiting.clear()
 
-    for positions, common in suffix_order(text, depth=length // 2 + 1):
+    for positions, common in suffix_order(text, depth=length // 2 + 1, cap=max(CAP, length)):
         fresh = np.flatnonzero(common < length)
         cuts = np.concatenate([fresh, [len(positions)]])
         if not len(fresh) or fresh[0]:
@@ -346,13 +349,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     0 bytes and nothing removed. A row with a null id takes no part. Rows that
     repeat id and text are one document; of different texts of one id the one
     with the smallest hash takes part, the others stay whole. An empty table
-    gives an empty one, other columns are not read.
+    gives an empty one, other columns are not read. A ``length`` below the
+    ``GRAM`` bytes of a gram, or above half of ``PLACES``, is refused.
 
     A window's shard is chosen by the smallest hash of its grams, so equal
     windows meet; neighbours with one key travel as one string. Keys that come
     up once are left out, equal strings and equal texts are compared once.
     Each shard sorts the suffixes of its strings (see :mod:`induced_sort`).
     """
+    if not GRAM <= length <= PLACES // 2:
+        raise ValueError(f"length must be from {GRAM} to {PLACES // 2}")
     every = _rows(docs, id_col, text_col)
     rows = every.filter("_id IS NOT NULL")
     texts = rows.repartition("_id")

@@ -123,6 +123,23 @@ def test_remove_repeats(spark, monkeypatch):
         assert tuple(r)[1:] == (want[r[0]] if r[0] is not None else (300, 0, 0, hashlib.sha256(b"a" * 300).hexdigest()))
 
 
+@pytest.mark.parametrize("length", [150, 300, 1100])
+def test_remove_repeats_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    passage = "".join(rng.choices("abcdefgh ", k=2 * length))
+    own = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    rows = [(1, own(500) + passage + own(70)), (2, own(30) + passage + own(900)), (3, passage[: length - 1] + own(50)), (4, own(9) + passage[7 : 7 + length])]
+    rows += [(5, "xy" * length), (6, "xy" * (length // 2) + "z" + passage[-length:]), (7, None)]
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), length).collect()}
+    assert got == without_repeats(rows, length)
+
+
+@pytest.mark.parametrize("length", [0, suffix_dedup.GRAM - 1, suffix_dedup.PLACES])
+def test_lengths_that_are_refused(spark, length):
+    with pytest.raises(ValueError, match="length must be"):
+        suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id bigint, text string"), length)
+
+
 def test_remove_repeats_on_documents(sample):
     rows = [tuple(r) for r in sample.select("doc_id", "text").collect()]
     got = {r[0]: tuple(r)[1:] for r in suffix_dedup.remove_repeats(sample, 100).collect()}
