@@ -537,7 +537,9 @@ def search(
     have opened is often out of reach by then. Cells are skipped only when this
     proves them useless; with unclustered vectors all of them are scored.
     Within a cell blocks of ``block`` rows are scored against each other, by
-    default some megabytes.
+    default some megabytes. Tables with rows per query are joined by shuffles
+    only: their files are small for what they hold, as ids and cells repeat,
+    so that Spark would take them for small and send them through the driver.
     """
     asked = queries.select(F.col(query_key).cast("bigint").alias("query_id"), F.col(query_vec).alias("vec")).dropna()
     base = corpus.select(F.col(corpus_key).cast("bigint").alias("id"), F.col(corpus_vec).alias("vec")).dropna()
@@ -568,7 +570,7 @@ def search(
 
     def with_floor(df: DataFrame) -> DataFrame:
         floors = best.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-        return df.join(floors, "query_id", "left")
+        return df.join(floors.hint("merge"), "query_id", "left")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "cell")
     reached = tree.open(with_floor(homed), known).withColumn("place", F.row_number().over(order))
@@ -582,7 +584,8 @@ def search(
         if part.isEmpty():
             break
         opened.append(part)
-        scores = _tile_scores(part.join(homed.select("query_id", "vec"), "query_id"), members, known, k, block)
+        asking = part.join(homed.select("query_id", "vec").hint("merge"), "query_id")
+        scores = _tile_scores(asking, members, known, k, block)
         best = written(_ranked(best.drop("rank").unionByName(scores), k), "best")
         done, upto = upto, GROWTH * upto
     return Search(best, opened, known)

@@ -83,6 +83,27 @@ def test_share_of_scored_pairs(spark, monkeypatch, one_level, most):
         print("share of scored pairs", one_level, round(share, 3))
 
 
+def test_rows_per_query_are_never_broadcast(spark, monkeypatch):
+    """Floors and opened cells are as many as the queries; however small their files are, they travel by shuffles."""
+    rng = np.random.default_rng(10)
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+
+    plain, plain_open, plain_write = similarity._tile_scores, similarity._Tree.open, similarity.written
+    monkeypatch.setattr(similarity, "_tile_scores", lambda queries, *rest: (noted(queries), plain(queries, *rest))[1])
+    monkeypatch.setattr(similarity._Tree, "open", lambda tree, queries, cells: (noted(queries), plain_open(tree, queries, cells))[1])
+    monkeypatch.setattr(similarity, "written", lambda df, label: (label == "round" and noted(df), plain_write(df, label))[1])
+    queries, corpus = rng.normal(size=(40, 8)), rng.normal(size=(200, 8))
+    out = similarity.nearest(table(spark, queries, "query_id"), table(spark, corpus), 3, cells=16)
+    assert found(out) == brute(queries, corpus, 3)
+    # Home cells, floors, and at least one round with its floors.
+    assert len(plans) >= 4
+    assert all("Broadcast" not in plan for plan in plans)
+    assert sum("SortMergeJoin" in plan for plan in plans) >= 3
+
+
 def test_nearest_with_a_third_of_copies(spark):
     rng = np.random.default_rng(3)
     corpus = rng.normal(size=(300, 8))
