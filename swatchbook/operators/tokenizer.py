@@ -1,19 +1,21 @@
 """Byte-pair encoding of a text table.
 
 Cleaning, splitting, framing and decoding are column expressions. Only the
-merge loop of a single word is Python: it runs on the distinct words of an
-Arrow batch and remembers words per worker, so encoding a corpus is one
-map-only stage that shuffles nothing, however often a word occurs.
+merging of words is Python: it runs on the distinct words of an Arrow batch,
+all of them at once in numpy, and remembers words per worker, so encoding a
+corpus is one map-only stage that shuffles nothing, however often a word occurs.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +40,8 @@ from swatchbook.sources.merges import (
 )
 
 REMEMBERED_WORDS = 200_000
+# Words whose merges are looked for at once.
+MERGED_WORDS = 1 << 14
 SHORT_WORD = 64
 NO_RANK = 1 << 30
 
@@ -111,6 +115,21 @@ class WordEncoder:
         self.id_of = {token: i for i, token in token_ids(merges)}
         self.symbol_of = dict(byte_symbols())
         self.known: dict[str, list[int]] = {}
+        self._number_symbols()
+
+    def _number_symbols(self) -> None:
+        """The merge list as arrays over numbered symbols: sorted pairs with their rank and what they make."""
+        plain = [self.symbol_of[b] for b in range(256)]
+        made = [s for left, right in self.rank_of for s in (left, right, left + right)]
+        numbers = {s: i for i, s in enumerate(dict.fromkeys([*plain, *[s + WORD_END for s in plain], *made]))}
+        self.n_symbols = len(numbers)
+        # Parts that no text leads to have no id.
+        self.id_of_number = np.array([self.id_of.get(s, -1) for s in numbers], dtype=np.int32)
+        rows = sorted(
+            (numbers[left] * self.n_symbols + numbers[right], rank, numbers[left + right])
+            for (left, right), rank in self.rank_of.items()
+        )
+        self.pairs, self.ranks, self.makes = np.array(rows or [(-1, NO_RANK, 0)], dtype=np.int64).T.copy()
 
     @property
     def start_id(self) -> int:
@@ -138,6 +157,52 @@ class WordEncoder:
         return found
 
 
+    def ids_of_words(self, words: list[str]) -> list[list[int]]:
+        """Ids of distinct words; those not yet known are merged together, some thousands at a time."""
+        fresh = [w for w in words if 0 < len(w) <= SHORT_WORD and w not in self.known and w not in (START_TOKEN, END_TOKEN)]
+        found: dict[str, list[int]] = {}
+        for at in range(0, len(fresh), MERGED_WORDS):
+            some = fresh[at : at + MERGED_WORDS]
+            found.update(zip(some, self._merged(some), strict=True))
+        ids = [found[w] if w in found else self.word_ids(w) for w in words]
+        if len(self.known) + len(found) > REMEMBERED_WORDS:
+            self.known = {}
+        self.known.update(itertools.islice(found.items(), REMEMBERED_WORDS))
+        return ids
+
+    def _merged(self, words: list[str]) -> list[list[int]]:
+        """:func:`merge_symbols` for many words, a round of all of them at once."""
+        coded = [w.encode("utf-8") for w in words]
+        lengths = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded))
+        symbols = np.frombuffer(b"".join(coded), dtype=np.uint8).astype(np.int64)
+        # The last symbol of a word carries its end.
+        symbols[np.cumsum(lengths) - 1] += 256
+        word = np.repeat(np.arange(len(words)), lengths)
+        done = []
+        while len(symbols):
+            starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            sizes = np.diff(np.append(starts, len(word)))
+            pair = symbols[:-1] * self.n_symbols + symbols[1:]
+            at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            listed = (self.pairs[at] == pair) & (word[1:] == word[:-1])
+            rank = np.append(np.where(listed, self.ranks[at], NO_RANK), NO_RANK)
+            best = np.repeat(np.minimum.reduceat(rank, starts), sizes)
+            going = best < NO_RANK
+            done.append((word[~going], symbols[~going]))
+            places = np.flatnonzero((rank == best) & going)
+            # Places side by side overlap (a a a): from left to right every second one is joined.
+            order = np.arange(len(places))
+            first = np.maximum.accumulate(np.where(np.diff(places, prepend=-2) == 1, 0, order))
+            places = places[(order - first) % 2 == 0]
+            symbols[places] = self.makes[at[places]]
+            going[places + 1] = False
+            symbols, word = symbols[going], word[going]
+        word, symbols = (np.concatenate(parts) for parts in zip(*done, strict=True))
+        ids = self.id_of_number[symbols[np.argsort(word, kind="stable")]].tolist()
+        ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 def word_encoder(merges: DataFrame) -> WordEncoder:
     return WordEncoder(collect_merges(merges))
 
@@ -146,9 +211,9 @@ def _ids_of_lists(encoder: WordEncoder, words: pa.ListArray) -> pa.ListArray:
     """Ids of each list of words, with one look-up per distinct word of the batch."""
     starts = words.offsets.to_numpy()
     coded = words.flatten().dictionary_encode()
-    per_word = [encoder.word_ids(w) for w in coded.dictionary.to_pylist()]
+    per_word = encoder.ids_of_words(coded.dictionary.to_pylist())
     sizes = np.fromiter((len(p) for p in per_word), dtype=np.int64, count=len(per_word))
-    flat = np.fromiter((i for p in per_word for i in p), dtype=np.int32, count=int(sizes.sum()))
+    flat = np.fromiter(itertools.chain.from_iterable(per_word), dtype=np.int32, count=int(sizes.sum()))
     firsts = np.concatenate([[0], np.cumsum(sizes)])
     which = coded.indices.to_numpy()
     lengths = sizes[which]
@@ -184,6 +249,23 @@ def words_of(text: Column, repair: Callable[[Column], Column] | None = None) ->
     return F.coalesce(pretokenize(clean_text(text, repair)), F.array().cast("array<string>"))
 
 
+def chunk_counts(df: DataFrame, text: str, repair: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``(chunk, n)``: how often what stands between two spaces occurs in the cleaned texts, counted per Arrow batch.
+
+    A cleaned text has no white space but spaces, and no word spans one: the
+    words of all chunks, each ``n`` times, are the words of all texts. A chunk
+    has a row for every batch that it occurs in, so sums over it are due.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            chunks = pc.list_flatten(pc.split_pattern(batch.column(0), " "))
+            found = chunks.value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], names=["chunk", "n"])
+
+    return df.select(clean_text(F.col(text), repair).alias("text")).mapInArrow(count, "chunk string, n bigint")
+
+
 def encode_texts(
     df: DataFrame,
     merges: DataFrame,

@@ -333,8 +333,9 @@ def merge_list(spark: SparkSession, sf: str) -> DataFrame:
     """
     known = (spark.sparkContext.applicationId, sf)
     if known not in _MERGE_LISTS:
-        each = _words(spark, sf).select(F.explode_outer("words").alias("word"))
-        words = each.groupBy("word").agg(F.count("*").alias("n"))
+        docs = spread(table(spark, sf, "documents").select("text"))
+        each = tokenizer.chunk_counts(docs, "text").select(F.explode_outer(text.pretokenize(F.col("chunk"))).alias("word"), "n")
+        words = each.groupBy("word").agg(F.sum("n").alias("n"))
         words = written(words.filter(F.col("word").rlike("^[a-z]+$")), "words")
         levels = []
         for level, (a, b) in enumerate(((1, 1), (2, 1), (2, 2)), start=1):
@@ -377,7 +378,7 @@ def bpe_vocab(spark, sf):
 
 
 def _id_text(ids: Column) -> Column:
-    return joined(F.transform(ids, lambda i: i.cast("string")), ",")
+    return joined(ids.cast("array<string>"), ",")
 
 
 @query

@@ -1,9 +1,12 @@
 import gzip
+from collections import Counter
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from swatchbook.functions import text
 from swatchbook.operators import tokenizer
 from swatchbook.sources import merges
 
@@ -36,6 +39,35 @@ def test_merging_equals_brute_force(pairs, word):
     assert tokenizer._merge_long(list(word), rank_of) == want
 
 
+words_of_letters = st.lists(st.text(alphabet="abé'", min_size=1, max_size=30), unique=True, max_size=12)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(pieces, pieces, st.booleans()), unique_by=lambda p: p[:2], max_size=25), words_of_letters)
+def test_merging_many_words_equals_one_by_one(pairs, words):
+    encoder = tokenizer.WordEncoder([(i, a, b + "</w>" * end) for i, (a, b, end) in enumerate(pairs)])
+    want = [[encoder.id_of[s] for s in encoder.word_symbols(w)] for w in words]
+    assert encoder.ids_of_words(words) == want
+    assert encoder.ids_of_words(words) == want
+
+
+def test_many_words_are_merged_together(monkeypatch):
+    """No loop over a single word's symbols, and slices, special, long and forgotten words change nothing."""
+    encoder = tokenizer.WordEncoder([(0, "a", "a"), (1, "aa", "a</w>"), (2, "aa", "aa")])
+    words = ["a" * n for n in range(1, 65)] + ["b", "<|endoftext|>", "x" * 65]
+    want = [[encoder.id_of[s] for s in encoder.word_symbols(w)] for w in words]
+    alone = []
+    plain = tokenizer.merge_symbols
+    monkeypatch.setattr(tokenizer, "MERGED_WORDS", 7)
+    monkeypatch.setattr(tokenizer, "REMEMBERED_WORDS", 30)
+    monkeypatch.setattr(tokenizer, "merge_symbols", lambda symbols, ranks: (alone.append(symbols), plain(symbols, ranks))[1])
+    assert encoder.ids_of_words(words) == want
+    assert encoder.ids_of_words(words[20:]) == want[20:]
+    assert len(encoder.known) <= 30
+    # Only the word beyond SHORT_WORD, in both calls.
+    assert [len(s) for s in alone] == [65, 65]
+
+
 def test_a_very_long_word_is_quick():
     rank_of = {("a", "a"): 0, ("aa", "aa"): 1, ("aaaa", "aaaa"): 2}
     parts = tokenizer.merge_symbols(["a"] * 200_003, rank_of)
@@ -106,6 +138,16 @@ def test_token_table(spark, merge_file):
     assert (rows[2]["n_tokens"], rows[2]["truncated"]) == (82, True)
 
 
+def test_words_of_chunks_are_the_words_of_the_texts(spark):
+    texts = [*TEXTS, "  a  b\u00a0c\u2003a\u3000d ", "it's IT'S 'S a\u0345b x\x1cy", "&lt;|startoftext|&gt;a <|endof text|>", "The\u0085thing\u200bb"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    pieces = tokenizer.chunk_counts(df, "t").select(F.explode(text.pretokenize(F.col("chunk"))).alias("word"), "n")
+    found = {r["word"]: r["n"] for r in pieces.groupBy("word").agg(F.sum("n").alias("n")).collect()}
+    words = [w for r in df.select(tokenizer.words_of(F.col("t"))).collect() for w in r[0]]
+    assert found == Counter(words)
+    assert len(found) > 20
+
+
 def test_word_table_counts_each_word_once_per_text(spark, merge_file):
     pairs = merges.read_merge_list(spark, merge_file)
     df = spark.createDataFrame([("the the in",), ("the",)], "t string")
