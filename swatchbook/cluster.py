@@ -32,6 +32,11 @@ WIDTH_ROWS = 1_000
 # Bytes of one Arrow batch between the JVM and a Python worker.
 ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 
+# Tasks that list the files of a micro-batch: this many per core, where Spark would take one per file up to 10,000.
+LISTING_TASKS, LISTED_BY = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 2
+# Opening a file counts as this many bytes of it; by Spark's 4 MB a task would read 32 pictures at most.
+OPEN_COST, OPEN_BYTES = "spark.sql.files.openCostInBytes", 256 << 10
+
 # Tables of fewer input splits are dealt out over the cores ahead of costly work.
 SPREAD_SPLITS = 64
 # Files whose row counts are added up in one task.
@@ -87,6 +92,22 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def many_files(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside list and read many small files per task; a lower setting of the session stays."""
+    confs = {LISTING_TASKS: LISTED_BY * spark.sparkContext.defaultParallelism, OPEN_COST: OPEN_BYTES}
+    usual = {name: spark.conf.get(name) for name in confs}
+    try:
+        for name, most in confs.items():
+            # A size may carry a unit, and then is the session's own.
+            if usual[name].removesuffix("b").removesuffix("B").isdigit():
+                spark.conf.set(name, min(int(usual[name].rstrip("bB")), most))
+        yield
+    finally:
+        for name, value in usual.items():
+            spark.conf.set(name, value)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Size of the files of a stored table."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

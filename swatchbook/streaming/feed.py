@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from swatchbook.cluster import scratch, skew_join, written
+from swatchbook.cluster import many_files, scratch, skew_join, written
 from swatchbook.operators.training_set import split_by_hash
 from swatchbook.sources.tables import file_system, hadoop_path, write_training_set
 
@@ -121,13 +121,14 @@ def feed_training_set(
     def add(batch: DataFrame, number: int) -> None:
         add_batch(batch, texts, path, _query_id(batch.sparkSession, checkpoint), number, files, shapes, key_type)
 
-    (
-        stream.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    with many_files(stream.sparkSession):
+        (
+            stream.writeStream.foreachBatch(add)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
 
 
 def read_split(spark: SparkSession, path: str, split: str, schema: StructType | None = None) -> DataFrame:

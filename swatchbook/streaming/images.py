@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField
 
+from swatchbook.cluster import many_files
 from swatchbook.functions.tensors import npy_header
 from swatchbook.functions.vectors import CHANNEL_MEAN, CHANNEL_STD
 from swatchbook.operators.rejects import map_with_rejects
@@ -94,16 +95,17 @@ def append_new(
     no file is ever taken twice. Rejects share the table in a partition of
     their own: one sink, one pass over the files, written exactly once.
     """
-    (
-        stream.writeStream.format(fmt)
-        .option("checkpointLocation", checkpoint)
-        .option("compression", compression)
-        .partitionBy(*partition_by)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(path)
-        .awaitTermination()
-    )
+    with many_files(stream.sparkSession):
+        (
+            stream.writeStream.format(fmt)
+            .option("checkpointLocation", checkpoint)
+            .option("compression", compression)
+            .partitionBy(*partition_by)
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start(path)
+            .awaitTermination()
+        )
 
 
 def read_tensors(spark: SparkSession, path: str) -> DataFrame:

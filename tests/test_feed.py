@@ -110,3 +110,25 @@ def test_a_batch_of_rejects_only_and_a_hot_product(spark, texts, tmp_path):
     hot = written(spark.range(600).selectExpr("'5' AS product_id", "CAST('z' AS BINARY) AS img_array", "CAST(NULL AS STRING) AS error"), "hot")
     assert feed.add_batch(hot, texts, path, "q", 1, FILES)
     assert keys(spark, tmp_path, *FILES) == [5] * 600
+
+
+def test_a_stream_lists_and_reads_many_files_per_task(spark, tmp_path, monkeypatch):
+    """Inside a run listing takes a few tasks per core and a small picture costs little; the session's settings come back."""
+    from swatchbook import cluster
+
+    names = (cluster.LISTING_TASKS, cluster.OPEN_COST)
+    usual = [spark.conf.get(n) for n in names]
+    for i in range(90):
+        (tmp_path / "in" / f"d{i % 3}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / f"d{i % 3}" / f"{i}.jpg").write_bytes(bytes(12))
+    seen = []
+
+    def noted(batch, *rest):
+        seen.append(([batch.sparkSession.conf.get(n) for n in names], batch.count()))
+
+    monkeypatch.setattr(feed, "add_batch", noted)
+    stream = images.image_tensors(images.stream_files(spark, str(tmp_path / "in")), images.raw_bytes((3, 2, 2)), (3, 2, 2))
+    feed.feed_training_set(stream, None, str(tmp_path / "out"), str(tmp_path / "log"), {"training": 1})
+    most = cluster.LISTED_BY * spark.sparkContext.defaultParallelism
+    assert [(int(conf[0]) <= most, int(conf[1]) <= cluster.OPEN_BYTES, n) for conf, n in seen] == [(True, True, 90)]
+    assert [spark.conf.get(n) for n in names] == usual
